@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash
+from . import bpe, mixing, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated(table(spark, sf_dir, "documents"), window=35)
+
+
 #: The vocabulary of op5 and of the pipeline's last stage.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -32,6 +36,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_source_mixing": op8_source_mixing,
 }
