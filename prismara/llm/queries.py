@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, substring
+from . import bpe, langid, media, mixing, quality, simhash, substring, tokencount, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,44 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether the CRC-32 of doc_id as text leaves `part` when divided by `parts`; true of a null id, which nothing learns from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(True))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, learns=~held_out(4, 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+#: First day of the made-up list, and days and minutes of it by hexadecimal digits of a hash; op3's SQL has the same.
+_DAY0 = 1_704_067_200
+_HEX = "0123456789abcdef"
+
+
+def _digit(name: str, place: int) -> Column:
+    return F.instr(F.lit(_HEX), F.substring(F.md5(name), place, 1)) - 1
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched at a minute that its id gives, against two dated lists made from the hosts and the
+    first steps of the paths of all pages by a rule (tables have neither lists nor fetch times)."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.timestamp_seconds(F.lit(_DAY0) + (F.col("page_id") * 7919) % 525_600 * 60).alias("at"))
+    hosts = pages.select(urls.host(F.col("url")).alias("p")).where("p IS NOT NULL").distinct()
+    steps = pages.select(F.concat(urls.host(F.col("url")), F.lit("/"), F.split_part(urls.path(F.col("url")), F.lit("/"), F.lit(2))).alias("p")).where("p IS NOT NULL AND NOT endswith(p, '/')").distinct()
+
+    def entry(named: DataFrame, name: str, action: Column, days: Column) -> DataFrame:
+        return named.select(F.lit(name).alias("list"), F.col("p").alias("pattern"), action.alias("action"), F.timestamp_seconds(F.lit(_DAY0) + days * 86_400).alias("at"))
+
+    entries = entry(hosts.where(_digit("p", 1) < 10), "hosts", F.lit("block"), _digit("p", 2) * 8)
+    entries = entries.union(entry(hosts.where(_digit("p", 3) < 8), "hosts", F.when(_digit("p", 4) < 8, "remove").otherwise("allow"), 130 + _digit("p", 5) * 8))
+    entries = entries.union(entry(steps.where(_digit("p", 1) < 4), "paths", F.when(_digit("p", 2) < 8, "block").otherwise("allow"), _digit("p", 3) * 20))
+    return urls.judge(captures, entries).withColumnRenamed("capture_id", "page_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated(table(spark, sf_dir, "documents"), window=35)
 
@@ -30,18 +68,66 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.archive(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
-QUERIES = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
-    "op4_substring_dedup": op4_substring_dedup,
-    "op5_byte_bpe": op5_byte_bpe,
-    "op8_source_mixing": op8_source_mixing,
-}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learns=~held_out(5, 0))
+    return quality.score(docs, model, threshold=0.3).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), RANKS)
+
+
+_OP3 = r"""
+WITH u AS (
+  SELECT page_id, url, 1704067200 + (page_id * 7919) % 525600 * 60 AS at_s,
+         nullif(rtrim(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
+         coalesce(nullif(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), ''), '/') AS path
+  FROM pages),
+h AS (SELECT DISTINCT host AS p FROM u WHERE host IS NOT NULL),
+st AS (SELECT DISTINCT host || '/' || split_part(path, '/', 2) AS p FROM u WHERE host IS NOT NULL AND split_part(path, '/', 2) <> ''),
+e AS (
+  SELECT 'hosts' AS list, p, 'block' AS action, 1704067200 + (instr('0123456789abcdef', md5(p)[2]) - 1) * 8 * 86400 AS since
+  FROM h WHERE instr('0123456789abcdef', md5(p)[1]) - 1 < 10
+  UNION ALL
+  SELECT 'hosts', p, CASE WHEN instr('0123456789abcdef', md5(p)[4]) - 1 < 8 THEN 'remove' ELSE 'allow' END,
+         1704067200 + (130 + (instr('0123456789abcdef', md5(p)[5]) - 1) * 8) * 86400
+  FROM h WHERE instr('0123456789abcdef', md5(p)[3]) - 1 < 8
+  UNION ALL
+  SELECT 'paths', p, CASE WHEN instr('0123456789abcdef', md5(p)[2]) - 1 < 8 THEN 'block' ELSE 'allow' END,
+         1704067200 + (instr('0123456789abcdef', md5(p)[3]) - 1) * 20 * 86400
+  FROM st WHERE instr('0123456789abcdef', md5(p)[1]) - 1 < 4),
+i AS (SELECT list, lower(trim(p)) AS pattern, action, since, lead(since) OVER (PARTITION BY list, p ORDER BY since) AS until FROM e),
+m AS (
+  SELECT u.page_id, u.url, i.list, i.pattern, i.action,
+         row_number() OVER (PARTITION BY u.page_id, u.url ORDER BY length(i.pattern) DESC, i.action <> 'allow', i.list) AS n
+  FROM u JOIN i ON i.action <> 'remove' AND u.at_s >= i.since AND (i.until IS NULL OR u.at_s < i.until)
+   AND (i.pattern = u.host
+        OR i.pattern = u.host || '/' || split_part(ltrim(regexp_replace(u.path, '/+', '/', 'g'), '/'), '/', 1)))
+SELECT u.page_id, u.host, coalesce(m.action, 'none') AS verdict, m.list, m.pattern
+FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.url = u.url AND m.n = 1
+"""
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op2_language_id, op3_url_filter, op4_substring_dedup, op5_byte_bpe,
+    op6_top_k, op7_media_columns, op8_source_mixing, op9_quality, op10_token_counts,
+)}
 
 #: DuckDB SQL where SQL can express the query.
 ORACLES: dict[str, str] = {
+    "op3_url_filter": _OP3,
+    "op6_top_k": topk.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
 }
