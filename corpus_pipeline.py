@@ -2,13 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from prismara.llm import bpe, langid, mixing, simhash, substring
+from prismara.llm._shared import shared_table
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language a model of the documents' own languages doesn't reject."""
+    model = langid.fit(docs, learns=F.lit(True))
+    return langid.identify(docs, model, keep=tuple(docs.columns)).where("NOT rejected").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, by shingles of five words."""
+    return simhash.deduplicate(docs, shingle=5)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the windows of 35 words that occur anywhere else; n_chars follows the text."""
+    return substring.without_repeated(docs, window=35).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixture(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The number of tokens of each document, digests of its ids and of what they decode to."""
+    return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("simhash_near_dedup", one_of_each),
+    ("substring_dedup", without_repeats),
+    ("source_mixing", mixed),
+    ("byte_bpe", encoded),
+]
 
 #: Fingerprints, indexes and merges are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents, each but the last by way of a table in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -52,9 +52,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def _shuffle_key(doc_id: str, text: str) -> Column:
+    return F.md5(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.md5(text), F.lit("null"))))
+
+
 def _dealt(df: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """Every row with its size, shuffle key and part of its source."""
-    key = F.md5(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.md5(text), F.lit("null"))))
+    key = _shuffle_key(doc_id, text)
     return df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(text).alias("size"), key.alias("key")).withColumn("part", F.substring("key", 1, PART_DIGITS))
 
 
@@ -112,6 +116,24 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     no difference but to which of the two equal rows gets which count. Sources without words have target 0.
     Other columns aren't looked at. Sums run over parts of a source first, then over rows within a part.
     """
+    taken = _taken(df, doc_id, text, source, weights, share, most, block)
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixture(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 4096) -> DataFrame:
+    """df's rows with all their columns, each as often as the mix holds it as a whole (see mix and copies), so
+    not at all or up to `most` times. Rows alike in id, text and source are as one, with all their copies.
+    """
+    names = {"_key": _shuffle_key(doc_id, text), "_source": F.col(source)}
+    found = _taken(df, doc_id, text, source, weights, share, most, block)
+    times = found.groupBy("key", "source").agg(F.sum(copies(F.col("taken"), F.col("size"))).cast("int").alias("_times")).withColumnsRenamed({"key": "_k", "source": "_s"})
+    met = df.withColumns(names).join(times.where("_times > 0"), (F.col("_key") == F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")))
+    first = F.row_number().over(W.partitionBy("_key", "_source").orderBy("_key"))
+    met = met.withColumn("_n", first).where("_n = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return met.select(*df.columns)
+
+
+def _taken(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[int, ...], share: float, most: float, block: int) -> DataFrame:
     rows = _dealt(df, doc_id, text, source)
     by_part = cut(rows.groupBy("source", "part").agg(F.sum("size").alias("words")))
     sizes = by_part.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -122,9 +144,9 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = by_part.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
     inner = W.partitionBy("source", "part").orderBy("key").rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.select("doc_id", "source", "part", "size", (F.sum("size").over(inner) - F.col("size")).alias("at"), F.row_number().over(W.partitionBy("source", "part").orderBy("key")).alias("nth"))
+    placed = rows.select("doc_id", "source", "part", "key", "size", (F.sum("size").over(inner) - F.col("size")).alias("at"), F.row_number().over(W.partitionBy("source", "part").orderBy("key")).alias("nth"))
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    placed = placed.select("doc_id", "source", "part", "nth", "size", (F.col("at") + F.col("ahead")).alias("begin"))
+    placed = placed.select("doc_id", "source", "part", "key", "nth", "size", (F.col("at") + F.col("ahead")).alias("begin"))
     named = plan.select(F.col("source").alias("s"), "source_size", "target")
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
@@ -134,8 +156,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     met = pieces.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     overlap = F.greatest(F.least(F.col("begin") + F.col("size"), F.col("block") * block + F.coalesce("take", F.lit(0))) - F.greatest("begin", F.col("block") * block), F.lit(0))
     met = met.withColumn("taken", overlap * F.coalesce("times", F.lit(0)))
-    keys = ["source", "part", "nth", "doc_id", "size", "source_size", "target"]
-    return met.groupBy(*keys).agg(F.sum("taken").alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    keys = ["source", "part", "key", "nth", "doc_id", "size", "source_size", "target"]
+    return met.groupBy(*keys).agg(F.sum("taken").alias("taken"))
 
 
 def copies(taken: Column, size: Column) -> Column:

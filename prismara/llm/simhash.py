@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._shared import Words, chunks, cut
@@ -184,7 +185,29 @@ def links(distinct: DataFrame, limit: int = 4, parts: int = 6, most: int = 50_00
     return out
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, limit: int = 4) -> DataFrame:
+def _components(rows: DataFrame, limit: int, parts: int) -> DataFrame:
+    """rows(fp, ...) -> (fp, root): which fingerprints belong together."""
+    each = rows.select("fp").distinct()
+    nodes = connected_components(links(cut(each), limit, parts))
+    return each.join(nodes, each["fp"] == nodes["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, limit: int = 6, parts: int = 9) -> DataFrame:
+    """One row of each component of near duplicates, with all its columns: the one with the least doc_id (null
+    last), then the least hash of both. Of rows alike in id and text any one stays. Null is as an empty text; texts
+    without words are alike. An empty table gives an empty one.
+    """
+    one, two = F.xxhash64(doc_id, text), F.xxhash64(F.lit(7), text, doc_id)
+    rows = cut(with_fingerprint(df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), one.alias("k1"), two.alias("k2")), "text", shingle, ("id", "k1", "k2")))
+    named = rows.join(_components(rows, limit, parts), "fp")
+    order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("m")
+    stays = named.groupBy("root").agg(order).select(F.col("m.k1").alias("_k1"), F.col("m.k2").alias("_k2"))
+    met = df.withColumn("_k1", one).withColumn("_k2", two).join(stays, ["_k1", "_k2"])
+    first = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy("_k1"))
+    return met.withColumn("_n", first).where("_n = 1").select(*df.columns)
+
+
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, limit: int = 4, parts: int = 6) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the least doc_id that can be reached by links
     of at most `limit` differing bits between fingerprints, the row's own included.
 
@@ -196,7 +219,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     """
     rows = cut(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle))
     each = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = connected_components(links(each, limit))
+    nodes = connected_components(links(each, limit, parts))
     named = each.join(nodes, each["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = cut(named.join(least, "root").select("fp", "component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Words, _powers, chunks, mix, ragged, shared_table
@@ -225,29 +225,13 @@ def _removed(found: DataFrame, window: int, with_text: bool) -> DataFrame:
     return found.select("key", "text", "marks").mapInArrow(run, schema)
 
 
-def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for every row, and `kept`, the words left, if with_text.
+def _key(text: str) -> Column:
+    """128 bits of the SHA-256 of a text, null as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 1, 16)
 
-    A word goes if a window of `window` words that covers it starts anywhere else too, the same document
-    included. Windows are judged on the input.
-
-    Each window is dealt by the least hash among its runs of 8 words, which equal windows share. Windows of
-    an anchor that the corpus has once can't repeat and go no further. The rest, as segments of successive
-    windows, are deduplicated with their number and indexed: an FM-index for each shard of whole routes, in
-    which backward search finds the windows with two occurrences or more. Nothing is held to be repeated on a
-    hash alone; the index compares words. Segments of frequent anchors are dealt by 29 and then all 35 of
-    their words, so that no route grows with the corpus but by different windows.
-
-    Equal texts are handled once, with their number. Null and empty texts have no words; texts under `window`
-    words keep all. Repeated rows come out as often as they come in, a null doc_id stays null, and columns
-    other than the two aren't looked at. An empty table gives an empty one.
-    """
-    if not ANCHOR < window <= ANCHOR + 31:
-        raise ValueError(f"window must be over {ANCHOR} and at most {ANCHOR + 31} words")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.substring(F.unhex(F.sha2(whole, 256)), 1, 16).alias("key"), whole.alias("text"))
-    profile = shared_table(_profile(docs, window), "profile")
 
+def _search(docs: DataFrame, profile: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """docs(key, text), profile -> (the texts with candidate windows, the marks (key, first, mask) of repeated ones)."""
     each = profile.where(F.size("runs") > 0).groupBy("key").agg(F.first("anchors").alias("anchors"), F.first("runs").alias("runs"), F.count("*").alias("n"))
     runs = each.select("key", "n", F.inline(F.arrays_zip("anchors", "runs"))).withColumnsRenamed({"anchors": "anchor", "runs": "run"})
     width = F.lit(0)
@@ -262,10 +246,46 @@ def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     contents = segments.groupBy("route", "cid").agg(F.first("content").alias("content"), F.sum("n").alias("weight"))
     masks = _masks(contents, window)
     marks = segments.select("key", "first", "cid").join(masks, "cid").groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
-    removed = _removed(found.select("key", "text").join(marks, "key"), window, with_text)
-    if with_text:
-        docs = docs.select("doc_id", "key", "text")
-        out = docs.join(removed, "key", "left")
-        return out.select("doc_id", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "kept", "text")
+    return found.select("key", "text"), marks
+
+
+def _profiled(df: DataFrame, doc_id: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    if not ANCHOR < window <= ANCHOR + 31:
+        raise ValueError(f"window must be over {ANCHOR} and at most {ANCHOR + 31} words")
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), _key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs, shared_table(_profile(docs, window), "profile")
+
+
+def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for every row.
+
+    A word goes if a window of `window` words that covers it starts anywhere else too, the same document
+    included. Windows are judged on the input.
+
+    Each window is dealt by the least hash among its runs of 8 words, which equal windows share. Windows of
+    an anchor that the corpus has once can't repeat and go no further. The rest, as segments of successive
+    windows, are deduplicated with their number and indexed: an FM-index for each shard of whole routes, in
+    which backward search finds the windows with two occurrences or more. Nothing is held to be repeated on a
+    hash alone; the index compares words. Segments of frequent anchors are dealt by 29 and then all 35 of
+    their words, so that no route grows with the corpus but by different windows.
+
+    Equal texts are handled once, with their number. Null and empty texts have no words; texts under `window`
+    words keep all. Repeated rows come out as often as they come in, a null doc_id stays null, and columns
+    other than the two aren't looked at. An empty table gives an empty one.
+    """
+    docs, profile = _profiled(df, doc_id, text, window)
+    found, marks = _search(docs, profile, window)
+    removed = _removed(found.join(marks, "key"), window, False)
     out = profile.select("doc_id", "key", "n_words", "sha").join(removed, "key", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
+def without_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
+    """df with repeated windows taken out of its texts (see remove_repeated): such a text is its words left, by
+    one space each, and may be empty; others stay to the letter. All rows and columns stay.
+    """
+    docs, profile = _profiled(df, doc_id, text, window)
+    found, marks = _search(docs, profile, window)
+    removed = _removed(found.join(marks, "key"), window, True).select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
+    out = df.withColumn("_of", _key(text)).join(removed, F.col("_of") == F.col("_key"), "left")
+    return out.withColumn(text, F.coalesce("_kept", text)).select(*df.columns)
