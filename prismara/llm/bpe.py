@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from ._shared import chunks, ragged
 
@@ -113,6 +114,7 @@ class Codec:
         while queue.top:
             rank, at = queue.pop()
             at = at[pair[at] == rank]
+            every = at
             if len(at) > 1:
                 run = np.concatenate(([True], follow[at[:-1]] != at[1:]))
                 if not run.all():
@@ -122,7 +124,8 @@ class Codec:
                 if rank in self.hasty and len(at) > 1:
                     wait = self._waiting(rank, at, token, follow, before, owner)
                     if wait.any():
-                        queue.push(np.full(int(wait.sum()), rank), at[wait])
+                        again = every[np.isin(owner[every], owner[at[wait]])]  # with those that were passed over
+                        queue.push(np.full(len(again), rank), again)
                         at = at[~wait]
             if not len(at):
                 continue
@@ -223,7 +226,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], [*kept, ids])
 
-    return source.mapInArrow(run, source.schema.add(ids, "array<int>"))
+    return source.mapInArrow(run, StructType([*source.schema, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -237,7 +240,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             texts = [codec.decode(np.asarray(x or (), np.int64)) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*kept, out])
 
-    return source.mapInArrow(run, source.schema.add(out, "binary"))
+    return source.mapInArrow(run, StructType([*source.schema, StructField(out, BinaryType())]))
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -78,8 +78,8 @@ class Model:
     for each language, and of back-off weights by context. Hashing is a bijection of the packed n-gram, so that
     no two n-grams share one."""
 
-    def __init__(self, languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], back: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray):
-        self.languages, self.grams, self.back, self.bound = languages, grams, back, bound
+    def __init__(self, languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], back: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, unseen: np.ndarray):
+        self.languages, self.grams, self.back, self.bound, self.unseen = languages, grams, back, bound, unseen
 
     @staticmethod
     def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,7 @@ class Model:
                 out[rest[known]] += value[at[known]]
             order -= 1
         if len(rest):
-            out[rest] -= np.log(ALPHABET).astype(np.float32)
+            out[rest] += self.unseen
         return out
 
     def cross_entropy(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,8 @@ def assemble(tables: dict[str, list[tuple[int, np.ndarray, np.ndarray, np.ndarra
         grams.append((key[by], value[by].astype(np.float32)))
         back.append((key[by], weight[by].astype(np.float32)))
     limit = np.array([(bound or {}).get(x, np.inf) for x in languages])
-    return Model(languages, grams, back, limit)
+    unseen = np.array([next((p[0] for k, _, p, _ in tables[x] if k == 0), -np.log(ALPHABET)) for x in languages], np.float32)
+    return Model(languages, grams, back, limit, unseen)
 
 
 def fit(df: DataFrame, learns: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:

@@ -32,7 +32,7 @@ class _Sequence(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.unseen = 0
-        self.figures: list[int] = []
+        self.figures: list[tuple[int, str | None]] = []
         self.caption: list[str] | None = None
 
     def block(self) -> None:
@@ -46,7 +46,7 @@ class _Sequence(HTMLParser):
         if tag in _APART or tag in _REFERS:
             self.block()
         if tag == "figure":
-            self.figures.append(len(self.items))
+            self.figures.append((len(self.items), None))
         if tag == "figcaption":
             self.caption = []
         if tag in _REFERS and not self.unseen and (ref := dict(attrs).get(_REFERS[tag])):
@@ -59,12 +59,17 @@ class _Sequence(HTMLParser):
 
     def end_caption(self) -> None:
         if self.caption is not None:
-            if text := " ".join("".join(self.caption).split()):
-                for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                    if item["kind"] == "media":
-                        item["caption"] = text
+            if self.figures and (text := " ".join("".join(self.caption).split())):
+                self.figures[-1] = (self.figures[-1][0], text)
             self.caption = None
 
+    def end_figure(self) -> None:
+        self.end_caption()
+        first, text = self.figures.pop()
+        for item in self.items[first:] if text else []:
+            if item["kind"] == "media":
+                item["caption"] = text
+
     def handle_endtag(self, tag: str) -> None:
         if tag in _UNSEEN:
             self.unseen = max(0, self.unseen - 1)
@@ -73,8 +78,7 @@ class _Sequence(HTMLParser):
         if tag == "figcaption":
             self.end_caption()
         if tag == "figure" and self.figures:
-            self.end_caption()
-            self.figures.pop()
+            self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.unseen:
@@ -93,7 +97,8 @@ def parse(html: str | None) -> list[dict]:
     page = _Sequence()
     page.feed(html)
     page.close()
-    page.end_caption()
+    while page.figures:
+        page.end_figure()
     page.block()
     return [{"position": i, **item} for i, item in enumerate(page.items)]
 
