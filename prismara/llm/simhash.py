@@ -162,27 +162,27 @@ def links(distinct: DataFrame, limit: int = 4, parts: int = 6, most: int = 50_00
 
     Of `parts` blocks, such a pair has at least parts - limit in common (pigeonhole), so it meets under one
     choice of that many blocks. A block key with over `most` fingerprints isn't searched as it is: its
-    members meet again under finer keys, by the same rule on the bits that the key leaves open, until no key
-    is too large or a key leaves under 20 bits open. Within a key a spanning forest of the links is made and
+    members meet again under finer keys, by the same rule on the bits that the key leaves open, and once more;
+    a key then leaves under 20 of 64 bits open. Within a key a spanning forest of the links is made and
     no pair is listed that it doesn't need, so a large group of near copies makes as many rows as it has members.
     """
-    equal = parts - limit
-    todo, out = [(distinct.select("fp"), _blocks(list(range(BITS)), parts, equal), 0)], None
-    while todo:
-        rows, masks, depth = todo.pop()
-        keyed = rows.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("k.mask", "k.part", "fp")
-        if depth < 2:
-            hot = keyed.groupBy("mask", "part").count().where(F.col("count") > most).select("mask", "part")
-            hot = cut(hot)
-            if found := [r["mask"] for r in hot.select("mask").distinct().collect()]:  # at most one for each mask of the list
-                for m in found:
-                    mine = keyed.where(F.col("mask") == m).join(hot, ["mask", "part"], "left_semi").select("fp")
-                    free = [b for b in range(BITS) if not m >> b & 1]
-                    todo.append((mine, [m % (1 << 64) | x for x in _blocks(free, parts, equal)], depth + 1))
-                keyed = keyed.join(hot, ["mask", "part"], "left_anti")
-        got = _links(keyed, limit)
-        out = got if out is None else out.union(got)
-    return out
+    equal, spark = parts - limit, distinct.sparkSession
+    masks = _blocks(list(range(BITS)), parts, equal)
+    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("k.mask", "k.part", "fp")
+    out = None
+    for _ in range(2):
+        hot = cut(keyed.groupBy("mask", "part").count().where(F.col("count") > most).select("mask", "part"))
+        found = [r["mask"] for r in hot.select("mask").distinct().collect()]  # some of the masks of this level, whose number is fixed
+        if not found:
+            break
+        calm = _links(keyed.join(hot, ["mask", "part"], "left_anti"), limit)
+        out = calm if out is None else out.union(calm)
+        finer = [(m, _signed(m % (1 << 64) | x)) for m in found for x in _blocks([b for b in range(BITS) if not m >> b & 1], parts, equal)]
+        finer = spark.createDataFrame(finer, "mask long, finer long")
+        keyed = keyed.join(hot, ["mask", "part"], "left_semi").join(F.broadcast(finer), "mask")
+        keyed = keyed.select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("part"), "fp").distinct()
+    last = _links(keyed, limit)
+    return last if out is None else out.union(last)
 
 
 def _components(rows: DataFrame, limit: int, parts: int) -> DataFrame:
