@@ -52,7 +52,7 @@ def quality_tier(score: Column) -> Column:
 
 
 def _fixed(x: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f", x))
 
 
 def bitrate_text(rate: Column) -> Column:

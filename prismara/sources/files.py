@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +27,24 @@ def scan_volume(spark: SparkSession, mount: str, volume_id: int, with_hashes: bo
     path = F.regexp_replace("path", r"^file:/*", "/")
     name = F.element_at(F.split(path, "/"), -1)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(mount)
+    found = found.select("path", "modificationTime", "length", "content") if with_hashes else found.select("path", "modificationTime", "length")
+    found = found.unionByName(_empty_files(spark, system, found), allowMissingColumns=True) if found.inputFiles() else found
     found = found.select(
         F.lit(volume_id).cast("long").alias("volume_id"), path.alias("abs_path"),
         F.regexp_replace(path, r"/[^/]*$", "").alias("parent_path"), name.alias("file_name"),
         F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"),
         F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"),
-        *([hashing.sha256(F.col("content")).alias("sha256"), hashing.quick_hash(F.col("content")).alias("quick_hash")] if with_hashes else []),
+        *([hashing.sha256(F.coalesce("content", F.lit(b""))).alias("sha256"), hashing.quick_hash(F.coalesce("content", F.lit(b""))).alias("quick_hash")] if with_hashes else []),
     )
     return found.withColumn("media_type", media.media_type(F.col("extension"))).where("media_type IS NOT NULL")
+
+
+def _empty_files(spark: SparkSession, system, found: DataFrame) -> DataFrame:
+    """Files of length 0, which Spark lists but doesn't read. Only these are looked up one by one."""
+    jvm = spark.sparkContext._jvm
+    listed = spark.createDataFrame([(unquote(x),) for x in found.inputFiles()], "path string")
+    key = F.regexp_replace("path", "^file:/*", "/")
+    read = found.select(key.alias("k")).distinct()
+    left = [r["path"] for r in listed.withColumn("k", key).join(read, "k", "left_anti").collect()]
+    rows = [(x, datetime.fromtimestamp(system.getFileStatus(jvm.org.apache.hadoop.fs.Path(x)).getModificationTime() / 1000, timezone.utc), 0) for x in left]
+    return spark.createDataFrame(rows, "path string, modificationTime timestamp, length long")

@@ -8,6 +8,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import vectors
 
@@ -63,7 +64,7 @@ def embed(df: DataFrame, provider: Callable[[], Provider] = Placeholder, phash:
         from pyspark.sql import functions as F
 
         return rows.select(*keep, F.lit("placeholder").alias("model_name"), vectors.phash_vector(F.col(phash)).alias("vector"))
-    schema = df.select(*keep).schema.add("model_name", "string").add("vector", "array<double>")
+    schema = df.select(*keep).schema.add("model_name", "string").add("vector", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, spare = provider(), Placeholder()
