@@ -112,4 +112,4 @@ def clamp(value: Column, fallback: float) -> Column:
 def json_object(text: Column) -> Column:
     """From the first brace to the last of a noisy answer, if that is JSON; else null."""
     found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.expr("1 = 1") & F.try_parse_json(found).isNotNull() & (found != ""), found)
+    return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)

@@ -90,8 +90,8 @@ def merge_clusters(t: Tables, kind: str, members: DataFrame, confidence: float)
     titles = members.groupBy("title").agg(F.min(F.when(F.col("role").isin("cover", "best_quality", "series_focus"), F.col("file_id"))).alias("cover"))
     known = old.where(F.col("cluster_type") == kind).select("title", "id")
     ranked = titles.join(known, "title", "left_anti").select("title", F.row_number().over(W.orderBy("title")).alias("n"))
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = ranked.crossJoin(F.broadcast(top)).select("title", (F.col("n") + F.col("top")).alias("id"))
+    top = old.agg(F.max("id")).first()[0] or 0
+    fresh = ranked.select("title", (F.col("n") + top).alias("id"))
     ids = titles.join(known.join(titles, "title", "left_semi").unionByName(fresh), "title")
     made = ids.select("id", F.lit(kind).alias("cluster_type"), "title", F.lit(confidence).alias("confidence"), F.lit("candidate").alias("status"), F.col("cover").alias("cover_file_id"))
     rest = old.join(ids.select("id"), "id", "left_anti").withColumn("status", F.when(F.col("cluster_type") == kind, "ignored").otherwise(F.col("status")))
