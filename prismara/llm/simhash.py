@@ -168,7 +168,9 @@ def links(distinct: DataFrame, limit: int = 4, parts: int = 6, most: int = 50_00
     """
     equal, spark = parts - limit, distinct.sparkSession
     masks = _blocks(list(range(BITS)), parts, equal)
-    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("k.mask", "k.part", "fp")
+    # A fingerprint is a few bytes and its keys are many: spread before they are made, or a few tasks hold them all.
+    spread = distinct.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = spread.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("k.mask", "k.part", "fp")
     out = None
     for _ in range(2):
         hot = cut(keyed.groupBy("mask", "part").count().where(F.col("count") > most).select("mask", "part"))
