@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismara.llm import bpe, langid, mixing, simhash, substring
+from prismara.llm import bpe, langid, mixing, overlap, substring
 from prismara.llm._shared import shared_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,8 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by shingles of five words."""
-    return simhash.deduplicate(docs, shingle=5)
+    """One document of each group of near duplicates: those linked by a Jaccard similarity of 0.8 or more of shingles of five words."""
+    return overlap.deduplicate(docs, shingle=5, similarity=(4, 5))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

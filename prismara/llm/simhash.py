@@ -202,6 +202,11 @@ def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     one, two = F.xxhash64(doc_id, text), F.xxhash64(F.lit(7), text, doc_id)
     rows = cut(with_fingerprint(df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), one.alias("k1"), two.alias("k2")), "text", shingle, ("id", "k1", "k2")))
     named = rows.join(_components(rows, limit, parts), "fp")
+    return keep_first(df, named, one, two)
+
+
+def keep_first(df: DataFrame, named: DataFrame, one: Column, two: Column) -> DataFrame:
+    """The row of df that stays of each root of named(id, k1, k2, root), where k1 and k2 are the hashes `one` and `two`."""
     order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("m")
     stays = named.groupBy("root").agg(order).select(F.col("m.k1").alias("_k1"), F.col("m.k2").alias("_k2"))
     met = df.withColumn("_k1", one).withColumn("_k2", two).join(stays, ["_k1", "_k2"])
