@@ -99,9 +99,10 @@ def candidates(raw: Column, subject: Column, capture: Column, has_face: Column,
     rest = F.transform(names, lambda n: item(tag_space(n), n, 0.6))
     every = F.filter(F.concat(first, rest), lambda c: c.isNotNull())
     key = lambda c: F.concat(c["namespace"], F.lit(":"), c["name"])
-    keys = F.transform(every, key)
-    kept = F.filter(every, lambda c, i: F.array_position(keys, key(c)) == i + 1)
-    return F.slice(kept, 1, most)
+    # An array of one element binds what would be computed anew for each use.
+    bound = lambda value, of: F.get(F.transform(F.array(value), of), F.lit(0))
+    first_of = lambda e, keys: F.transform(F.slice(F.array_distinct(keys), 1, most), lambda k: F.get(e, (F.array_position(keys, k) - 1).cast("int")))
+    return bound(every, lambda e: bound(F.transform(e, key), lambda keys: first_of(e, keys)))
 
 
 def clamp(value: Column, fallback: float) -> Column:

@@ -395,7 +395,7 @@ def semantic_token_vector(t):
 
 @query()
 def tag_normalisation(t):
-    raw = F.transform(F.slice(F.split(F.lower("document_text"), " "), 1, 6), lambda x: F.btrim(x, F.lit(".,")))
+    raw = F.transform(F.array_distinct(F.split(F.lower("document_text"), " ")), lambda x: F.btrim(x, F.lit(".,")))
     df = t["search_documents"].select("file_id", labels.candidates(raw, F.lit("two"), F.lit("selfie"), F.lit("on")).alias("c"))
     return df.select("file_id", F.posexplode("c").alias("n", "c")).select("file_id", "n", "c.namespace", "c.name", "c.confidence")
 
