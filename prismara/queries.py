@@ -331,8 +331,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY anchor_id, name, source ORDER B
 
 @query(f"WITH {PERSON} SELECT anchor_id, name, source, file_id, CAST(rank AS INT) AS rank, CASE rank WHEN 1 THEN 'cover' ELSE 'member' END AS role, score FROM rk WHERE n > 1")
 def person_clusters(t):
-    bare = t | {"embeddings": t["embeddings"].where("false")}  # the made-up vectors are too far apart to count
-    return person.same_person(features.file_features(bare), person.person_tags(t))
+    return person.same_person(features.file_features(t), person.person_tags(t))  # the SQL has no vector points: the made-up vectors are too far apart
 
 
 @query("""WITH u AS (SELECT c.file_id, r.structured_attributes AS s FROM m_file_current_analysis c JOIN m_analysis_results r ON r.id = c.analysis_result_id WHERE c.analysis_type = 'understanding')

@@ -1,4 +1,9 @@
+from datetime import datetime, timedelta
+
 from prismara import queries
+from prismara.schema import TABLES
+
+T0 = datetime(2024, 1, 1, 12)
 
 
 def tags_of(text):
@@ -18,3 +23,20 @@ def test_tags_come_from_the_whole_text(spark):
     for r in sorted(queries.tag_normalisation(t).collect(), key=lambda r: (r["file_id"], r["n"])):
         got[r["file_id"]].append(r["name"])
     assert got == {i: tags_of(x) for i, x in enumerate(texts)}
+
+
+def test_person_clusters_count_near_vectors(spark):
+    rows = {
+        "files": [(i, 1, f"/{p}/{n}", f"/{p}", n, ".jpg", "image", 5, T0 + timedelta(days=30 * i), None, None, "active", T0) for i, p, n in ((1, "p", "ann.jpg"), (2, "q", "bob.jpg"), (3, "r", "cid.jpg"))],
+        "tags": [(1, "person", "someone", "someone", False, False)],
+        "file_tags": [(i, 1, "human", 1.0, None) for i in (1, 2, 3)],
+    }
+    t = {name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in TABLES.items()}
+    names = [f.name for f in t["embeddings"].schema]
+    vectors = [{"id": i, "file_id": i, "embedding_type": "image_visual", "model_name": "m", "vector": v} for i, v in ((1, [0.1, 0.1]), (2, [0.1, 0.12]), (3, [0.9, 0.9]))]
+    t["embeddings"] = spark.createDataFrame([tuple(v.get(n) for n in names) for v in vectors], TABLES["embeddings"])
+    score = {(r["anchor_id"], r["file_id"]): r["score"] for r in queries.person_clusters(t).collect()}
+    # A human tag has 0.86 points, and 0.18 more, of 0.99 at most, for a near vector.
+    mean = lambda a, b: sum(abs(x - y) for x, y in zip(a["vector"], b["vector"], strict=True)) / 2
+    want = {(a["id"], b["id"]): 1.0 if a is b else round(min(0.86 + 0.18 * (mean(a, b) <= 0.08), 0.99), 2) for a in vectors for b in vectors}
+    assert score == want
