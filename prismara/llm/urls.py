@@ -19,14 +19,14 @@ def path(url: Column) -> Column:
     return F.when(found == "", "/").otherwise(found)
 
 
-def keys(url: Column) -> Column:
-    """What a list entry may name of a URL: its host, every parent domain of two labels or more, and host + path
-    up to each of its first three slashes. Bounded by the URL, so matching is an equality join."""
+def keys(url: Column, most: Column) -> Column:
+    """What a list entry may name of a URL, in lower case: its host, every parent domain of two labels or more, and
+    host + path up to each of its first `most` steps. Bounded by the URL, so matching is an equality join."""
     name, labels = host(url), F.split(host(url), r"\.")
     many = F.size(labels)
     domains = F.transform(F.sequence(F.lit(0), F.greatest(many - 2, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, many), "."))
-    steps = F.filter(F.split(path(url), "/"), lambda x: x != "")
-    deep = F.least(F.size(steps), F.lit(3))
+    steps = F.filter(F.split(F.lower(path(url)), "/"), lambda x: x != "")
+    deep = F.least(F.size(steps), most)
     paths = F.when(deep > 0, F.transform(F.sequence(F.lit(1), deep), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/"))))
     return F.when(name.isNotNull(), F.array_distinct(F.concat(domains, F.coalesce(paths, F.array().cast("array<string>")))))
 
@@ -59,7 +59,9 @@ def judge(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id",
     """
     rows = captures.select(F.col(capture_id).alias("capture_id"), F.col(url).alias("url"), F.col(at).alias("at"))
     rows = rows.groupBy("capture_id", "url", "at").agg(F.count("*").alias("times"))
-    spread = rows.select("capture_id", "url", "at", F.explode(keys(F.col("url"))).alias("pattern"))
+    # No path is cut off before the deepest entry of the list, whose depth is one row.
+    deepest = entries.agg(F.coalesce(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))), F.lit(0)).alias("deepest"))
+    spread = rows.crossJoin(F.broadcast(deepest)).select("capture_id", "url", "at", F.explode(keys(F.col("url"), F.col("deepest"))).alias("pattern"))
     active = (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     met = spread.join(intervals(entries), "pattern").where(active)
     order = F.struct((-F.length("pattern")).alias("size"), (F.col("action") != "allow").alias("last"), "list", "action", "pattern")
