@@ -174,3 +174,11 @@ def test_rules_of_tables(spark):
     t = tables(spark, tags=[(1, "a", "x", "", False, False), (2, "a", "x", "", False, False)], clusters=[(1, "odd", "t", 0.1, "candidate", 1)])
     assert {r["rule"] for r in violations("tags", t["tags"]).collect()} == {"unique namespace, name"}
     assert violations("clusters", t["clusters"]).count() == 1 and violations("jobs", t["jobs"]).count() == 0
+
+
+def test_unfitting_near_images_do_not_push_out_fitting_ones(spark):
+    same = {"kind": "image_visual", "model": "m"}
+    rows = [{"file_id": 1, "vector": [0.5, 0.5], **same}, {"file_id": 2, "vector": [0.5, 0.52], **same}]
+    rows += [{"file_id": i, "vector": [0.5, 0.5], "width": 1080, "height": 1920, **same} for i in range(10, 36)]
+    got = content.vector_pairs(wide(spark, *rows)).where("a_id <= 2 OR b_id <= 2").collect()
+    assert {(r["a_id"], r["b_id"]) for r in got} == {(1, 2), (2, 1)}
