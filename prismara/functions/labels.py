@@ -15,6 +15,21 @@ TRUE_IN_PAYLOADS = ("true", "1", "yes", "on")
 PERSON_SIGNS = ("单人", "多人", "情侣", "写真", "自拍", "portrait", "selfie", "做爱", "口交", "av")
 WEAK_SIGNS = ("多人", "情侣", "av", "做爱", "口交")
 
+# What attributes imply as (spellings, namespace, name, confidence), in order.
+SUBJECT_TAGS = ((("1", "single", "one"), "content", "单人", 0.65), (("2", "two", "couple"), "content", "双人", 0.65), (("multiple", "many", "group"), "content", "多人", 0.65))
+CAPTURE_TAGS = ((("closeup", "close_up", "close-up"), "content", "局部特写", 0.6), (("selfie",), "content", "自拍", 0.7))
+FACE_TAG = ("person", "露脸", 0.6)
+DEFAULT_SPACE, TAG_CONFIDENCE = "content", 0.6
+
+# Words that a content tag or an attribute holds anywhere where it calls for person vectors.
+CONTENT_WORDS = ("单人", "多人", "情侣", "写真", "自拍", "portrait", "selfie")
+SUBJECT_WORDS = ("single", "单人", "multiple", "多人", "couple", "情侣")
+CAPTURE_WORDS = ("selfie", "自拍", "photo", "实拍")
+
+# The answer of the placeholder, by media type.
+PLACEHOLDER = {"video": ("视频", "视频文件"), "image": ("图片", "图片文件")}
+PLACEHOLDER_TAG, PLACEHOLDER_SPACE, UNNAMED, PLACEHOLDER_REST, PLACEHOLDER_CONFIDENCE = "待AI精标", "management", "未命名文件", "当前为占位理解结果。", 0.55
+
 # Names that raw tags are filed under; an empty one drops the tag.
 TAG_NAMES = {
     "jk": "JK制服", "glasses": "眼镜", "straps": "束缚", "bondage": "束缚", "darkmode": "低光高对比",
@@ -61,6 +76,31 @@ def truthy(value: Column, words: tuple[str, ...] = TRUE_IN_QUERIES) -> Column:
     return F.lower(F.coalesce(F.trim(value), F.lit(""))).isin(*words)
 
 
+def holds_any(value: Column, words: tuple[str, ...] = TRUE_IN_QUERIES) -> Column:
+    """Whether a text holds one of the words anywhere; only A-Z are alike in either case."""
+    plain = F.translate(F.coalesce(value, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = F.lit(False)
+    for word in words:
+        out = out | plain.contains(word)
+    return out
+
+
+def placeholder_understanding(media_type: Column, file_path: Column) -> Column:
+    """What is said of a file that no model has seen: raw_tags, candidates, summary, quality_hints, attributes, confidence."""
+    kind = F.lower(F.trim(F.coalesce(media_type, F.lit(""))))
+    name = F.nullif(F.element_at(F.split(F.trim(F.coalesce(file_path, F.lit(""))), "/"), -1), F.lit(""))
+    tag, about = (F.when(kind == "video", PLACEHOLDER["video"][i]).otherwise(PLACEHOLDER["image"][i]) for i in (0, 1))
+    item = lambda space, name, sure: F.struct(F.lit(space).alias("namespace"), name.alias("name"), F.lit(sure).alias("confidence"))
+    return F.struct(
+        F.array(tag, F.lit(PLACEHOLDER_TAG)).alias("raw_tags"),
+        F.array(item("content", tag, 0.70), item(PLACEHOLDER_SPACE, F.lit(PLACEHOLDER_TAG), 0.60)).alias("candidates"),
+        F.concat(F.coalesce(name, F.lit(UNNAMED)), F.lit("，"), about, F.lit("，"), F.lit(PLACEHOLDER_REST)).alias("summary"),
+        F.array(F.lit("placeholder")).alias("quality_hints"),
+        F.create_map(F.lit("media_type"), F.when(kind == "", "unknown").otherwise(kind), F.lit("is_sensitive"), F.lit("false")).alias("attributes"),
+        F.lit(PLACEHOLDER_CONFIDENCE).alias("confidence"),
+    )
+
+
 def has_sign(name: Column, signs: tuple[str, ...]) -> Column:
     return F.coalesce(F.lower(name).rlike("|".join(signs)), F.lit(False))
 
@@ -79,7 +119,7 @@ def tag_name(tag: Column, names: dict[str, str] | None = None) -> Column:
 
 
 def tag_space(name: Column, spaces: dict[str, tuple[str, ...]] | None = None) -> Column:
-    out = F.lit("content")
+    out = F.lit(DEFAULT_SPACE)
     for space, members in reversed((TAG_SPACES if spaces is None else spaces).items()):
         out = F.when(name.isin(*members), space).otherwise(out)
     return out
@@ -89,14 +129,10 @@ def candidates(raw: Column, subject: Column, capture: Column, has_face: Column,
     """array<struct<namespace, name, confidence>>: what attributes imply, then the raw tags; the first of equal ones, `most` at most."""
     item = lambda space, name, sure: F.struct(space.alias("namespace"), name.alias("name"), F.lit(sure).alias("confidence"))
     lit = lambda space, name, sure: item(F.lit(space), F.lit(name), sure)
-    subject, capture = F.lower(F.trim(subject)), F.lower(F.trim(capture))
-    first = F.array(
-        F.when(subject.isin("1", "single", "one"), lit("content", "单人", 0.65)).when(subject.isin("2", "two", "couple"), lit("content", "双人", 0.65)).when(subject.isin("multiple", "many", "group"), lit("content", "多人", 0.65)),
-        F.when(capture.isin("closeup", "close_up", "close-up"), lit("content", "局部特写", 0.6)).when(capture == "selfie", lit("content", "自拍", 0.7)),
-        F.when(truthy(has_face, TRUE_IN_PAYLOADS), lit("person", "露脸", 0.6)),
-    )
+    implied = lambda value, table: F.coalesce(*(F.when(F.lower(F.trim(value)).isin(*words), lit(*tag)) for words, *tag in table))
+    first = F.array(implied(subject, SUBJECT_TAGS), implied(capture, CAPTURE_TAGS), F.when(truthy(has_face, TRUE_IN_PAYLOADS), lit(*FACE_TAG)))
     names = F.filter(F.transform(raw, lambda t: F.when(~looks_like_path(F.trim(t)), tag_name(t))), lambda n: n.isNotNull())
-    rest = F.transform(names, lambda n: item(tag_space(n), n, 0.6))
+    rest = F.transform(names, lambda n: item(tag_space(n), n, TAG_CONFIDENCE))
     every = F.filter(F.concat(first, rest), lambda c: c.isNotNull())
     key = lambda c: F.concat(c["namespace"], F.lit(":"), c["name"])
     # An array of one element binds what would be computed anew for each use.

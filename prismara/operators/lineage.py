@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once, by a checkpoint in the folder that the session names (a temporary one where none is named)."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names. In local mode, as in tests, one of our own where none is named; on a
+    cluster that is an error, as executors wouldn't see it."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="prismara-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prismara-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, by a checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

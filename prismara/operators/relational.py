@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,13 +22,23 @@ def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 
 def after(columns: Sequence[tuple[Column, object, bool]]) -> Column:
-    """Rows past a position in an order: for each column (expression, its value there, whether it falls)."""
+    """Rows past a position in an order: for each column (expression, its value there, whether it falls). Nulls are the
+    least value: last where it falls and first where it rises."""
     out = F.lit(False)
     for column, value, falls in reversed(columns):
-        out = (column < F.lit(value) if falls else column > F.lit(value)) | ((column == F.lit(value)) & out)
+        if value is None:
+            past = F.lit(False) if falls else column.isNotNull()
+        else:
+            past = F.coalesce(column < F.lit(value), F.lit(True)) if falls else F.coalesce(column > F.lit(value), F.lit(False))
+        out = past | (column.eqNullSafe(F.lit(value)) & out)
     return out
 
 
+def values(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
+    """Inline rows as a relation, such as a list of vectors or of ranks to join with."""
+    return spark.createDataFrame(list(rows), schema)
+
+
 def changed(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """Any pair that differs, null being a value of its own."""
     out = F.lit(False)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.relational import latest_per
@@ -84,14 +83,12 @@ def merge_clusters(t: Tables, kind: str, members: DataFrame, confidence: float)
     """(clusters, cluster_members) after a recompute of a kind from members(title, file_id, score, role).
 
     A cluster is known by its title. Those computed again become candidates with just these members; those of
-    the kind that weren't are ignored and lose theirs. New ids follow the greatest there is, by title.
+    the kind that weren't are ignored and lose theirs. A new cluster's id is a hash of kind and title.
     """
     old = t["clusters"]
     titles = members.groupBy("title").agg(F.min(F.when(F.col("role").isin("cover", "best_quality", "series_focus"), F.col("file_id"))).alias("cover"))
     known = old.where(F.col("cluster_type") == kind).select("title", "id")
-    ranked = titles.join(known, "title", "left_anti").select("title", F.row_number().over(W.orderBy("title")).alias("n"))
-    top = old.agg(F.max("id")).first()[0] or 0
-    fresh = ranked.select("title", (F.col("n") + top).alias("id"))
+    fresh = titles.join(known, "title", "left_anti").select("title", F.xxhash64(F.lit(kind), "title").bitwiseAND(F.lit(2**62 - 1)).alias("id"))
     ids = titles.join(known.join(titles, "title", "left_semi").unionByName(fresh), "title")
     made = ids.select("id", F.lit(kind).alias("cluster_type"), "title", F.lit(confidence).alias("confidence"), F.lit("candidate").alias("status"), F.col("cover").alias("cover_file_id"))
     rest = old.join(ids.select("id"), "id", "left_anti").withColumn("status", F.when(F.col("cluster_type") == kind, "ignored").otherwise(F.col("status")))

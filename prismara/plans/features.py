@@ -10,24 +10,51 @@ from ..sources.catalog import Tables
 from .files import current
 from .ingest import quality_source
 
+#: The frames that clusters are made from.
+ROLE = "understanding"
+
+
+def understanding_frames(t: Tables) -> DataFrame:
+    """(frame_id, file_id, timestamp_ms, frame_phash) of the frames that stand for their video."""
+    return t["video_frames"].where(f"frame_role = '{ROLE}'").select(F.col("id").alias("frame_id"), "file_id", "timestamp_ms", F.col("phash").alias("frame_phash"))
+
+
+def frame_vectors(t: Tables, kinds: tuple[str, ...], each_model: bool = False) -> DataFrame:
+    """(file_id, frame_id, kind, model, v): the latest vector of each such frame, or of each and model; earlier kinds first."""
+    of = t["embeddings"].where(F.col("frame_id").isNotNull() & F.col("embedding_type").isin(*kinds) & (F.col("model_name") != ""))
+    of = of.select("frame_id", "id", F.col("embedding_type").alias("kind"), F.col("model_name").alias("model"), F.col("vector").cast("array<double>").alias("v"))
+    order = [F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")), F.desc("id")]
+    of = latest_per(of.join(understanding_frames(t).select("frame_id", "file_id"), "frame_id"), ["frame_id", *["model"] * each_model], order)
+    return of.select("file_id", "frame_id", "kind", "model", "v")
+
+
+def _looks(rows: DataFrame, name: str) -> DataFrame:
+    """(file_id, name): each file's vectors as an array of (kind, model, v)."""
+    return rows.groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_id", "kind", "model", "v"))), lambda x: F.struct(x["kind"].alias("kind"), x["model"].alias("model"), x["v"].alias("v"))).alias(name))
+
 
 def file_features(t: Tables) -> DataFrame:
-    """Files with dimensions, hashes, the latest vectors (person ones first for `person_*`) and structured attributes.
+    """Files with dimensions, hashes, the latest vectors and structured attributes.
 
-    Vectors of a video's frames and their hashes are arrays; both are a handful for each file.
+    `vector` is the latest image vector, `image_models` that of each model, `person_vector` the latest with person
+    vectors first. Of a video's
+    `understanding` frames there are the hashes, `frame_looks` (the latest frame vector of each), `frame_models`
+    (that of each and model) and `person_looks` (the latest person vector, or else frame vector), each vector
+    with its own kind and model.
     """
     df = quality_source(t).withColumnRenamed("id", "file_id")
     phash = t["image_assets"].select("file_id", "phash")
     quality = current(t, "quality").select("file_id", "quality_score", "quality_tier")
     about = current(t, "understanding").select("file_id", *(F.get_json_object("structured_attributes", f"$.{k}").alias(k) for k in ("has_face", "subject_count", "capture_type")))
     vectors = t["embeddings"].where("file_id IS NOT NULL").select("file_id", "id", F.col("embedding_type").alias("kind"), F.col("model_name").alias("model"), F.col("vector").cast("array<double>").alias("vector"))
-    image = latest_per(vectors.where("kind = 'image_visual'"), ["file_id"], [F.desc("id")])
+    images = vectors.where("kind = 'image_visual'")
+    image = latest_per(images, ["file_id"], [F.desc("id")])
+    each = _looks(latest_per(images, ["file_id", "model"], [F.desc("id")]).select("file_id", F.col("id").alias("frame_id"), "kind", "model", F.col("vector").alias("v")), "image_models")
     person = latest_per(vectors.where("kind IN ('image_visual', 'person_visual')"), ["file_id"], [F.when(F.col("kind") == "person_visual", 0).otherwise(1), F.desc("id")])
-    frames = t["video_frames"].select(F.col("id").alias("frame_id"), "file_id", F.col("phash").alias("frame_phash"))
-    hashes = frames.where("frame_phash <> ''").groupBy("file_id").agg(F.sort_array(F.collect_set("frame_phash")).alias("frame_phashes"))
-    of = t["embeddings"].where("frame_id IS NOT NULL").select("frame_id", "id", F.col("embedding_type").alias("frame_kind"), F.col("model_name").alias("frame_model"), F.col("vector").cast("array<double>").alias("v"))
-    of = latest_per(of, ["frame_id"], [F.when(F.col("frame_kind") == "person_visual", 0).otherwise(1), F.desc("id")]).join(frames, "frame_id")
-    of = of.groupBy("file_id").agg(F.max_by("frame_kind", "id").alias("frame_kind"), F.max_by("frame_model", "id").alias("frame_model"), F.collect_list("v").alias("frame_vectors"))
-    for side in (phash, quality, about, image.drop("id"), person.select("file_id", F.col("kind").alias("person_kind"), F.col("model").alias("person_model"), F.col("vector").alias("person_vector")), hashes, of):
+    hashes = understanding_frames(t).where("frame_phash <> ''").groupBy("file_id").agg(F.sort_array(F.collect_set("frame_phash")).alias("frame_phashes"))
+    looks = _looks(frame_vectors(t, ("video_frame_visual",)), "frame_looks")
+    persons = _looks(frame_vectors(t, ("person_visual", "video_frame_visual")), "person_looks")
+    models = _looks(frame_vectors(t, ("video_frame_visual",), each_model=True), "frame_models")
+    for side in (phash, quality, about, image.drop("id"), each, person.select("file_id", F.col("kind").alias("person_kind"), F.col("model").alias("person_model"), F.col("vector").alias("person_vector")), hashes, looks, models, persons):
         df = df.join(side, "file_id", "left")
     return df

@@ -23,6 +23,8 @@ SORTS = {
     "quality_desc": [("quality_key", True), ("updated_at", True), ("id", True)],
 }
 SOURCE_ORDER = {"human": 0, "ai": 1}
+#: Rows of a page: by default and at most.
+PAGE, MOST = 20, 100
 
 
 @dataclass
@@ -41,10 +43,14 @@ class ListOptions:
     cluster_type: str = ""
     cluster_status: str = ""
     sort: str = "updated_desc"
-    limit: int = 20
+    limit: int = PAGE
     offset: int = 0
     cursor: str = ""
 
+    @property
+    def size(self) -> int:
+        return min(self.limit, MOST) if self.limit > 0 else PAGE
+
 
 @dataclass
 class Page:
@@ -81,9 +87,9 @@ def tag_summary(t: Tables, most: int = 3) -> DataFrame:
 
 
 def overview(t: Tables) -> DataFrame:
-    """One row for each file with what the list shows and filters by."""
-    image = t["image_assets"].select(F.col("file_id").alias("id"), F.col("width").alias("iw"), F.col("height").alias("ih"), "format", "phash")
-    video = t["video_assets"].select(F.col("file_id").alias("id"), F.col("width").alias("vw"), F.col("height").alias("vh"), "duration_ms", "fps", "container", "bitrate", "poster_path")
+    """One row for each file with what the list shows and filters by. A video has a preview if it has a poster."""
+    image = t["image_assets"].select(F.col("file_id").alias("id"), F.col("width").alias("iw"), F.col("height").alias("ih"), "format", F.col("thumbnail_path").alias("thumb"))
+    video = t["video_assets"].select(F.col("file_id").alias("id"), F.col("width").alias("vw"), F.col("height").alias("vh"), "duration_ms", "fps", "container", "bitrate", "poster_path", "video_codec", "audio_codec")
     text = t["search_documents"].select(F.col("file_id").alias("id"), "document_text")
     quality = current(t, "quality").select(F.col("file_id").alias("id"), "quality_score", "quality_tier")
     review = latest_review(t).select(F.col("file_id").alias("id"), F.col("action_type").alias("review_action"))
@@ -91,16 +97,17 @@ def overview(t: Tables) -> DataFrame:
     for side in (image, video, text, quality, review):
         df = df.join(side, "id", "left")
     return df.select(
-        *t["files"].columns, F.coalesce("iw", "vw").alias("width"), F.coalesce("ih", "vh").alias("height"), "duration_ms", "fps", "container", "bitrate", "format",
+        *t["files"].columns, F.coalesce("iw", "vw").alias("width"), F.coalesce("ih", "vh").alias("height"), "duration_ms", "fps", "container", "bitrate", "format", "video_codec", "audio_codec",
+        ((F.col("media_type") == "image") | (F.coalesce("poster_path", F.lit("")) != "")).alias("has_preview"), F.coalesce("thumb", F.lit("")).alias("thumbnail_path"),
         "document_text", "quality_score", "quality_tier", "review_action", F.coalesce("quality_score", F.lit(-1.0)).alias("quality_key"),
     )
 
 
 def tagged(t: Tables, namespace: str = "", tag: str = "") -> DataFrame:
-    """(id): files with any tag, or with a tag of that name; a namespace counts only beside a name."""
+    """(id): files with any tag, or with a tag of that name or display name; a namespace counts only beside one."""
     rows = t["file_tags"]
     if tag:
-        named = t["tags"].where(F.col("name") == tag)
+        named = t["tags"].where((F.col("name") == tag) | (F.col("display_name") == tag))
         named = named.where(F.col("namespace") == namespace) if namespace else named
         rows = rows.join(named.select(F.col("id").alias("tag_id")), "tag_id", "left_semi")
     return rows.select(F.col("file_id").alias("id"))
@@ -113,9 +120,17 @@ def clustered(t: Tables, kind: str, status: str = "") -> DataFrame:
     return t["cluster_members"].join(of.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi").select(F.col("file_id").alias("id"))
 
 
-def filtered(t: Tables, o: ListOptions) -> DataFrame:
-    """overview() with the filters that are asked for; predicates that aren't asked for don't enter the plan."""
-    df = overview(t)
+def _of(t: Tables, ids: DataFrame) -> Tables:
+    """The tables that overview() reads, cut to a page's files: `ids` has MOST + 1 rows at most, so it is sent to all."""
+    few = F.broadcast(ids.select("id"))
+    cut = lambda name, key: t[name].join(few.withColumnRenamed("id", key), key, "left_semi")
+    return {**t, "files": cut("files", "id"), **{name: cut(name, "file_id") for name in ("image_assets", "video_assets", "search_documents", "file_current_analysis", "review_actions", "file_tags")}}
+
+
+def filtered(t: Tables, o: ListOptions, sides: bool = True) -> DataFrame:
+    """overview() with the filters that are asked for; predicates that aren't asked for don't enter the plan. Without
+    `sides` it is the files alone, which will do if nothing else is asked about (see _needs_sides)."""
+    df = overview(t) if sides else t["files"]
     for column, value in (("media_type", o.media_type), ("status", o.status), ("volume_id", o.volume_id), ("quality_tier", o.quality_tier), ("review_action", o.review_action)):
         if value:
             df = df.where(F.col(column) == value)
@@ -153,28 +168,38 @@ def decode_cursor(cursor: str, sort: str) -> list[tuple[Column, object, bool]]:
     held = json.loads(base64.urlsafe_b64decode(cursor))
     if held.get("sort") != sort:
         raise ValueError("the cursor belongs to another sort")
-    return [(F.col(c), datetime.fromisoformat(held[c]) if c == "updated_at" else held[c], falls) for c, falls in SORTS[sort]]
+    return [(F.col(c), datetime.fromisoformat(held[c]) if c == "updated_at" and held[c] else held[c], falls) for c, falls in SORTS[sort]]
+
+
+def _needs_sides(o: ListOptions) -> bool:
+    """Whether a filter or the order reads more than the files."""
+    return bool(o.query or o.quality_tier or o.review_action or o.sort == "quality_desc")
 
 
 def listed(t: Tables, o: ListOptions) -> DataFrame:
-    """The rows of a page and, if there are more, one beyond it, in order and with their tags."""
-    df = filtered(t, o)
+    """The rows of a page and, if there are more, one beyond it, in order and with their tags.
+
+    The page is cut from the files alone wherever nothing else is asked about; what is shown beside them is then
+    joined for its rows only.
+    """
+    sides = _needs_sides(o)
+    df = filtered(t, o, sides)
     if o.cursor:
         df = df.where(after(decode_cursor(o.cursor, o.sort or "updated_desc")))
     order = _order(o.sort or "updated_desc")
-    page = df.orderBy(*order).offset(max(0, o.offset)).limit((o.limit or 20) + 1)
-    tags = tag_summary({**t, "file_tags": t["file_tags"].join(page.select(F.col("id").alias("file_id")), "file_id", "left_semi")})
-    return page.join(tags.withColumnRenamed("file_id", "id"), "id", "left").orderBy(*order)
+    page = df.orderBy(*order).offset(max(0, o.offset)).limit(o.size + 1)
+    few = _of(t, page)
+    page = page if sides else overview(few)
+    return page.join(tag_summary(few).withColumnRenamed("file_id", "id"), "id", "left").orderBy(*order)
 
 
 def list_files(t: Tables, options: ListOptions | None = None) -> Page:
-    """A page of the library. Only the page's rows, limit + 1 at most, come to the driver, for the cursor."""
+    """A page of the library. Only the page's rows, MOST + 1 at most, come to the driver."""
     o = options or ListOptions()
-    sort, size = o.sort or "updated_desc", o.limit or 20
-    df = listed(t, o)
-    keys = df.select(*(c for c, _ in SORTS[sort])).collect()
-    more = len(keys) > size
-    return Page(df.limit(size), more, encode_cursor(sort, keys[size - 1].asDict()) if more else "")
+    sort, df = o.sort or "updated_desc", listed(t, o)
+    rows = df.collect()
+    more = len(rows) > o.size
+    return Page(df.sparkSession.createDataFrame(rows[: o.size], df.schema), more, encode_cursor(sort, rows[o.size - 1].asDict()) if more else "")
 
 
 def file_detail(t: Tables, file_id: int) -> dict[str, DataFrame]:
@@ -200,6 +225,11 @@ def frame_order() -> list[Column]:
     return [F.when(F.col("frame_role") == "understanding", 0).otherwise(1), F.col("timestamp_ms"), F.col("id")]
 
 
+def latest_reviews(t: Tables, most: int = 10) -> DataFrame:
+    """Each file's last reviews, with their place `n`."""
+    return top_n_per(t["review_actions"].where("file_id IS NOT NULL"), ["file_id"], [F.desc("created_at"), F.desc("id")], most, "n")
+
+
 def frame_paths(t: Tables) -> DataFrame:
     """(file_id, n, frame_path): the frames of each video in the order they are shown, from 0."""
     n = top_n_per(t["video_frames"], ["file_id"], frame_order(), 2**31 - 1, "n")

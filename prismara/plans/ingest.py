@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, media, vectors
-from ..operators.relational import changed, latest_per
+from ..operators.relational import changed, latest_per, top_n_per
 from ..sources.catalog import Tables
 
 KEYS = ["volume_id", "abs_path"]
@@ -21,21 +21,25 @@ def scan_changes(files: DataFrame, scan: DataFrame) -> DataFrame:
     return met.where(F.col("id").isNull() | differs | (F.col("status") != "active")).select("id", *KEYS, *SCANNED)
 
 
-def missing(files: DataFrame, scan: DataFrame, volume_id: int) -> DataFrame:
-    """Active files of a volume that the scan hasn't seen."""
-    return files.where((F.col("volume_id") == volume_id) & (F.col("status") == "active")).join(scan.select(*KEYS), KEYS, "left_anti")
+def _of_volume(volume_id: int | None) -> Column:
+    return F.lit(True) if volume_id is None else F.col("volume_id") == volume_id
 
 
-def merge_scan(t: Tables, scan: DataFrame, volume_id: int, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(files, file_path_history) after a scan of a volume.
+def missing(files: DataFrame, scan: DataFrame, volume_id: int | None = None) -> DataFrame:
+    """Active files of a volume, or of all, that the scan hasn't seen."""
+    return files.where(_of_volume(volume_id) & (F.col("status") == "active")).join(scan.select(*KEYS), KEYS, "left_anti")
 
-    Every scanned file is active and gets a `discovered` event; active ones not seen become missing, with an
-    event. Ids of known paths stay; a new path's id is a hash of volume and path.
+
+def merge_scan(t: Tables, scan: DataFrame, as_of: Column, volume_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, file_path_history) after a scan of a volume, or of all.
+
+    Every scanned file is active, updated and gets a `discovered` event; active ones not seen become missing, with
+    an event. Ids of known paths stay; a new path's id is a hash of volume and path.
     """
     seen = scan.select(*KEYS, *(F.col(c).alias(f"new_{c}") for c in SCANNED)).withColumn("seen", F.lit(True))
     met = t["files"].join(seen, KEYS, "full")
     here = F.col("seen").isNotNull()
-    gone = ~here & (F.col("volume_id") == volume_id) & (F.col("status") == "active")
+    gone = ~here & _of_volume(volume_id) & (F.col("status") == "active")
     differs = changed([F.col(c) for c in SCANNED], [F.col(f"new_{c}") for c in SCANNED])
     new_id = F.xxhash64("volume_id", "abs_path").bitwiseAND(F.lit(2**62 - 1))
     values = {
@@ -44,7 +48,7 @@ def merge_scan(t: Tables, scan: DataFrame, volume_id: int, as_of: Column) -> tup
         "status": F.when(here, "active").when(gone, "missing").otherwise(F.col("status")),
         "sha256": F.when(here & differs, None).otherwise(F.col("sha256")),
         "quick_hash": F.when(here & differs, None).otherwise(F.col("quick_hash")),
-        "updated_at": F.when((here & (differs | (F.coalesce("status", F.lit("")) != "active"))) | gone, as_of).otherwise(F.col("updated_at")),
+        "updated_at": F.when(here | gone, as_of).otherwise(F.col("updated_at")),
     }
     event = F.when(here, "discovered").when(gone, "missing")
     both = met.select(*(values.get(c, F.col(c)).alias(c) for c in t["files"].columns), event.alias("event_type"))
@@ -60,6 +64,23 @@ def quality_source(t: Tables) -> DataFrame:
     return df.withColumns({"width": F.coalesce("iw", "vw"), "height": F.coalesce("ih", "vh")}).drop("iw", "ih", "vw", "vh")
 
 
+def understanding_sources(t: Tables, most: int = 6) -> DataFrame:
+    """(file_id, file_path, file_name, media_type, frame_paths): what a model is asked about; of a video the first `understanding` frames."""
+    frames = top_n_per(t["video_frames"].where("frame_role = 'understanding'"), ["file_id"], [F.col("timestamp_ms"), F.col("id")], most, "n")
+    frames = frames.groupBy(F.col("file_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "frame_path"))), lambda x: x["frame_path"]).alias("frame_paths"))
+    df = t["files"].join(frames, "id", "left")
+    return df.select(F.col("id").alias("file_id"), F.col("abs_path").alias("file_path"), "file_name", "media_type", F.when(F.col("media_type") == "video", F.coalesce("frame_paths", F.array().cast("array<string>"))).alias("frame_paths"))
+
+
+def embedding_sources(t: Tables) -> DataFrame:
+    """(file_id, frame_id, path, phash): what vectors are made from, images and the `understanding` frames of videos."""
+    none = lambda c: F.coalesce(c, F.lit(""))
+    images = t["files"].where("media_type = 'image'").join(t["image_assets"].select(F.col("file_id").alias("id"), "phash"), "id", "left")
+    images = images.select(F.col("id").alias("file_id"), F.lit(None).cast("long").alias("frame_id"), none("abs_path").alias("path"), none("phash").alias("phash"))
+    frames = t["video_frames"].where("frame_role = 'understanding'").select("file_id", F.col("id").alias("frame_id"), none("frame_path").alias("path"), none("phash").alias("phash"))
+    return images.unionByName(frames)
+
+
 def infer_quality(t: Tables) -> DataFrame:
     """(file_id, quality_score, quality_tier, summary)."""
     c = F.col
@@ -127,6 +148,7 @@ def replace_vectors(t: Tables, fresh: DataFrame) -> DataFrame:
     return kept.select(*own.columns).unionByName(fresh.select(*own.columns))
 
 
-def wants_person_vectors(has_face: Column, subject: Column, capture: Column, spaces: Column) -> Column:
-    """Whether an understanding calls for person vectors: a face, one or more subjects, a selfie, or a person tag."""
-    return labels.truthy(has_face) | F.coalesce(labels.subject_count(subject).isin("single", "multiple"), F.lit(False)) | F.coalesce(labels.capture_type(capture) == "selfie", F.lit(False)) | F.coalesce(F.array_contains(spaces, "person"), F.lit(False))
+def wants_person_vectors(has_face: Column, subject: Column, capture: Column, candidates: Column) -> Column:
+    """Whether an understanding calls for person vectors: a tag that names a person or shows one, a face, subjects, or a way of taking that shows people."""
+    tagged = F.exists(candidates, lambda c: (c["namespace"] == "person") | ((c["namespace"] == "content") & labels.holds_any(c["name"], labels.CONTENT_WORDS)))
+    return F.coalesce(tagged, F.lit(False)) | labels.holds_any(has_face) | labels.holds_any(subject, labels.SUBJECT_WORDS) | labels.holds_any(capture, labels.CAPTURE_WORDS)

@@ -78,15 +78,13 @@ def review(t: Tables, action_id: int, file_id: int, action: str, at: datetime) -
     return t["review_actions"].unionByName(_rows(t, "review_actions", [(action_id, file_id, None, action, at)]))
 
 
-def review_cluster(t: Tables, first_id: int, cluster_id: int, action: str, at: datetime) -> DataFrame:
-    """review_actions with the action for every member of a cluster; ids by the members' order."""
+def review_cluster(t: Tables, cluster_id: int, action: str, at: datetime) -> DataFrame:
+    """review_actions with the action for every member of a cluster; a row's id is a hash of cluster, file, action and time."""
     if action not in ACTIONS:
         raise ValueError(f"unknown action {action!r}")
-    from pyspark.sql import Window as W
-
     own = t["cluster_members"].where(F.col("cluster_id") == cluster_id).select("file_id").distinct()
-    n = F.row_number().over(W.orderBy("file_id")) - 1 + first_id
-    return t["review_actions"].unionByName(own.select(n.cast("long").alias("id"), "file_id", F.lit(cluster_id).cast("long").alias("cluster_id"), F.lit(action).alias("action_type"), F.lit(at).alias("created_at")))
+    rows = own.select("file_id", F.lit(cluster_id).cast("long").alias("cluster_id"), F.lit(action).alias("action_type"), F.lit(at).alias("created_at"))
+    return t["review_actions"].unionByName(rows.withColumn("id", F.xxhash64("cluster_id", "file_id", "action_type", "created_at").bitwiseAND(F.lit(2**62 - 1))))
 
 
 def trash(t: Tables, action_id: int, file_id: int, at: datetime) -> tuple[DataFrame, DataFrame]:
@@ -123,10 +121,21 @@ def lease_next(t: Tables, as_of: Column) -> DataFrame:
     return first.withColumns({"status": F.lit("leased"), "attempts": F.col("attempts") + 1, "lease_expires_at": as_of + F.expr("INTERVAL 10 MINUTES")})
 
 
+_TARGET = ["job_type", "target_type", "target_id"]
+
+
 def ensure_jobs(t: Tables, wanted: DataFrame) -> DataFrame:
     """Of wanted(job_type, target_type, target_id, ...), distinct, those without an open job of the same type and target."""
-    keys = ["job_type", "target_type", "target_id"]
-    return wanted.dropDuplicates(keys).join(t["jobs"].where(F.col("status").isin(*OPEN)).select(*keys), keys, "left_anti")
+    return wanted.dropDuplicates(_TARGET).join(t["jobs"].where(F.col("status").isin(*OPEN)).select(*_TARGET), _TARGET, "left_anti")
+
+
+def inserted_or_existing(t: Tables, wanted: DataFrame) -> DataFrame:
+    """(job_type, target_type, target_id, id, status, created): of each wanted target the open job there is, the first by
+    id, or a new pending one, whose id is a hash of the target."""
+    there = t["jobs"].where(F.col("status").isin(*OPEN)).groupBy(*_TARGET).agg(F.min(F.struct("id", "status")).alias("job"))
+    met = wanted.select(*_TARGET).distinct().join(there, _TARGET, "left")
+    new_id = F.xxhash64(*_TARGET).bitwiseAND(F.lit(2**62 - 1))
+    return met.select(*_TARGET, F.coalesce("job.id", new_id).alias("id"), F.coalesce("job.status", F.lit("pending")).alias("status"), F.col("job").isNull().alias("created"))
 
 
 def with_rows(t: Tables, name: str, rows: DataFrame, key: str = "id") -> DataFrame:
@@ -134,12 +143,18 @@ def with_rows(t: Tables, name: str, rows: DataFrame, key: str = "id") -> DataFra
     return t[name].join(rows.select(key), key, "left_anti").unionByName(rows.select(*t[name].columns))
 
 
-def mark(t: Tables, job_id: int, status: str, error: str | None = None) -> DataFrame:
-    """Jobs with one running, succeeded or failed."""
+def mark(t: Tables, job_id: int, status: str, as_of: Column, error: str | None = None, worker: str | None = None, stage: str | None = None) -> DataFrame:
+    """Jobs with one running (by a worker, at a stage), succeeded or failed; the first start of a job stays."""
     if status not in ("running", "succeeded", "failed"):
         raise ValueError(f"a job can't be marked {status!r}")
+    changes = {"status": F.lit(status), "updated_at": as_of}
+    if status == "running":
+        changes |= {"progress_stage": F.nullif(F.lit(stage), F.lit("")), "worker_name": F.nullif(F.lit(worker), F.lit("")), "started_at": F.coalesce("started_at", as_of)}
+    else:
+        changes |= {"finished_at": as_of, "lease_expires_at": F.lit(None).cast("timestamp")}
+        changes |= {"last_error": F.lit(error)} if status == "failed" else {"progress_stage": F.lit(None).cast("string"), "progress_percent": F.lit(100)}
     own = F.col("id") == job_id
-    return t["jobs"].withColumns({"status": F.when(own, status).otherwise(F.col("status")), "last_error": F.when(own, F.lit(error)).otherwise(F.col("last_error")), "lease_expires_at": F.when(own & (status != "running"), None).otherwise(F.col("lease_expires_at"))})
+    return t["jobs"].withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in changes.items()})
 
 
 def retry(t: Tables, job_id: int, as_of: Column) -> DataFrame:

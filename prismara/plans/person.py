@@ -31,7 +31,7 @@ OTHER_BASE, FAMILY, PARENT, PERSON_VECTOR, GENERIC_VECTOR, FACES, SUBJECTS, CAPT
 TIME = ((6, 0.06), (24, 0.04), (24 * 7, 0.02))
 CONFIDENCE = 0.55
 
-FACTS = ("media_type", "parent_path", "family", "t", "width", "height", "duration_ms", "face", "subject_count", "capture_type", "person_kind", "person_model", "person_vector", "frame_kind", "frame_model", "frame_vectors")
+FACTS = ("media_type", "parent_path", "family", "t", "width", "height", "duration_ms", "face", "subject_count", "capture_type", "person_kind", "person_model", "person_vector", "person_looks")
 
 
 def person_tags(t: Tables) -> DataFrame:
@@ -71,24 +71,23 @@ def _known(a: str, b: str) -> Column:
     return F.coalesce((F.col(a) != "") & (F.col(a) == F.col(b)), F.lit(False))
 
 
-def _kind(c: str) -> Column:
-    k = F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    return F.when(k.isin("image_visual", "video_frame_visual", "generic_visual", ""), "generic_visual").otherwise(k)
+def _looks(p: str) -> tuple[Column, Column]:
+    """A side's image and its frames as arrays of (kind, model, v); kinds that aren't about persons are one."""
+    kind = lambda k: F.when(F.lower(F.trim(F.coalesce(k, F.lit("")))) == "person_visual", "person_visual").otherwise("generic_visual")
+    image = F.struct(kind(F.col(f"{p}_person_kind")).alias("kind"), F.col(f"{p}_person_model").alias("model"), F.col(f"{p}_person_vector").alias("v"))
+    frames = F.transform(f"{p}_person_looks", lambda x: F.struct(kind(x["kind"]).alias("kind"), x["model"].alias("model"), x["v"].alias("v")))
+    return F.when(F.col(f"{p}_person_vector").isNotNull(), F.array(image)), frames
 
 
 def vector_points(th: Thresholds) -> Column:
-    """The best of image to image, frames to frames and image to frames; both sides of one model and one kind."""
+    """The best of image to image, frames to frames and image to frames; both vectors of one model and one kind."""
+    (image_a, frames_a), (image_b, frames_b) = _looks("a"), _looks("b")
     out = F.lit(0.0)
-    c = F.col
-    for a, b, near in (
-        ("a_person", "b_person", vectors.near(c("a_person_vector"), c("b_person_vector"), th.image_distance)),
-        ("a_frame", "b_frame", vectors.near_count(c("a_frame_vectors"), c("b_frame_vectors"), th.frame_distance) >= 1),
-        ("a_person", "b_frame", vectors.any_near(c("a_person_vector"), c("b_frame_vectors"), th.frame_distance)),
-        ("b_person", "a_frame", vectors.any_near(c("b_person_vector"), c("a_frame_vectors"), th.frame_distance)),
-    ):
-        kind = _kind(f"{a}_kind")
-        points = F.when(kind == "person_visual", PERSON_VECTOR).when(kind == "generic_visual", GENERIC_VECTOR).otherwise(0.0)
-        out = F.greatest(out, F.when(_known(f"{a}_model", f"{b}_model") & (kind == _kind(f"{b}_kind")) & near, points).otherwise(0.0))
+    for kind, points in (("generic_visual", GENERIC_VECTOR), ("person_visual", PERSON_VECTOR)):
+        near = vectors.looks_near(image_a, image_b, th.image_distance, kind)
+        for left, right in ((frames_a, frames_b), (image_a, frames_b), (frames_a, image_b)):
+            near = near | vectors.looks_near(left, right, th.frame_distance, kind)
+        out = F.when(near, points).otherwise(out)
     return out
 
 

@@ -22,7 +22,8 @@ TABLES = {
     "cluster_members": "cluster_id long, file_id long, score double, role string",
     "file_relationships": "from_file_id long, to_file_id long, relation_type string, score double",
     "review_actions": "id long, file_id long, cluster_id long, action_type string, created_at timestamp",
-    "jobs": "id long, job_type string, priority int, status string, target_type string, target_id long, payload string, attempts int, max_attempts int, scheduled_at timestamp, lease_expires_at timestamp, last_error string",
+    "jobs": "id long, job_type string, priority int, status string, target_type string, target_id long, payload string, attempts int, max_attempts int, scheduled_at timestamp, lease_expires_at timestamp, last_error string, "
+    "progress_stage string, progress_percent int, worker_name string, started_at timestamp, finished_at timestamp, updated_at timestamp",
     "job_events": "id long, job_id long, level string, message string, created_at timestamp",
 }
 

@@ -11,15 +11,21 @@ from prismara.sources import providers
 T0 = datetime(2024, 1, 1, 12)
 WIDE = (
     "file_id long, media_type string, status string, sha256 string, parent_path string, file_name string, mtime timestamp, size_bytes long, width int, height int, duration_ms long, bitrate long, fps double, container string, "
-    "quality_score double, phash string, kind string, model string, vector array<double>, frame_phashes array<string>, frame_kind string, frame_model string, frame_vectors array<array<double>>, "
+    "quality_score double, phash string, kind string, model string, vector array<double>, image_models array<struct<kind: string, model: string, v: array<double>>>, frame_phashes array<string>, "
+    "frame_looks array<struct<kind: string, model: string, v: array<double>>>, frame_models array<struct<kind: string, model: string, v: array<double>>>, person_looks array<struct<kind: string, model: string, v: array<double>>>, "
     "person_kind string, person_model string, person_vector array<double>, has_face string, subject_count string, capture_type string"
 )
-NAMES = [x.split()[0] for x in WIDE.split(", ")]
+
+
+def look(*vectors, kind="video_frame_visual", model="m"):
+    return [(kind, model, v) for v in vectors]
 
 
 def wide(spark, *rows):
     base = {"media_type": "image", "status": "active", "parent_path": "/a", "file_name": "f.jpg", "mtime": T0, "width": 1920, "height": 1080}
-    return spark.createDataFrame([tuple((base | r).get(n) for n in NAMES) for r in rows], WIDE)
+    full = [base | {"image_models": look(r["vector"], kind=r["kind"], model=r["model"])} | r if r.get("vector") else base | r for r in rows]
+    names = spark.createDataFrame([], WIDE).columns
+    return spark.createDataFrame([tuple((r | {"frame_models": r.get("frame_looks")}).get(n) for n in names) for r in full], WIDE)
 
 
 def tables(spark, **rows):
@@ -41,7 +47,7 @@ def test_tiers_of_near_content(spark):
         {"file_id": 20, "vector": [0.95, 0.90, 0.85], **near}, {"file_id": 21, "vector": [0.95, 0.89, 0.84], **near}, {"file_id": 22, "vector": [5.0, 5.0, 5.0], **near}, {"file_id": 23, "vector": [0.95, 0.9, 0.85], **near, "model": "other"},
         {"file_id": 24, "vector": [0.95, 0.9, 0.85], **near, "width": 320, "height": 180},
         {"file_id": 30, "media_type": "video", "duration_ms": 60_000, "frame_phashes": ["1", "2", "3"]}, {"file_id": 31, "media_type": "video", "duration_ms": 58_000, "frame_phashes": ["1", "2", "9"]}, {"file_id": 32, "media_type": "video", "duration_ms": 300_000, "frame_phashes": ["1", "2"]},
-        {"file_id": 40, "media_type": "video", "frame_kind": "video_frame_visual", "frame_model": "m", "frame_vectors": [[0.0, 0.1], [0.5, 0.5]]}, {"file_id": 41, "media_type": "video", "frame_kind": "video_frame_visual", "frame_model": "m", "frame_vectors": [[0.0, 0.12], [0.52, 0.5]]},
+        {"file_id": 40, "media_type": "video", "frame_looks": look([0.0, 0.1], [0.5, 0.5])}, {"file_id": 41, "media_type": "video", "frame_looks": look([0.0, 0.12], [0.52, 0.5])},
     )
     got = {}
     for r in content.same_content(df).collect():
@@ -107,7 +113,7 @@ def test_scan_of_a_directory(spark, tmp_path):
     (tmp_path / "a" / "X.JPG").write_bytes(b"123")
     (tmp_path / "b.mp4").write_bytes(b"")
     (tmp_path / "c.txt").write_bytes(b"no")
-    got = {r["file_name"]: r for r in scans.scan_volume(spark, str(tmp_path), 1, with_hashes=True).collect()}
+    got = {r["file_name"]: r for r in scans.scan_volume(spark, str(tmp_path), 1, hashes=True).collect()}
     assert set(got) == {"X.JPG", "b.mp4"} and got["X.JPG"]["media_type"] == "image" and got["X.JPG"]["size_bytes"] == 3 and got["X.JPG"]["parent_path"] == str(tmp_path / "a")
     with pytest.raises(scans.VolumeOffline):
         scans.scan_volume(spark, str(tmp_path / "gone"), 1)
@@ -117,15 +123,15 @@ def test_merge_of_a_scan(spark):
     row = lambda i, path, status, size: (i, 1, path, "/v", path[3:], ".jpg", "image", size, T0, "s", "q", status, T0)
     t = tables(spark, files=[row(1, "/v/a", "active", 1), row(2, "/v/b", "active", 1), row(3, "/v/c", "trashed", 1), row(4, "/v/d", "active", 1)])
     scan = spark.createDataFrame([(1, p, "/v", p[3:], ".jpg", "image", s, T0) for p, s in (("/v/a", 1), ("/v/b", 2), ("/v/c", 1), ("/v/new", 5))], "volume_id long, abs_path string, parent_path string, file_name string, extension string, media_type string, size_bytes long, mtime timestamp")
-    merged, history = ingest.merge_scan(t, scan, 1, F.lit(T0 + timedelta(days=1)))
+    merged, history = ingest.merge_scan(t, scan, F.lit(T0 + timedelta(days=1)), 1)
     got = {r["abs_path"]: (r["status"], r["sha256"], r["updated_at"] > T0) for r in merged.collect()}
-    assert got == {"/v/a": ("active", "s", False), "/v/b": ("active", None, True), "/v/c": ("active", "s", True), "/v/d": ("missing", "s", True), "/v/new": ("active", None, True)}
+    assert got == {"/v/a": ("active", "s", True), "/v/b": ("active", None, True), "/v/c": ("active", "s", True), "/v/d": ("missing", "s", True), "/v/new": ("active", None, True)}
     assert sorted(r["event_type"] for r in history.collect()) == ["discovered"] * 4 + ["missing"]
     assert {r["abs_path"] for r in ingest.scan_changes(t["files"], scan).collect()} == {"/v/b", "/v/c", "/v/new"}
 
 
 def test_jobs(spark):
-    job = lambda i, status, priority, due, lease=None: (i, "hash_file", priority, status, "file", i, None, 0, 3, due, lease, None)
+    job = lambda i, status, priority, due, lease=None: (i, "hash_file", priority, status, "file", i, None, 0, 3, due, lease, *[None] * 7)
     t = tables(spark, jobs=[job(1, "pending", 90, T0), job(2, "pending", 70, T0 + timedelta(hours=1)), job(3, "leased", 80, T0, T0 - timedelta(minutes=1)), job(4, "failed", 10, T0), job(5, "running", 10, T0)])
     now = F.lit(T0)
     got = library.lease_next(t, now).first()
@@ -135,7 +141,13 @@ def test_jobs(spark):
     wanted = spark.createDataFrame([("hash_file", "file", 1), ("hash_file", "file", 4), ("hash_file", "file", 4)], "job_type string, target_type string, target_id long")
     assert [r["target_id"] for r in library.ensure_jobs(t, wanted).collect()] == [4]
     assert tuple(library.task_summary(t).first()) == (2, 2, 1, 0, 0)
-    assert {r["id"]: r["last_error"] for r in library.mark(t, 5, "failed", "no").collect()}[5] == "no"
+    assert {r["id"]: r["last_error"] for r in library.mark(t, 5, "failed", now, "no").collect()}[5] == "no"
+    ran = library.mark(t, 1, "running", now, worker="w", stage="").where("id = 1").first()
+    assert (ran["status"], ran["worker_name"], ran["progress_stage"], ran["started_at"]) == ("running", "w", None, T0)
+    done = library.mark(t | {"jobs": library.mark(t, 1, "running", now, worker="w", stage="s")}, 1, "succeeded", F.lit(T0 + timedelta(hours=1))).where("id = 1").first()
+    assert (done["status"], done["progress_stage"], done["progress_percent"], done["started_at"], done["finished_at"]) == ("succeeded", None, 100, T0, T0 + timedelta(hours=1))
+    both = {r["target_id"]: r for r in library.inserted_or_existing(t, wanted).collect()}
+    assert (both[1]["id"], both[1]["created"], both[4]["created"], both[4]["status"]) == (1, False, True, "pending")
 
 
 def test_tags_reviews_and_clusters(spark):
@@ -143,15 +155,17 @@ def test_tags_reviews_and_clusters(spark):
     fresh = spark.createDataFrame([(1, 3, 0.7, None), (1, 3, 0.6, None)], "file_id long, tag_id long, confidence double, evidence string")
     assert sorted((r["file_id"], r["tag_id"]) for r in library.replace_ai_tags(t, fresh).collect()) == [(1, 2), (1, 3), (2, 1)]
     assert sorted((r["file_id"], r["tag_id"]) for r in library.replace_tag(t, 1, 2, 9).collect()) == [(1, 1), (1, 9), (2, 1)]
-    assert [(r["id"], r["file_id"]) for r in library.review_cluster(t, 100, 1, "keep", T0).orderBy("id").collect()] == [(100, 5), (101, 6)]
+    made = library.review_cluster(t, 1, "keep", T0).collect()
+    assert {r["file_id"] for r in made} == {5, 6} and len({r["id"] for r in made}) == 2
     with pytest.raises(ValueError):
         library.review(t, 1, 1, "deleted_to_trash", T0)
     members = spark.createDataFrame([("new", 7, 1.0, "cover"), ("new", 8, 0.5, "member")], "title string, file_id long, score double, role string")
     made, rows = clusters.merge_clusters(t, "same_person", members, 0.55)
-    assert {(r["id"], r["title"], r["status"]) for r in made.collect()} == {(1, "old", "ignored"), (2, "s", "confirmed"), (3, "new", "candidate")}
-    assert {(r["cluster_id"], r["file_id"]) for r in rows.collect()} == {(3, 7), (3, 8)}
+    new = made.where("title = 'new'").first()["id"]
+    assert {(r["id"], r["title"], r["status"]) for r in made.collect()} == {(1, "old", "ignored"), (2, "s", "confirmed"), (new, "new", "candidate")}
+    assert {(r["cluster_id"], r["file_id"]) for r in rows.collect()} == {(new, 7), (new, 8)}
     again, rows = clusters.merge_clusters(t | {"clusters": made, "cluster_members": rows}, "same_person", members, 0.55)
-    assert {(r["id"], r["status"]) for r in again.collect()} == {(1, "ignored"), (2, "confirmed"), (3, "candidate")} and rows.count() == 2
+    assert {(r["id"], r["status"]) for r in again.collect()} == {(1, "ignored"), (2, "confirmed"), (new, "candidate")} and rows.count() == 2
 
 
 class Failing:
