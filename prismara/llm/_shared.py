@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.lineage import checkpoint_dir
 
 #: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The same as a Java and Python regular expression of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the array code takes at once, whatever a batch of rows holds.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SEPARATORS)] = False
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set, as in tests."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="prismara-checkpoints-")
-        context.setCheckpointDir(named)
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df by way of a checkpoint in the shared folder, so that no executor's loss undoes it."""
     checkpoint_dir(df.sparkSession)
@@ -40,14 +30,62 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again; it goes when the session ends."""
+    """df written as Parquet in the shared folder and read again; it goes with done(), or when the session ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/prismara-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, system = _place(df, path)
+    system.deleteOnExit(where)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def _place(df: DataFrame, path: str) -> tuple:
+    context = df.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes shared tables that nothing will read again."""
+    for df in tables:
+        if path := vars(df).pop("_shared_path", None):
+            where, system = _place(df, path)
+            system.delete(where, True)
+
+
+def kept(keep: Iterable[str], *made: str) -> list[str]:
+    """The columns to keep but for those that new ones of the same name replace."""
+    taken = {x.lower() for x in made}
+    return [x for x in keep if x.lower() not in taken]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that df hasn't, whatever it has."""
+    there = {x.lower() for x in df.columns}
+    mark = "_"
+    while any(f"{mark}{x}".lower() in there for x in names):
+        mark += "_"
+    return [f"{mark}{x}" for x in names]
+
+
+#: A key with this share of a table's rows, or more, is hot.
+HOT = 1 << 11
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has a row for each key at most, where a few keys may hold many of the rows.
+
+    Keys with one row in HOT or more, HOT at the most, meet their facts by broadcast; the rest by a join that
+    deals rows by key. Pass settled rows and facts: both are read twice.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    least = max(1000, rows.count() // HOT)
+    hot = cut(counts.where(F.col("_n") >= least).select(key))
+    calm = rows.join(F.broadcast(hot), key, "left_anti").join(facts, key, how)
+    warm = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(facts.join(F.broadcast(hot), key, "left_semi")), key, how)
+    return calm.unionByName(warm)
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:

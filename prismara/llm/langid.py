@@ -10,285 +10,287 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, mix
+from ._shared import chunks, cut, kept, mix
 
 #: Characters of an n-gram.
 ORDER = 4
 #: Documents of each language that its model is fitted on, at most about so many in expectation; one in ten of
 #: them isn't counted but calibrates the rejection.
 SAMPLE, CALIBRATES = 2000, 10
-#: n-grams of each order that a language keeps, those counted most; so a model's size is bounded.
-MOST_GRAMS = 200_000
 #: Characters that an unseen one is one of.
 ALPHABET = 1 << 12
-#: Letters below which nothing is rejected for its cross-entropy, and nats a character above the calibrated bound that are let pass.
-SHORT, MARGIN = 20, 1.0
+#: Lengths, in scored characters, at which a bound is calibrated, and the share of a language's own pieces that may lie above it.
+LENGTHS, FALSE_REJECTS = tuple(2**i for i in range(1, 14)), 0.001
 
 UNKNOWN = "und"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For each code point up to 0xFFFF itself in lower case if it is a letter, else 0; others are mapped to 0xFFFF."""
-    out = np.zeros(1 << 16, np.uint64)
-    for i in range(1 << 16):
+    """For each code point that may be a letter itself in lower case if it is one, else 0."""
+    out = np.zeros(1 << 18, np.uint32)
+    for i in range(len(out)):
         if (c := chr(i)).isalpha():
             low = c.lower()
-            out[i] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else i
+            out[i] = ord(low) if len(low) == 1 else i
     return out
 
 
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(16-bit code of each character, number of each text's first with the total at the end).
+def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each character, positions that are scored, number of each text's first of these with the total at its end).
 
-    Lower-case letters; every run of anything else, and each text's start and end, is one code 1.
+    A letter's code is its code point in lower case; every run of anything else, and the text's end, is one code 1.
+    Each text is preceded by ORDER - 1 codes 1, which are only contexts. Bytes that aren't UTF-8 are no letters.
     """
-    joined = "\n".join(["", *(x.decode() for x in texts), ""])
-    point = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    small = _letters()[np.minimum(point, 0xFFFF)]
-    if len(odd := np.flatnonzero(point > 0xFFFF)):
-        small[odd] = [0xFFFF if chr(p).isalpha() else 0 for p in point[odd].tolist()]
-    size = np.fromiter((len(x.decode()) + 1 for x in texts), np.int64, len(texts))
-    begin = np.concatenate(([0], np.cumsum(size)))  # of the line feed before each text
-    code = np.where(small == 0, np.uint64(1), small)
-    keep = np.concatenate(([True], (code[1:] != 1) | (code[:-1] != 1)))
-    keep[begin] = True
+    read = [x.decode("utf-8", "replace") for x in texts]
+    start = "\n" * (ORDER - 1)
+    point = np.frombuffer("".join(f"{start}{x}\n" for x in read).encode("utf-32-le", "replace"), np.uint32)
+    letter = np.where(point < 1 << 18, _letters()[np.minimum(point, (1 << 18) - 1)], 0)
+    code = np.where(letter == 0, 1, letter).astype(np.uint64)
+    begin = np.concatenate(([0], np.cumsum(np.fromiter((len(x) + ORDER for x in read), np.int64, len(read)))))
+    keep = np.ones(len(code), bool)
+    keep[1:] = (code[1:] != 1) | (code[:-1] != 1)
+    for i in range(ORDER - 1):
+        keep[begin[:-1] + i] = True
     upto = np.concatenate(([0], np.cumsum(keep)))
-    return code[keep], upto[begin]
-
-
-def _grams(code: np.ndarray, order: int) -> np.ndarray:
-    """The last `order` characters at each position from order - 1 on, packed 16 bits each, the last lowest."""
-    n = len(code) - order + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for j in range(order):
-        out = out << np.uint64(16) | code[j : j + n]
+    first = upto[begin]
+    scored = np.ones(int(upto[-1]), bool)
+    for i in range(ORDER - 1):
+        scored[first[:-1] + i] = False
+    return code[keep], np.flatnonzero(scored), np.concatenate(([0], np.cumsum(scored)))[first]
+
+
+def _grams(code: np.ndarray) -> list[np.ndarray]:
+    """For each order the 64-bit hash of the codes that end at each position."""
+    out = [mix(code + np.uint64(1))]
+    for _ in range(ORDER - 1):
+        before = np.concatenate((np.zeros(1, np.uint64), out[-1][:-1]))
+        out.append(mix(before * _STEP + out[0]))
     return out
 
 
-def _owned(first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The positions at which a gram ends that lies in one text, and the number of each text's first of these."""
-    size = np.maximum(np.diff(first) + 1 - (order - 1), 0)  # a text has the mark before it and the one after
-    at = np.concatenate(([0], np.cumsum(size)))
-    return np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(first[:-1], size), at
-
-
-class Model:
-    """The models of all languages: for each order the n-grams' hashes, sorted, with a column of log-probabilities
-    for each language, and of back-off weights by context. Hashing is a bijection of the packed n-gram, so that
-    no two n-grams share one."""
-
-    def __init__(self, languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], back: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, unseen: np.ndarray):
-        self.languages, self.grams, self.back, self.bound, self.unseen = languages, grams, back, bound, unseen
-
-    @staticmethod
-    def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-        return at, table[at] == key
-
-    def log_p(self, gram: np.ndarray) -> np.ndarray:
-        """(n, languages): the log-probability of each n-gram's last character after the ones before it."""
-        out = np.zeros((len(gram), len(self.languages)), np.float32)
-        rest, order = np.arange(len(gram)), ORDER
-        while len(rest) and order:
-            part = gram[rest] & np.uint64((1 << 16 * order) - 1)
-            hashes, value = self.grams[order - 1]
-            at, found = self._find(hashes, mix(part))
-            if order == ORDER and found.all():
-                return value[at]
-            out[rest[found]] += value[at[found]]
-            rest, part = rest[~found], part[~found]
+def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return at, table[at] == key
+
+
+class Language:
+    """One language's model: for each order the n-grams' hashes, sorted, with log-probabilities, and the contexts'
+    with back-off weights; and the cross-entropy above which a text of some length is rejected."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], back: list[tuple[np.ndarray, np.ndarray]], unseen: float, bound: tuple[np.ndarray, np.ndarray] | None = None):
+        self.grams, self.back, self.unseen, self.bound = grams, back, unseen, bound
+
+    def log_p(self, hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """The log-probability of the character at each position after the ones before it."""
+        out, rest = np.zeros(len(at), np.float32), np.arange(len(at))
+        for order in range(ORDER, 0, -1):
+            keys, value = self.grams[order - 1]
+            i, found = _find(keys, hashes[order - 1][at[rest]])
+            out[rest[found]] += value[i[found]]
+            rest = rest[~found]
+            if not len(rest):
+                return out
+            keys, value = self.back[order - 1]
             if order > 1:
-                hashes, value = self.back[order - 2]
-                at, known = self._find(hashes, mix(part >> np.uint64(16)))
-                out[rest[known]] += value[at[known]]
-            order -= 1
-        if len(rest):
-            out[rest] += self.unseen
+                i, known = _find(keys, hashes[order - 2][at[rest] - 1])
+                out[rest[known]] += value[i[known]]
+        out[rest] += self.unseen
         return out
 
-    def cross_entropy(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """((texts, languages) nats a character, letters of each text)."""
-        code, first = _codes(texts)
-        at, owner = _owned(first, ORDER)
-        sums = np.zeros((len(texts), len(self.languages)))
-        gram = _grams(code, ORDER)
-        step = 1 << 17
-        text = np.repeat(np.arange(len(texts)), np.diff(owner))
-        for i in range(0, len(at), step):
-            own = text[i : i + step]
-            cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            sums[own[cut]] -= np.add.reduceat(self.log_p(gram[at[i : i + step]]), cut, axis=0, dtype=np.float64)
-        letters = np.concatenate(([0], np.cumsum(code != 1)))
-        n = np.diff(owner)
-        return sums / np.maximum(n, 1)[:, None], letters[first[1:]] - letters[first[:-1]]
+    def most(self, length: np.ndarray) -> np.ndarray:
+        """The bound for texts of so many scored characters, between the calibrated lengths by their logarithm."""
+        if self.bound is None or not len(self.bound[0]):
+            return np.full(len(length), np.inf)
+        return np.interp(np.log2(np.maximum(length, 1)), np.log2(self.bound[0]), self.bound[1])
+
+
+class Model:
+    """The languages' models, each with its own tables."""
+
+    def __init__(self, languages: dict[str, Language]):
+        self.names = sorted(languages)
+        self.languages = [languages[x] for x in self.names]
+
+    def cross_entropy(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """((texts, languages) nats a scored character, scored characters and letters of each text)."""
+        code, at, owner = _codes(texts)
+        hashes = _grams(code)
+        _, one, same = np.unique(hashes[-1][at], return_index=True, return_inverse=True)
+        size = np.diff(owner)
+        some = np.flatnonzero(size)
+        sums = np.zeros((len(texts), len(self.names)))
+        for i, language in enumerate(self.languages if len(at) else []):
+            sums[some, i] = -np.add.reduceat(language.log_p(hashes, at[one])[same], owner[some], dtype=np.float64)
+        letters = np.concatenate(([0], np.cumsum(code[at] != 1)))[owner]
+        return sums / np.maximum(size, 1)[:, None], size, np.diff(letters)
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text."""
-        if not self.languages:
+        if not self.names:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        entropy, letters = self.cross_entropy(texts)
+        entropy, size, letters = self.cross_entropy(texts)
         best = entropy.argmin(axis=1)
         least = entropy[np.arange(len(texts)), best]
-        sharp = np.minimum(letters, 64)[:, None]
+        sharp = np.minimum(size, 64)[:, None]
         score = 1 / np.exp((least[:, None] - entropy) * sharp).sum(axis=1)
         none = letters == 0
-        rejected = none | ((letters >= SHORT) & (least > self.bound[best]))
-        return [UNKNOWN if x else self.languages[b] for b, x in zip(best.tolist(), none.tolist(), strict=True)], np.where(none, 0.0, score), rejected
-
-
-def _count(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and counts; of over MOST_GRAMS those with the highest counts, ties to the smaller."""
-    gram, count = np.unique(gram, return_counts=True)
-    if len(gram) > MOST_GRAMS:
-        keep = np.sort(np.lexsort((gram, -count))[:MOST_GRAMS])
-        gram, count = gram[keep], count[keep]
-    return gram, count
+        bound = np.stack([x.most(size) for x in self.languages])[best, np.arange(len(texts))]
+        return [UNKNOWN if x else self.names[b] for b, x in zip(best.tolist(), none.tolist(), strict=True)], np.where(none, 0.0, score), none | (least > bound)
 
 
-def estimate(texts: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """[(order, n-grams, log-probabilities, log back-off weight of each as a context)] for one language.
+def estimate(texts: list[bytes]) -> Language:
+    """One language's model of all n-grams of the texts.
 
     The highest order is counted as it occurs, a lower one by the distinct characters that precede it. From
     every count the absolute discount of its order, n1 / (n1 + 2 n2), is taken and given to the order below.
     """
-    code, first = _codes(texts)
-    at, _ = _owned(first, ORDER)
-    counts = [_count(_grams(code, ORDER)[at])]
-    for order in range(ORDER - 1, 0, -1):
-        counts.insert(0, _count(counts[0][0] & np.uint64((1 << 16 * order) - 1)))
-    out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-    lower_gram, lower_p = np.zeros(0, np.uint64), np.zeros(0)
-    for order, (gram, count) in enumerate(counts, 1):
-        if not len(gram):
-            return out
+    code, at, _ = _codes(texts)
+    hashes = _grams(code)
+    counts, place = [], at
+    for order in range(ORDER, 0, -1):
+        key, one, count = np.unique(hashes[order - 1][place], return_index=True, return_counts=True)
+        place = place[one]
+        counts.insert(0, (key, place, count))
+    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    backs: list[tuple[np.ndarray, np.ndarray]] = []
+    below, unseen = 1 / ALPHABET, -np.log(ALPHABET)
+    lower, lower_p = np.zeros(0, np.uint64), np.zeros(0)
+    for order, (key, place, count) in enumerate(counts, 1):
+        if not len(key):
+            grams.append((key, np.zeros(0, np.float32)))
+            backs.append((key, np.zeros(0, np.float32)))
+            continue
         once, twice = (count == 1).sum(), (count == 2).sum()
         discount = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
-        context, of = np.unique(gram >> np.uint64(16), return_inverse=True)
+        context, of = np.unique(hashes[order - 2][place - 1] if order > 1 else np.zeros(len(place), np.uint64), return_inverse=True)
         total = np.bincount(of, count)
         back = discount * np.bincount(of) / total
-        if order == 1:
-            below = np.full(len(gram), 1 / ALPHABET)
+        if order > 1:
+            below = lower_p[np.searchsorted(lower, hashes[order - 2][place])]
         else:
-            at = np.minimum(np.searchsorted(lower_gram, gram & np.uint64((1 << 16 * (order - 1)) - 1)), len(lower_gram) - 1)
-            below = lower_p[at]
-            # Contexts are n-grams of the order below; what backs off through one it is stored with.
-            held = np.zeros(len(lower_gram))
-            at = np.minimum(np.searchsorted(lower_gram, context), len(lower_gram) - 1)
-            same = lower_gram[at] == context
-            held[at[same]] = np.log(back[same])
-            out[-1] = (*out[-1][:3], held)
-        p = (count - discount) / total[of] + back[of] * below
-        out.append((order, gram, np.log(p), np.zeros(len(gram))))
-        if order == 1:
             unseen = float(np.log(back[0] / ALPHABET))
-            out.insert(0, (0, np.zeros(1, np.uint64), np.array([unseen]), np.zeros(1)))
-        lower_gram, lower_p = gram, p
-    return out
+        p = (count - discount) / total[of] + back[of] * below
+        grams.append((key, np.log(p).astype(np.float32)))
+        backs.append((context, np.log(back).astype(np.float32)))
+        lower, lower_p = key, p
+    return Language(grams, backs, unseen)
 
 
-def assemble(tables: dict[str, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]], bound: dict[str, float] | None = None) -> Model:
-    """One Model of the languages' tables. An n-gram that only other languages have gets a language's own backed-off value."""
-    languages = sorted(tables)
-    grams, back = [], []
-    union = [np.unique(np.concatenate([g for x in tables.values() for k, g, *_ in x if k == order] or [np.zeros(0, np.uint64)])) for order in range(ORDER + 1)]
-    logs: list[np.ndarray] = []
-    backs: list[np.ndarray] = []
-    for order in range(1, ORDER + 1):
-        gram = union[order]
-        value, weight = np.zeros((len(gram), len(languages))), np.zeros((len(gram), len(languages)))
-        for i, lang in enumerate(languages):
-            own = {k: (g, p, b) for k, g, p, b in tables[lang]}
-            if order == 1:
-                value[:, i] = own[0][1][0] if 0 in own else -np.log(ALPHABET)
-            else:
-                low = np.searchsorted(union[order - 1], gram & np.uint64((1 << 16 * (order - 1)) - 1))
-                high = np.minimum(np.searchsorted(union[order - 1], gram >> np.uint64(16)), len(union[order - 1]) - 1)
-                known = union[order - 1][high] == gram >> np.uint64(16)
-                low = np.minimum(low, len(union[order - 1]) - 1)
-                value[:, i] = logs[-1][low, i] + np.where(known, backs[-1][high, i], 0)
-            if order in own:
-                at = np.searchsorted(gram, own[order][0])
-                value[at, i], weight[at, i] = own[order][1], own[order][2]
-        logs.append(value)
-        backs.append(weight)
-        key = mix(gram)
-        by = np.argsort(key)
-        grams.append((key[by], value[by].astype(np.float32)))
-        back.append((key[by], weight[by].astype(np.float32)))
-    limit = np.array([(bound or {}).get(x, np.inf) for x in languages])
-    unseen = np.array([next((p[0] for k, _, p, _ in tables[x] if k == 0), -np.log(ALPHABET)) for x in languages], np.float32)
-    return Model(languages, grams, back, limit, unseen)
+def calibrate(language: Language, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, bounds) from texts that the model hasn't counted.
+
+    At each length, consecutive pieces of the texts are held against pieces of the same texts with their characters
+    in random order, which no language is. All but FALSE_REJECTS of the former lie below the bound; where the two
+    sorts lie apart it is midway between them.
+    """
+    rng = np.random.default_rng(0)
+    own, other = [], []
+    for x in texts:
+        read = x.decode("utf-8", "replace")
+        mixed = "".join(np.array(list(read))[rng.permutation(len(read))]).encode() if read else b""
+        for held, text in ((own, x), (other, mixed)):
+            code, at, _ = _codes([text])
+            held.append(np.concatenate(([0.0], np.cumsum(-language.log_p(_grams(code), at), dtype=np.float64))))
+    lengths, bounds = [], []
+    for n in LENGTHS:
+        mean = [np.concatenate([np.zeros(0), *(np.diff(s[::n]) / n for s in held if len(s) > n)]) for held in (own, other)]
+        if min(map(len, mean)) < 20:
+            break
+        most, least = np.quantile(mean[0], 1 - FALSE_REJECTS), np.quantile(mean[1], FALSE_REJECTS)
+        lengths.append(n)
+        bounds.append((most + least) / 2 if least > most else most)
+    return np.array(lengths, float), np.array(bounds)
 
 
 def fit(df: DataFrame, learns: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A Model from the rows with a language and a text of which `learns` is true.
 
-    From each language a hash of doc_id chooses about `sample` documents (all, if fewer); whole texts are used.
-    One task fits a language on its sample. Every tenth document isn't counted: 1.0 nat above the cross-entropy
-    that one in a thousand of those exceeds is the bound above which a text is rejected. The driver gathers at
-    most MOST_GRAMS n-grams of each language and order. Without any such rows the model has no languages.
+    From each language a hash of doc_id chooses about `sample` documents (all, if fewer); whole texts are used and
+    all their n-grams kept. One task fits a language on its sample. Every tenth document isn't counted but
+    calibrates the rejection (see calibrate). The driver gathers one table for each language, which its sample
+    bounds. Rows with a null id, language or text aren't learned from; without any rows left the model has no
+    languages. Other columns of df aren't looked at.
     """
     rows = df.where(learns & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    share = rows.groupBy("lang").agg((F.lit(1e6 * sample) / F.count("*")).alias("rate"))
+    share = cut(rows.groupBy("lang").agg((F.lit(1e6 * sample) / F.count("*")).alias("rate")))
     chosen = rows.join(F.broadcast(share) if share.count() <= 10_000 else share, "lang").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < F.col("rate"))
     chosen = chosen.select("lang", "text", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(CALIBRATES)).alias("turn"))
 
     def run(table: pa.Table) -> pa.Table:
         texts = [x for _, r in chunks(table.column("text")) for x in r]
         turn = table.column("turn").to_pylist()
-        name = table.column("lang")[0].as_py()
-        counted = [x for x, t in zip(texts, turn, strict=True) if t] or texts
-        made = estimate(counted)
-        model = assemble({name: made})
-        held = [x for x, t in zip(texts, turn, strict=True) if not t] or texts
-        entropy, letters = model.cross_entropy(held)
-        some = entropy[letters >= SHORT, 0]
-        made.append((-1, np.zeros(1, np.uint64), np.array([np.quantile(some, 0.999) + MARGIN if len(some) else np.inf]), np.zeros(1)))
-        n = [len(x[1]) for x in made]
-        return pa.table([pa.array([name] * sum(n)), np.repeat([x[0] for x in made], n), np.concatenate([x[1] for x in made]).view(np.int64), np.concatenate([x[2] for x in made]), np.concatenate([x[3] for x in made])], names=["lang", "k", "gram", "p", "back"])
-
-    found = chosen.groupBy("lang").applyInArrow(run, "lang string, k long, gram long, p double, back double").toArrow()
-    tables, bound = {}, {}
+        made = estimate([x for x, t in zip(texts, turn, strict=True) if t] or texts)
+        lengths, bounds = calibrate(made, [x for x, t in zip(texts, turn, strict=True) if not t] or texts)
+        parts = [*enumerate(made.grams), *enumerate(made.back, ORDER), (-1, (np.zeros(1, np.uint64), np.array([made.unseen]))), (-2, (lengths.astype(np.uint64), bounds))]
+        size = [len(x[0]) for _, x in parts]
+        names = pa.array([table.column("lang")[0].as_py()] * sum(size), pa.string())
+        return pa.table([names, np.repeat([k for k, _ in parts], size), np.concatenate([x[0] for _, x in parts]).view(np.int64), np.concatenate([x[1].astype(np.float64) for _, x in parts])], names=["lang", "part", "key", "value"])
+
+    found = chosen.groupBy("lang").applyInArrow(run, "lang string, part long, key long, value double").toArrow()
+    if not len(found):
+        return Model({})
     names = found.column("lang").combine_chunks().dictionary_encode()
-    code = names.indices.to_numpy() if len(found) else np.zeros(0, int)
-    k, gram, p, back = (found.column(c).to_numpy() for c in ("k", "gram", "p", "back"))
+    part, key, value = (found.column(c).to_numpy() for c in ("part", "key", "value"))
+    made = {}
     for i, name in enumerate(names.dictionary.to_pylist()):
-        own = code == i
-        bound[name] = float(p[own & (k == -1)][0])
-        tables[name] = []
-        for order in range(ORDER + 1):
-            some = np.flatnonzero(own & (k == order))
-            some = some[np.argsort(gram[some].view(np.uint64))]
-            if len(some):
-                tables[name].append((order, gram[some].view(np.uint64), p[some], back[some]))
-    return assemble(tables, bound)
+        own = np.flatnonzero(names.indices.to_numpy() == i)
+
+        def table_of(k: int, own: np.ndarray = own) -> tuple[np.ndarray, np.ndarray]:
+            some = own[part[own] == k]
+            some = some[np.argsort(key[some].view(np.uint64))]
+            return key[some].view(np.uint64), value[some]
+
+        tables = [(x, p.astype(np.float32)) for x, p in (table_of(k) for k in range(2 * ORDER))]
+        lengths, bounds = table_of(-2)
+        made[name] = Language(tables[:ORDER], tables[ORDER:], float(table_of(-1)[1][0]), (lengths.astype(float), bounds))
+    return Model(made)
+
+
+def _predicted(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    lang, score, rejected = [], [np.zeros(0)], [np.zeros(0, bool)]
+    for _, run in chunks(texts):
+        a, b, c = model.predict(run)
+        lang += a
+        score.append(b)
+        rejected.append(c)
+    return lang, np.concatenate(score), np.concatenate(rejected)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of every row, lang_pred, score (0 to 1) and rejected.
 
     The language whose model gives the whole text the least cross-entropy for each character; `und` with score 0
-    if the text is null or has no letters. Ties go to the language first by name. rejected: there are no letters,
-    or at least SHORT and a cross-entropy above the bound of the language. Rows come out as they come in.
+    if the text is null or empty or has no letters. Ties go to the language first by name. rejected: there are no
+    letters, or the cross-entropy is above the language's bound for the text's length. Texts are read in runs of
+    bounded size, a very long one by itself. Rows come out as they come in, repeated ones as often; an empty table
+    gives an empty one; a column of `keep` with the name of a new one gives way to it.
     """
-    names = [*keep]
+    names = kept(keep, "lang_pred", "score", "rejected")
     source = df.select(*names, F.col(text).alias("_text"))
-    schema = source.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_GRAMS
+    schema = df.select(*names).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the n-grams of a bounded sample of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            lang, score, rejected = [], [], []
-            for _, texts in chunks(batch.column("_text"), 1 << 20):
-                a, b, c = own.predict(texts)
-                lang += a
-                score.append(b)
-                rejected.append(c)
-            made = [pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64()), pa.array(np.concatenate(rejected) if rejected else [], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, "lang_pred", "score", "rejected"])
+            lang, score, rejected = _predicted(batch.column(len(names)), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*names, "lang_pred", "score", "rejected"])
 
     return source.mapInArrow(run, schema)
+
+
+def accepted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose text the model doesn't reject (see identify); null texts, and
+    those without letters, go."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~_predicted(batch.column(at), shared.value)[2]))
+
+    return df.mapInArrow(run, df.select("*").schema)
