@@ -1,4 +1,5 @@
-"""Near duplicates by the Jaccard similarity of word shingles: candidates by prefix filter, each link verified."""
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash blocks give the first candidates and a prefix
+filter those that 64 bits can't tell; each link is verified."""
 
 from __future__ import annotations
 
@@ -10,9 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _BASE, Words, chunks, cut, mix, shared_table
+from . import simhash
+from ._shared import _BASE, Words, chunks, cut, done, mix, shared_table
 from .components import connected_components
-from .simhash import _LOWER, keep_first
 
 #: How many frequent shingles are put last, from one document in how many they are counted, and how often they occur there at least.
 FREQUENT, ONE_IN, OFTEN = 200_000, 16, 3
@@ -22,7 +23,7 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each UTF-8 text's distinct runs of `shingle` words (fewer words: of the whole
     sequence), A-Z in lower case.
     """
-    words = Words([x.translate(_LOWER) for x in texts])
+    words = Words([x.translate(simhash._LOWER) for x in texts])
     hashes, base = words.hashes(), np.uint64(_BASE)
     runs = np.zeros(max(len(hashes) - shingle + 1, 0), np.uint64)
     for j in range(shingle if len(runs) else 0):
@@ -128,17 +129,31 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _named(texts: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
-    """The columns `keep` of every row, and `fp`: the name of its set."""
-    schema = texts.select(*keep).schema.add("fp", "long")
+    """The columns `keep` of every row, `fp`: the name of its set, and `sh`: its SimHash, both signed longs."""
+    schema = texts.select(*keep).schema.add("fp", "long").add("sh", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [_name(s) for _, x in chunks(batch.column("text")) for s in shingle_sets(x, shingle)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(names, pa.int64())], [*keep, "fp"])
+            names, prints = [], [np.zeros(0, np.uint64)]
+            for _, x in chunks(batch.column("text")):
+                names += [_name(s) for s in shingle_sets(x, shingle)]
+                prints.append(simhash.fingerprints(x, shingle))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(names, pa.int64()), pa.array(np.concatenate(prints).view(np.int64))], [*keep, "fp", "sh"])
 
     return texts.select(*keep, "text").mapInArrow(run, schema)
 
 
+def simhash_pairs(each: DataFrame, limit: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of each(fp, sh), one row for each set, that SimHash brings together: sets of one fingerprint with one
+    of them, and one of each of two fingerprints that its pigeonhole blocks link."""
+    reps = cut(each.groupBy("sh").agg(F.min("fp").alias("rep")))
+    same = each.join(reps, "sh").where("fp <> rep").select(F.least("fp", "rep").alias("a"), F.greatest("fp", "rep").alias("b"))
+    met = simhash.links(reps.select(F.col("sh").alias("fp")), limit, parts)
+    for x in "ab":
+        met = met.join(reps.select(F.col("sh").alias(x), F.col("rep").alias(f"{x}_rep")), x)
+    return same.union(met.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))).distinct()
+
+
 def _possible(pairs: DataFrame, firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that may be as similar by what their prefixes (fp, n, keys) have in common: up to where the
     prefix that ends first ends, all that both sets share is in both, so only that set's other hashes can add to it.
@@ -156,53 +171,78 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return met.where(both * sum(similarity) >= (F.size("x") + F.size("y")) * similarity[0]).select("a", "b")
 
 
-def links(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between sets that are as similar, which connect all such pairs among the rows (key, fp, n);
-    sets gives (fp, hashes) for a column fp.
+def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between sets that are as similar, which connect all such pairs among the rows (key, fp, n), settled;
+    first: pairs (a, b) to begin with, those of SimHash; sets gives (fp, hashes) for a column fp.
 
-    First each key's sets meet one of them, which a hash picks anew for each key: so a large group of near copies is
-    connected by about as many pairs as it has rows. Then all pairs that have a key in common, whose sizes
+    After these, each key's sets meet one of them, which a hash picks anew for each key: so a large group of near
+    copies is connected by about as many pairs as it has rows. Then all pairs that have a key in common, whose sizes
     allow the similarity and that aren't connected yet, are verified.
     """
     # Tables and not checkpoints, which hand on estimates of size that are multiplied in every join.
     firsts = shared_table(shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys")), "firsts")
+    made = [firsts]
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        made.append(shared_table(df, name))
+        return made[-1]
 
     def fits(a: str, b: str) -> Column:
         return F.least(a, b) * similarity[1] >= F.greatest(a, b) * similarity[0]
 
     def near(pairs: DataFrame) -> DataFrame:
-        pairs = shared_table(_possible(pairs, firsts, similarity), "pairs")
-        return shared_table(_verified(pairs, cut(sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())), similarity), "links")
-
-    middle = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "fp").alias("h"), F.col("fp").alias("c"), F.col("n").alias("m"))).alias("o")).select("key", "o.c", "o.m")
-    stars = shared.join(middle, "key").where((F.col("fp") != F.col("c")) & fits("n", "m"))
-    stars = shared_table(stars.select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b")).distinct(), "stars")
-    sure = near(stars)
-    nodes = connected_components(sure)
-    placed = shared.join(nodes, shared["fp"] == nodes["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    placed = shared_table(placed, "placed")
-    parted = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = placed.join(parted, "key", "left_semi")
+        pairs = table(_possible(pairs, firsts, similarity), "pairs")
+        return table(_verified(pairs, cut(sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())), similarity), "links")
+
+    def open_keys(sure: DataFrame) -> DataFrame:
+        """(key, fp, n, root) of the keys whose sets aren't all connected."""
+        nodes = connected_components(sure)
+        placed = table(shared.join(nodes, shared["fp"] == nodes["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "placed")
+        parted = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        return placed.join(parted, "key", "left_semi")
+
+    tried = table(first, "first")
+    sure = near(tried)
+    left = open_keys(sure)
+    middle = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "fp").alias("h"), F.col("fp").alias("c"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("o")).select("key", "o.c", "o.m", "o.r")
+    stars = left.join(middle, "key").where((F.col("root") != F.col("r")) & fits("n", "m")).select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b"))
+    stars = table(stars.distinct().join(tried, ["a", "b"], "left_anti"), "stars")
+    sure = sure.union(near(stars))
+    left = open_keys(sure)
     other = left.select("key", F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
     rest = left.join(other, "key").where((F.col("fp") < F.col("b")) & (F.col("root") != F.col("br")) & fits("n", "bn"))
-    return sure.union(near(rest.select(F.col("fp").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")))
+    rest = rest.select(F.col("fp").alias("a"), "b").distinct().join(tried.union(stars), ["a", "b"], "left_anti")
+    out = cut(sure.union(near(rest)))
+    done(*made)
+    return out
+
 
+def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: tuple[int, int] = (4, 5), limit: int = 4, parts: int = 6) -> DataFrame:
+    """One row of each component of near duplicates, with all its columns: the one with the least doc_id (null last),
+    then the least hash of both. Two texts are linked if, and only if, their sets of shingles have the Jaccard
+    similarity (numerator, denominator) or more.
 
-def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """One row of each component of near duplicates, with all its columns, as simhash.deduplicate chooses it: two texts
-    are linked if, and only if, their sets of shingles have the Jaccard similarity (numerator, denominator) or more.
+    SimHash (see simhash.links) finds the close ones and holds large groups together. As 64 bits don't tell a similarity
+    of 0.8 from 0.7, it is followed by a prefix filter: two sets as similar have a shingle in common among the first
+    of each in any order, so no such pair is missed. Shingles and sets are compared by hashes of 64 bits.
 
-    Two sets as similar have a shingle in common among the first of each in any order (prefix filter), so no such pair
-    is missed. Shingles and sets are compared by hashes of 64 bits. Null is as an empty text; texts without words are alike.
+    Null is as an empty text; texts without words are alike. Of rows alike in id and text any one stays. Texts are read
+    in runs of bounded size, a very long one by itself. Other columns aren't looked at, whatever they are called. An
+    empty table gives an empty one.
     """
     one, two = F.xxhash64(doc_id, text), F.xxhash64(F.lit(7), text, doc_id)
     texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), one.alias("k1"), two.alias("k2"))
-    rows = cut(_named(texts, shingle, ["id", "k1", "k2"]))
+    rows = _named(texts, shingle, ["id", "k1", "k2"])
+    order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("m")
+    each = shared_table(rows.groupBy("fp").agg(order, F.first("sh").alias("sh")), "sets")  # one row for each set: copies end here
     shared = shared_table(_shared_keys(texts, shingle, similarity), "prefixes")
 
     def sets(of: DataFrame) -> DataFrame:
-        wanted = rows.join(of, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+        wanted = each.join(of, "fp", "left_semi").select("m.k1", "m.k2")
         return _sets(texts.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), shingle)
 
-    nodes = connected_components(links(shared, sets, similarity))
-    return keep_first(df, rows.join(nodes, rows["fp"] == nodes["node"], "left").select("id", "k1", "k2", F.coalesce("root", "fp").alias("root")), one, two)
+    nodes = connected_components(links(shared, simhash_pairs(each.select("fp", "sh"), limit, parts), sets, similarity))
+    named = each.join(nodes, each["fp"] == nodes["node"], "left").select("m", F.coalesce("root", "fp").alias("root"))
+    stays = cut(named.groupBy("root").agg(F.min("m").alias("m")).select("m.k1", "m.k2"))
+    done(each, shared)
+    return simhash.rows_of(df, stays, one, two)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import Words, chunks, cut
+from ._shared import Words, chunks, cut, kept, unused
 from .components import connected_components
 
 BITS = 64
@@ -68,15 +68,15 @@ def _join(words: Words) -> np.ndarray:
 
 def with_fingerprint(df: DataFrame, text: str = "text", shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of every row, and `fp`: the signed long of its fingerprint. Null text: no words."""
-    names = [*keep]
+    names = kept(keep, "fp")
     source = df.select(*names, F.col(text).alias("_text"))
-    schema = source.drop("_text").schema.add("fp", "long")
+    schema = df.select(*names).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [fingerprints(x, shingle) for _, x in chunks(batch.column("_text"))]
+            got = [fingerprints(x, shingle) for _, x in chunks(batch.column(len(names)))]
             fp = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fp)], [*names, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(fp)], [*names, "fp"])
 
     return source.mapInArrow(run, schema)
 
@@ -187,31 +187,11 @@ def links(distinct: DataFrame, limit: int = 4, parts: int = 6, most: int = 50_00
     return last if out is None else out.union(last)
 
 
-def _components(rows: DataFrame, limit: int, parts: int) -> DataFrame:
-    """rows(fp, ...) -> (fp, root): which fingerprints belong together."""
-    each = rows.select("fp").distinct()
-    nodes = connected_components(links(cut(each), limit, parts))
-    return each.join(nodes, each["fp"] == nodes["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-
-
-def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, limit: int = 6, parts: int = 9) -> DataFrame:
-    """One row of each component of near duplicates, with all its columns: the one with the least doc_id (null
-    last), then the least hash of both. Of rows alike in id and text any one stays. Null is as an empty text; texts
-    without words are alike. An empty table gives an empty one.
-    """
-    one, two = F.xxhash64(doc_id, text), F.xxhash64(F.lit(7), text, doc_id)
-    rows = cut(with_fingerprint(df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), one.alias("k1"), two.alias("k2")), "text", shingle, ("id", "k1", "k2")))
-    named = rows.join(_components(rows, limit, parts), "fp")
-    return keep_first(df, named, one, two)
-
-
-def keep_first(df: DataFrame, named: DataFrame, one: Column, two: Column) -> DataFrame:
-    """The row of df that stays of each root of named(id, k1, k2, root), where k1 and k2 are the hashes `one` and `two`."""
-    order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("m")
-    stays = named.groupBy("root").agg(order).select(F.col("m.k1").alias("_k1"), F.col("m.k2").alias("_k2"))
-    met = df.withColumn("_k1", one).withColumn("_k2", two).join(stays, ["_k1", "_k2"])
-    first = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy("_k1"))
-    return met.withColumn("_n", first).where("_n = 1").select(*df.columns)
+def rows_of(df: DataFrame, stays: DataFrame, one: Column, two: Column) -> DataFrame:
+    """A row of df for each of stays(k1, k2), the hashes `one` and `two` of a row; of several rows any one."""
+    k1, k2, n = unused(df, "k1", "k2", "n")
+    met = df.withColumn(k1, one).withColumn(k2, two).join(stays.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2])
+    return met.withColumn(n, F.row_number().over(W.partitionBy(k1, k2).orderBy(k1))).where(F.col(n) == 1).select(*df.columns)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, limit: int = 4, parts: int = 6) -> DataFrame:
@@ -222,7 +202,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     rows come out as often, a null doc_id stays null and is never a component's least id unless all are null.
     Other columns of df are not looked at. An empty table gives an empty one. Equal fingerprints count once in
     the search, so copies cost nothing there; what is dealt by fingerprint at the end is a plain join, whose
-    large partitions Spark splits.
+    large partitions Spark splits. Texts are read in runs of bounded size, a very long one by itself.
     """
     rows = cut(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle))
     each = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
