@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import WORD, cut
+from ._shared import WORD, cut, unused
 
 #: Hexadecimal digits of the shuffle key that part a source, so that no window holds a whole source.
 PART_DIGITS = 3
@@ -68,7 +68,7 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     Slot i is the point i times the golden ratio modulo 1, mapped through the sources' cumulative numbers of
     slots; slots are ranked within their source, and rank r takes block r modulo the source's number of blocks
     in epoch r div that number. A source's last slot takes what is left of its target; ranks past a source's
-    need are dropped, and the few that the points haven't reached come at the end with a null slot. Ranks are
+    need are dropped, and the few that the points haven't reached come at the end, in a slot after all others. Ranks are
     summed over runs of slots, so no task holds a source's slots together. Slots are as many as all targets
     hold blocks; nothing but one row for each source and cell is ever joined by broadcast.
     """
@@ -98,7 +98,7 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     # The ranks that the points haven't reached.
     got = hit.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("got"))
     short = need.join(got, F.col("source").eqNullSafe(F.col("s")), "left").where("slots > coalesce(got, 0)")
-    short = short.select("source", F.explode(F.expr("sequence(coalesce(got, 0L), slots - 1)")).alias("rank"), F.lit(None).cast("long").alias("slot"))
+    short = short.select("source", F.explode(F.expr("sequence(coalesce(got, 0L), slots - 1)")).alias("rank"), F.lit(total).cast("long").alias("slot"))
     of = need.select(F.col("source").alias("s"), "n", "blocks", "epochs", "rest", "slots")
     full = ranked.union(short).join(of, F.col("source").eqNullSafe(F.col("s"))).where("rank < slots")
     full = full.withColumn("epoch", F.expr("rank div blocks")).withColumn("block", F.expr("rank % blocks"))
@@ -107,30 +107,39 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 4096) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row: the words of it that the mix takes, repeats counted.
+    """(doc_id, source, size, source_size, target, taken, slot) for every row: the words of it that the mix takes, repeats
+    counted, and the schedule's slot in which it is first taken from (null if it isn't).
 
     Each source's rows are shuffled by a hash of their id and text and cut, end to end, into blocks of `block`
     words; `schedule` deals blocks to slots until each source's target is met to the word. The same rows give
     the same result at every run and partitioning. A null source is a source of its own; a null or empty text
     has no words and takes none; rows that are alike in id and text follow one another, and which comes first makes
-    no difference but to which of the two equal rows gets which count. Sources without words have target 0.
-    Other columns aren't looked at. Sums run over parts of a source first, then over rows within a part.
+    no difference but to which of the two equal rows gets which count. Sources without words have target 0. A text
+    of any length is as many blocks as it spans; an empty table gives an empty one. Other columns aren't looked at.
+    Sums run over parts of a source first, then over rows within a part.
     """
     taken = _taken(df, doc_id, text, source, weights, share, most, block)
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "slot")
 
 
 def mixture(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 4096) -> DataFrame:
     """df's rows with all their columns, each as often as the mix holds it as a whole (see mix and copies), so
     not at all or up to `most` times. Rows alike in id, text and source are as one, with all their copies.
+
+    Rows come in the schedule's order, over partitions and within them: each copy lies where the schedule has its turn
+    of the block that the document begins in; documents without words come last.
     """
-    names = {"_key": _shuffle_key(doc_id, text), "_source": F.col(source)}
+    key, own, k, s, n, place, times = unused(df, "key", "source", "k", "s", "n", "place", "times")
     found = _taken(df, doc_id, text, source, weights, share, most, block)
-    times = found.groupBy("key", "source").agg(F.sum(copies(F.col("taken"), F.col("size"))).cast("int").alias("_times")).withColumnsRenamed({"key": "_k", "source": "_s"})
-    met = df.withColumns(names).join(times.where("_times > 0"), (F.col("_key") == F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")))
-    first = F.row_number().over(W.partitionBy("_key", "_source").orderBy("_key"))
-    met = met.withColumn("_n", first).where("_n = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return met.select(*df.columns)
+    found = found.groupBy("key", "source").agg(F.sum(copies(F.col("taken"), F.col("size"))).cast("int").alias(times), F.min("turns").alias("turns"), F.min("slot").alias("first"), F.max("slots").alias("slots")).where(F.col(times) > 0)
+    last = F.coalesce("slots", F.lit(0))
+    turn = F.transform(F.sequence(F.lit(0), F.col(times) - 1), lambda i: F.coalesce(F.get("turns", i), F.element_at(F.when(F.size("turns") > 0, F.col("turns")), -1), F.col("first"), last))
+    found = found.select(F.col("key").alias(k), F.col("source").alias(s), turn.alias(times), last.alias("_all"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.withColumn(times, F.transform(times, lambda x: F.struct(x.alias("at"), F.least(F.floor(x * parts / (F.col("_all") + 1)), F.lit(parts - 1)).cast("int").alias("part")))).drop("_all")
+    met = df.withColumns({key: _shuffle_key(doc_id, text), own: F.col(source)}).join(found, (F.col(key) == F.col(k)) & F.col(own).eqNullSafe(F.col(s)))
+    met = met.withColumn(n, F.row_number().over(W.partitionBy(key, own).orderBy(key))).where(F.col(n) == 1).withColumn(place, F.explode(times))
+    return met.repartitionById(parts, F.col(place)["part"]).sortWithinPartitions(F.col(place)["at"], key).select(*df.columns)
 
 
 def _taken(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[int, ...], share: float, most: float, block: int) -> DataFrame:
@@ -139,7 +148,11 @@ def _taken(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[in
     sizes = by_part.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = cut(targets(sizes, weights, share, most))
     slots = schedule(plan, block)
-    times = slots.groupBy("source", "block", "take").agg(F.count("*").alias("times"))
+    slots = cut(slots)
+    all_slots = slots.agg(F.max("slot")).first()[0]
+    times = slots.groupBy("source", "block", "take").agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
+    # Every turn of a block, in order: one for each epoch, so `most` + 1 at the most.
+    turns = slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.sort_array(F.collect_list("slot")).alias("turns"))
 
     ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = by_part.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
@@ -152,12 +165,14 @@ def _taken(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[in
 
     last = F.expr(f"(begin + greatest(size, 1) - 1) div {block}")
     pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"begin div {block}"), last)))
-    at = times.select(F.col("source").alias("s"), F.col("block").alias("b"), "take", "times")
+    at = times.select(F.col("source").alias("s"), F.col("block").alias("b"), "take", "times", "slot")
     met = pieces.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     overlap = F.greatest(F.least(F.col("begin") + F.col("size"), F.col("block") * block + F.coalesce("take", F.lit(0))) - F.greatest("begin", F.col("block") * block), F.lit(0))
-    met = met.withColumn("taken", overlap * F.coalesce("times", F.lit(0)))
+    met = met.withColumn("taken", overlap * F.coalesce("times", F.lit(0))).withColumn("slot", F.when(F.col("taken") > 0, F.col("slot"))).drop("s", "b")
+    begins = F.col("block") == F.expr(f"begin div {block}")
+    met = met.join(turns, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & begins, "left")
     keys = ["source", "part", "key", "nth", "doc_id", "size", "source_size", "target"]
-    return met.groupBy(*keys).agg(F.sum("taken").alias("taken"))
+    return met.groupBy(*keys).agg(F.sum("taken").alias("taken"), F.min("slot").alias("slot"), F.min("turns").alias("turns")).withColumn("slots", F.lit(all_slots).cast("long"))
 
 
 def copies(taken: Column, size: Column) -> Column:
@@ -165,9 +180,8 @@ def copies(taken: Column, size: Column) -> Column:
     return F.when(size == 0, 1).otherwise(F.floor(taken / size + F.lit(0.5))).cast("int")
 
 
-#: The same result in DuckDB SQL. Blocks and slots only order what is taken: the words of a source are taken
-#: end to end in the shuffled order until its target is met, then from the start again.
-ORACLE = r"""
+#: The same result in DuckDB SQL: the schedule's points, the sources they fall to and the blocks that these take in turn.
+ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source, md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ' ', coalesce(md5(text), 'null'))) AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
@@ -181,10 +195,17 @@ f AS (SELECT *, coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND
       FROM w WINDOW o AS (ORDER BY room / weight, source NULLS LAST)),
 l AS (SELECT *, greatest(total - filled, 0) / rest AS level FROM f),
 t AS (SELECT source, source_size, least(room, max(level) OVER () * weight) AS target FROM l),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d)
-SELECT p.doc_id, p.source, p.size, t.source_size, t.target,
-       CAST(CASE WHEN t.source_size = 0 THEN 0 ELSE
-         size * (CAST(floor(target) AS BIGINT) // source_size)
-         + greatest(least(pos + size, CAST(floor(target) AS BIGINT) % source_size) - pos, 0) END AS BIGINT) AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+n AS (SELECT source, source_size AS n, CAST(floor(target) AS BIGINT) // source_size AS epochs, CAST(floor(target) AS BIGINT) % source_size AS rest, (source_size + 4095) // 4096 AS blocks FROM t WHERE target > 0),
+c AS (SELECT *, epochs * blocks + (rest + 4095) // 4096 AS slots FROM n),
+b AS (SELECT *, CAST(sum(slots) OVER (ORDER BY source NULLS LAST) AS BIGINT) AS upto, CAST(sum(slots) OVER () AS BIGINT) AS total FROM c),
+pt AS (SELECT id, CAST(((id % {PERIOD}) * {GOLDEN}) % {PERIOD} AS DOUBLE) / {PERIOD} AS u FROM (SELECT unnest(range((SELECT coalesce(max(total), 0) FROM b))) AS id)),
+h AS (SELECT b.source, row_number() OVER (PARTITION BY b.source ORDER BY pt.id) - 1 AS rank, pt.id AS slot FROM pt JOIN b ON u >= CAST(upto - slots AS DOUBLE) / total AND u < CAST(upto AS DOUBLE) / total),
+gt AS (SELECT source, count(*) AS got FROM h GROUP BY source),
+r AS (SELECT b.*, h.rank, h.slot FROM h JOIN b ON b.source IS NOT DISTINCT FROM h.source WHERE h.rank < b.slots
+      UNION ALL SELECT b.*, unnest(range(coalesce(gt.got, 0), CAST(b.slots AS BIGINT))) AS rank, b.total AS slot FROM b LEFT JOIN gt ON gt.source IS NOT DISTINCT FROM b.source WHERE coalesce(gt.got, 0) < b.slots),
+e AS (SELECT source, slot, rank % blocks AS block, least(CASE WHEN rank // blocks < epochs THEN n ELSE rest END, (rank % blocks + 1) * 4096) AS ends FROM r),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, row_number() OVER () AS nr FROM d),
+g AS (SELECT nr, sum(least(pos + size, ends) - greatest(pos, block * 4096)) AS taken, min(slot) AS slot FROM p JOIN e ON e.source IS NOT DISTINCT FROM p.source AND least(pos + size, ends) > greatest(pos, block * 4096) GROUP BY nr)
+SELECT p.doc_id, p.source, p.size, t.source_size, t.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken, g.slot
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN g ON g.nr = p.nr
 """
