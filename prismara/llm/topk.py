@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Candidates of a cell, whose lists one task sorts, and the least number of cells that candidates are dealt to.
-CELL_ROWS, LEAST_CELLS = 1 << 14, 24
-#: Queries of a cell.
-QUERY_ROWS = 1 << 12
+from ._shared import cut
+
+#: Candidates of a cell, whose lists a task holds and all queries pass by: at most, and at least while tasks are to spare.
+CELL_ROWS, LEAST_ROWS = 1 << 17, 1 << 12
+#: The share of a cell's rows after which a query that can't stop yet reads the rest at once, as they come.
+REST_AFTER = 1 / 2
 #: Depth of the lists that is read first; it doubles each round.
 FIRST_DEPTH = 8
 
@@ -33,100 +35,140 @@ def _better(score: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((number[some], -score[some]))[:k]]
 
 
-def threshold_top_k(queries: np.ndarray, query_id: np.ndarray, rows: np.ndarray, row_id: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, row number, score) of each query's k best rows other than itself, ties to the smaller id.
-
-    A list for each dimension holds the rows by falling component, and one the rows by rising component; a
-    query reads the first where its weight is positive and the second where it is negative. All queries read
-    their lists in step, to a depth that doubles, and rows first seen there are scored in full for them all.
-    What a query hasn't seen can score no more than the sum of its weights times the components at that depth.
-    Once that is less than its kth score the query stops; an equal bound goes on, as ties may be due.
+class Lists:
+    """A cell's rows by number, and for each dimension the list of them by rising component."""
+
+    def __init__(self, rows: np.ndarray, row_id: np.ndarray):
+        small = np.abs(rows).max(initial=0) ** 2 * rows.shape[1] < 2**22  # sums of products of whole numbers, exact in 32 bits
+        rows = rows.astype(np.float32) if small else rows
+        self.rows, self.row_id = rows, row_id
+        self.order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.value = np.take_along_axis(rows.T, self.order, axis=1)
+        self.seen = np.zeros(len(rows), np.int64)  # the last query that scored each row
+        self.turn = 0
+
+    def top_k(self, query: np.ndarray, query_id: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """(row numbers, scores, rows read) of the k best rows for a query other than itself, ties to the smaller id;
+        rows under `floor`, the kth score of other cells, may be left out.
+
+        Where the query's weight is positive it reads a dimension's list from the greatest component down, where it is
+        negative from the least up, and lists of weight 0 not at all. All its lists are read in step, to a depth that
+        doubles; a row is scored in full when it is first seen. A row not yet seen can score no more than the sum of
+        the weights times the components at that depth. Once that is less than the kth score, or than `floor`, the
+        query stops; an equal bound goes on, as ties may be due. A query that has read REST_AFTER of the rows and may
+        not stop scores all that are left in one pass, which costs less than more rounds.
+        """
+        if np.abs(query).max(initial=0) * np.abs(self.value).max(initial=0) * len(query) < 2**22:
+            query = query.astype(self.rows.dtype)
+        n, read, depth, begin = len(self.rows), 0, FIRST_DEPTH, 0
+        self.turn += 1
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        best, score = np.zeros(0, np.int64), np.zeros(0)
+        if not len(up) and not len(down):  # every row scores 0
+            best = np.lexsort((self.row_id,))[: k + 1]
+            best = best[self.row_id[best] != query_id][:k]
+            return best, np.zeros(len(best)), len(best)
+        while begin < n:
+            end = min(depth, n)
+            if read > n * REST_AFTER:
+                found, end = np.flatnonzero(self.seen != self.turn), n
+            else:
+                found = np.concatenate((self.order[up, n - end : n - begin].ravel(), self.order[down, begin:end].ravel()))
+                found = np.unique(found[self.seen[found] != self.turn])
+            self.seen[found] = self.turn
+            read += len(found)
+            got = (self.rows[found] @ query).astype(np.float64)
+            some = (got >= max(floor, score[-1] if len(score) == k else -np.inf)) & (self.row_id[found] != query_id)
+            best, score = np.concatenate((best, found[some])), np.concatenate((score, got[some]))
+            keep = _better(score, self.row_id[best], k)
+            best, score = best[keep], score[keep]
+            bound = float(query[up] @ self.value[up, n - end] + query[down] @ self.value[down, end - 1])
+            if bound < max(floor, score[-1] if len(score) == k else -np.inf) or read == n:
+                break
+            begin, depth = end, depth * 2
+        return best, score, read
+
+
+def _vectors(ids: pa.Array, column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in length")
+    return ids.to_numpy(), np.floor(scale * flat.reshape(len(ids), -1))
+
+
+def _passed(dealt: DataFrame, k: int, scale: float) -> DataFrame:
+    """dealt(cell, asks, id, floor, v), by cell with its candidates first -> (query_id, vec_id, score, read).
+
+    A task builds a cell's lists once and then lets the queries pass by, a batch at a time.
     """
-    n, m = len(rows), len(queries)
-    lists = np.sort(rows, axis=0)
-    place = np.empty((n, rows.shape[1]), np.int32)
-    order = np.argsort(rows, axis=0, kind="stable")
-    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
-    seen_at = np.minimum(place, n - 1 - place).min(axis=1)
-    by_depth = np.argsort(seen_at, kind="stable")
-    seen_at = seen_at[by_depth]
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    best = np.full((m, k), -np.inf)
-    best_row = np.full((m, k), -1, np.int64)
-    live, read, depth = np.arange(m), 0, FIRST_DEPTH
-    while len(live) and read < n:
-        upto = int(np.searchsorted(seen_at, depth))
-        for begin in range(read, upto, 2048):
-            some = by_depth[begin : min(upto, begin + 2048)]
-            for part in range(0, len(live), 512):
-                who = live[part : part + 512]
-                score = queries[who] @ rows[some].T
-                score[query_id[who][:, None] == row_id[some][None, :]] = -np.inf
-                hit = np.flatnonzero((score.max(axis=1) >= best[who, k - 1]))
-                for h in hit:
-                    q = who[h]
-                    new = np.flatnonzero(score[h] >= max(best[q, k - 1], np.finfo(float).min))
-                    both = np.concatenate((best[q], score[h][new]))
-                    found = np.concatenate((best_row[q], some[new]))
-                    keep = _better(both, np.where(found < 0, np.iinfo(np.int64).max, row_id[found]), k)
-                    best[q], best_row[q] = both[keep], found[keep]
-        read = upto
-        if read < n:
-            bound = up[live] @ lists[n - 1 - min(depth, n - 1)] + down[live] @ lists[min(depth, n - 1)]
-            live = live[bound >= best[live, k - 1]]
-        depth *= 2
-    q, place = np.nonzero(best_row >= 0)
-    return q, best_row[q, place], best[q, place]
-
-
-def top_k(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, lists, most = None, [], None, 0.0
+        for batch in batches:
+            cells, asks = batch.column("cell").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                part = batch.slice(begin, end - begin)
+                if cells[begin] != cell:
+                    cell, held, lists = cells[begin], [], None
+                ids, x = _vectors(part.column("id"), part.column("v"), scale)
+                if not asks[begin]:
+                    held.append((ids, x))
+                    continue
+                if not held:
+                    continue
+                if lists is None:
+                    rows = np.concatenate([r for _, r in held])
+                    lists, most, held = Lists(rows, np.concatenate([i for i, _ in held])), np.abs(rows).max(), [None]
+                if lists.rows.shape[1] != x.shape[1]:
+                    raise ValueError("vectors differ in length")
+                if most * np.abs(x).max() * x.shape[1] >= 2**53:
+                    raise ValueError("inner products are too large to be exact")
+                floor = part.column("floor").to_numpy()
+                found = [lists.top_k(x[i], ids[i], k, floor[i]) for i in range(len(ids))]
+                size = [len(f[0]) for f in found]
+                columns = (np.repeat(ids, size), np.concatenate([lists.row_id[f[0]] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int64), np.repeat([f[2] for f in found], size))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score", "read"])
+
+    spread = dealt.repartition("cell").sortWithinPartitions("cell", "asks")
+    return spread.mapInArrow(run, "query_id long, vec_id long, score long, read long")
+
+
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def top_k(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query, the k rows (all, if fewer) of highest inner
     product of components floor(scale * x), ties to the smaller vec_id; the row's own id is left out.
 
-    Candidates are dealt to cells by a hash of their id and queries to groups; each cell meets each group once
-    and runs the threshold algorithm on its own lists. The cells' results, k for each query and cell, are
-    ranked again. Vectors that are null, empty or hold nulls, NaNs or infinities take no part, nor do rows with
+    Candidates are dealt to cells by a hash of their id, each once; a cell's lists are sorted once and all queries pass
+    by them. First each query passes by one cell, and its kth score there is the floor that it carries to the others,
+    which then stop as soon as nothing above it can come. The cells' results, k for each query and cell at the most,
+    are ranked again. Vectors that are null, empty or hold nulls, NaNs or infinities take no part, nor do rows with
     a null id. Vectors must be of one length, and sums of products below 2**53, which is checked. Rows that
     repeat an id are candidates each, and as queries give their results once. Extra columns aren't looked at.
     An empty table gives an empty one.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & finite(F.col("v")))
-    count = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    cells = max(LEAST_CELLS, -(-count["n"] // CELL_ROWS))
-    groups = max(1, -(-count["q"] // QUERY_ROWS))
-    cell = F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")
-    group = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.where("asks").dropDuplicates(["id"])
-    left = rows.select(cell.alias("cell"), every(groups).alias("group"), "id", "v")
-    right = asked.select(every(cells).alias("cell"), group.alias("group"), "id", "v")
-
-    def vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("id").to_numpy()
-        column = table.column("v").combine_chunks()
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        sizes = np.diff(column.offsets.to_numpy())
-        if len(sizes) and (sizes != sizes[0]).any():
-            raise ValueError("vectors differ in length")
-        return ids, np.floor(scale * flat.reshape(len(ids), -1))
-
-    def run(candidates: pa.Table, questions: pa.Table) -> pa.Table:
-        names, kinds = ["query_id", "vec_id", "score"], [pa.int64()] * 3
-        if not candidates.num_rows or not questions.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        row_id, x = vectors(candidates)
-        query_id, y = vectors(questions)
-        if x.shape[1] != y.shape[1]:
-            raise ValueError("vectors differ in length")
-        if np.abs(x).max() * np.abs(y).max() * x.shape[1] >= 2**53:
-            raise ValueError("inner products are too large to be exact")
-        q, r, score = threshold_top_k(y, query_id, x, row_id, k)
-        return pa.table([query_id[q], row_id[r], score.astype(np.int64)], names=names)
-
-    met = left.groupBy("cell", "group").cogroup(right.groupBy("cell", "group")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n = rows.count()
+    cells = max(1, -(-n // cell_rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
+    cell = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(cells)).cast("int")
+    candidates = rows.select(cell(0).alias("cell"), F.lit(False).alias("asks"), "id", F.lit(float("-inf")).alias("floor"), "v")
+    asked = rows.where("asks").dropDuplicates(["id"]).select("id", "v", cell(1).alias("first"))
+    begun = asked.select(F.col("first").alias("cell"), F.lit(True).alias("asks"), "id", F.lit(float("-inf")).alias("floor"), "v")
+    met = _passed(candidates.union(begun), k, scale)
+    if cells > 1:
+        met = cut(met)
+        floor = _ranked(met, k).groupBy(F.col("query_id").alias("id")).agg(F.max(F.when(F.col("rank") == k, F.col("score").cast("double"))).alias("floor"))
+        carried = asked.join(floor, "id", "left").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).where("cell <> first")
+        met = met.union(_passed(candidates.union(carried.select("cell", F.lit(True).alias("asks"), "id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "v")), k, scale))
+    return _ranked(met, k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same result in DuckDB SQL.
