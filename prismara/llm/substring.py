@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Words, _powers, chunks, mix, ragged, shared_table
+from ._shared import HOT, Words, _powers, chunks, cut, done, mix, ragged, shared_table, unused
 from .fmindex import FMIndex
 
 #: Words of the sequence that chooses a window's shard.
@@ -218,7 +218,7 @@ def _removed(found: DataFrame, window: int, with_text: bool) -> DataFrame:
                     count.append(int(b - a - len(stay)))
                     sha.append(hashlib.sha256(left).hexdigest())
                     if with_text:
-                        kept.append(left.decode())
+                        kept.append(left.decode("utf-8", "replace"))
             made = [batch.column("key"), pa.array(count, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] * with_text)]
             yield pa.RecordBatch.from_arrays(made, ["key", "n_removed", "kept_sha256", *["kept"] * with_text])
 
@@ -232,16 +232,21 @@ def _key(text: str) -> Column:
 
 def _search(docs: DataFrame, profile: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """docs(key, text), profile -> (the texts with candidate windows, the marks (key, first, mask) of repeated ones)."""
-    each = profile.where(F.size("runs") > 0).groupBy("key").agg(F.first("anchors").alias("anchors"), F.first("runs").alias("runs"), F.count("*").alias("n"))
+    each = shared_table(profile.where(F.size("runs") > 0).groupBy("key").agg(F.first("anchors").alias("anchors"), F.first("runs").alias("runs"), F.count("*").alias("n")), "each")
     runs = each.select("key", "n", F.inline(F.arrays_zip("anchors", "runs"))).withColumnsRenamed({"anchors": "anchor", "runs": "run"})
     width = F.lit(0)
     for least, to in FINER:
         width = F.when(F.col("uses") >= least, to).otherwise(width)
-    again = runs.groupBy("anchor").agg(F.sum(F.col("n") * F.when(F.col("run").bitwiseAND(32) > 0, 2).otherwise(1)).alias("uses")).where("uses >= 2").select("anchor", width.alias("width"))
-    hits = runs.join(again, "anchor").groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("run", "anchor", "width")).alias("hits"))
+    uses = F.sum(F.col("n") * F.when(F.col("run").bitwiseAND(32) > 0, 2).otherwise(1)).alias("uses")
+    again = cut(runs.groupBy("anchor").agg(uses, F.count("*").alias("rows")).where("uses >= 2").select("anchor", "rows", width.alias("width")))
+    # An anchor that holds one run in HOT of those that are left, or more, meets them by broadcast: HOT anchors at the most.
+    least = max(1000, (again.agg(F.sum("rows")).first()[0] or 0) // HOT)
+    hot = again.where(F.col("rows") >= least).select("anchor", "width")
+    met = runs.join(F.broadcast(hot.select("anchor")), "anchor", "left_anti").join(again.select("anchor", "width"), "anchor").unionByName(runs.join(F.broadcast(hot), "anchor"))
+    hits = met.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("run", "anchor", "width")).alias("hits"))
     texts = docs.groupBy("key").agg(F.first("text").alias("text"))
     found = shared_table(texts.join(hits, "key"), "found")
-
+    done(each)
     segments = _segments(found.select("key", "n", "text", "hits"), window)
     contents = segments.groupBy("route", "cid").agg(F.first("content").alias("content"), F.sum("n").alias("weight"))
     masks = _masks(contents, window)
@@ -267,11 +272,12 @@ def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     windows, are deduplicated with their number and indexed: an FM-index for each shard of whole routes, in
     which backward search finds the windows with two occurrences or more. Nothing is held to be repeated on a
     hash alone; the index compares words. Segments of frequent anchors are dealt by 29 and then all 35 of
-    their words, so that no route grows with the corpus but by different windows.
+    their words, so that no route grows with the corpus but by different windows. An anchor with a large share of
+    all runs meets them by broadcast, so no task holds it alone.
 
     Equal texts are handled once, with their number. Null and empty texts have no words; texts under `window`
-    words keep all. Repeated rows come out as often as they come in, a null doc_id stays null, and columns
-    other than the two aren't looked at. An empty table gives an empty one.
+    words keep all; a very long one is read by itself. Repeated rows come out as often as they come in, a null doc_id
+    stays null, and columns other than the two aren't looked at. An empty table gives an empty one.
     """
     docs, profile = _profiled(df, doc_id, text, window)
     found, marks = _search(docs, profile, window)
@@ -282,10 +288,11 @@ def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 def without_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
     """df with repeated windows taken out of its texts (see remove_repeated): such a text is its words left, by
-    one space each, and may be empty; others stay to the letter. All rows and columns stay.
+    one space each, and may be empty; others stay to the letter. All rows and columns stay, whatever their names.
     """
+    of, key, kept_ = unused(df, "of", "key", "kept")
     docs, profile = _profiled(df, doc_id, text, window)
     found, marks = _search(docs, profile, window)
-    removed = _removed(found.join(marks, "key"), window, True).select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    out = df.withColumn("_of", _key(text)).join(removed, F.col("_of") == F.col("_key"), "left")
-    return out.withColumn(text, F.coalesce("_kept", text)).select(*df.columns)
+    removed = _removed(found.join(marks, "key"), window, True).select(F.col("key").alias(key), F.col("kept").alias(kept_))
+    out = df.withColumn(of, _key(text)).join(removed, F.col(of) == F.col(key), "left")
+    return out.withColumn(text, F.coalesce(kept_, text)).select(*df.columns)
