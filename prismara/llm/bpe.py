@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from ._shared import chunks, ragged
+from ._shared import chunks, kept, ragged
 
 
 class RankQueue:
@@ -203,9 +203,9 @@ def load(path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def _encoded(codec: Codec, batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+def _encoded(codec: Codec, batch: pa.RecordBatch, name: str | int) -> Iterator[np.ndarray]:
     for _, run in chunks(batch.column(name)):
-        yield from codec.encode([x.decode() for x in run])
+        yield from codec.encode([x.decode("utf-8", "replace") for x in run])
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -246,21 +246,24 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, and n_tokens, ids_sha256 and decoded_sha256 of each whole text encoded and decoded again.
 
-    Ids are held for a run of texts and decoded bytes for one text at a time, so that neither crosses back to Spark. Null is as empty.
+    Ids are held for a run of texts and decoded bytes for one text at a time, so that neither crosses back to Spark. Null
+    is as empty, which has no ids; a very long text is encoded by itself; bytes that aren't UTF-8 are replaced first.
+    Rows come out as they come in, repeated ones as often; an empty table gives an empty one; a column of `keep` with
+    the name of a new one gives way to it.
     """
-    names = [*keep]
+    names = kept(keep, "n_tokens", "ids_sha256", "decoded_sha256")
     source = df.select(*names, F.col(text).alias("_text"))
-    schema = source.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = df.select(*names).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path, pattern)
         for batch in batches:
             count, ids_sha, decoded_sha = [], [], []
-            for ids in _encoded(codec, batch, "_text"):
+            for ids in _encoded(codec, batch, len(names)):
                 count.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             made = [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], [f.name for f in schema])
 
     return source.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Words, _poly, chunks, mix
+from ._shared import Words, _poly, chunks, kept, mix
 
 #: Weights, a power of two.
 SIZE = 1 << 18
@@ -140,18 +140,21 @@ def score_texts(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndar
 def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
     """The columns `keep` of every row, score (0 to 1) and predicted (1 from threshold on).
 
-    Null, empty and word-less texts get the score of the bias alone. Rows come out as they come in.
+    Null, empty and word-less texts get the score of the bias alone. Texts are read in runs of bounded size, a very
+    long one by itself. Rows come out as they come in, repeated ones as often; equal texts have equal scores; an
+    empty table gives an empty one; a column of `keep` with the name of a new one gives way to it.
     """
-    names = [*keep]
+    names = kept(keep, "score", "predicted")
     source = df.select(*names, F.col(text).alias("_text"))
-    schema = source.drop("_text").schema.add("score", "double").add("predicted", "integer")
-    weights, bias = model
+    schema = df.select(*names).schema.add("score", "double").add("predicted", "integer")
+    shared = df.sparkSession.sparkContext.broadcast(model)  # SIZE weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
         for batch in batches:
-            got = [score_texts(x, weights, bias) for _, x in chunks(batch.column("_text"))]
+            got = [score_texts(x, weights, bias) for _, x in chunks(batch.column(len(names)))]
             s = np.concatenate(got) if got else np.zeros(0)
             made = [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], [*names, "score", "predicted"])
 
     return source.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks
+from ._shared import chunks, kept
 
 
 class Automaton:
@@ -67,6 +67,7 @@ class Automaton:
         for i in range(1, n):  # a failure link leads to a shorter string, so to a lower number
             rest[i] = pops[i] + rest[fail[i]]
         self.rest = np.array(rest)
+        self._steps: dict[int, tuple[int, int]] = {}
 
     def _child(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether each node has a child for its byte, the child)."""
@@ -85,6 +86,11 @@ class Automaton:
         node, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         live = len(words)
         for step in range(int(size[0]) if len(size) else 0):
+            if live <= FEW:  # few long words: one by one, without an array's cost a step
+                for i in range(int(np.searchsorted(-size[:live], -step, side="left"))):
+                    node[i], more = self._rest(int(node[i]), data[begin[i] + step : begin[i] + size[i]].tolist())
+                    total[i] += more
+                break
             live = int(np.searchsorted(-size[:live], -step, side="left"))
             byte = data[begin[:live] + step]
             has, to = self._child(node[:live], byte)
@@ -102,6 +108,29 @@ class Automaton:
         return out
 
 
+    def _rest(self, node: int, rest: list[int]) -> tuple[int, int]:
+        """(the node at the end, the pieces popped) of one word from a node on."""
+        count, steps = 0, self._steps
+        for b in rest:
+            to = steps.get(node << 8 | b)
+            if to is None:
+                at, popped = node, 0
+                while not int(self.map[at, b >> 6]) >> (b & 63) & 1:
+                    popped += int(self.pops[at])
+                    at = int(self.fail[at])
+                below = int(np.bitwise_count(self.map[at, b >> 6] & np.uint64((1 << (b & 63)) - 1)))
+                to = steps[node << 8 | b] = (int(self.first[at] + self.before[at, b >> 6]) + below, popped)
+                if len(steps) > KNOWN:
+                    steps.clear()
+            node = to[0]
+            count += to[1]
+        return node, count
+
+
+#: Words that are still going on when the rest is walked one by one, and steps that are remembered meanwhile.
+FEW, KNOWN = 16, 1 << 17
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Automaton:
     """From a file whose lines begin with a piece in base64."""
@@ -117,18 +146,19 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
     Each word, with one space before it, is cut greedily into the longest pieces of the vocabulary from left to
     right; n_tokens is how many. path: vocabulary file that every executor can open, with all single bytes, so
-    that no word is left over. Null and empty texts have none. Equal words of a run of texts are counted once.
-    Rows come out as they come in; other columns aren't looked at.
+    that no word is left over. Null and empty texts have none. Equal words of a run of texts are counted once; a
+    very long text, or word, is read by itself. Rows come out as they come in, repeated ones as often; an empty
+    table gives an empty one; a column of `keep` with the name of a new one gives way to it, and others aren't looked at.
     """
-    names = [*keep]
+    names = kept(keep, "n_words", "n_tokens")
     source = df.select(*names, F.col(text).alias("_text"))
-    schema = source.drop("_text").schema.add("n_words", "long").add("n_tokens", "long")
+    schema = df.select(*names).schema.add("n_words", "long").add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = load(path)
         for batch in batches:
             words, tokens = [], []
-            for _, texts in chunks(batch.column("_text")):
+            for _, texts in chunks(batch.column(len(names))):
                 known: dict[bytes, int] = {}
                 number = known.setdefault
                 codes = [[number(w, len(known)) for w in x.translate(_TO_SPACE).split()] for x in texts]
@@ -136,6 +166,6 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
                 words += map(len, codes)
                 tokens += [int(count[x].sum()) if x else 0 for x in codes]
             made = [pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], [*names, "n_words", "n_tokens"])
 
     return source.mapInArrow(run, schema)
