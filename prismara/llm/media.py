@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shared_table
+from ._shared import cut, done, join_hot, kept, shared_table
 
 #: Samples of a row of a stored payload.
 WIDTH = 64
@@ -21,67 +21,96 @@ ITEM = "array<struct<position: int, kind: string, text: string, ref: string, cap
 
 _REFERS = {"img": "src", "video": "src", "audio": "src", "source": "src", "embed": "src", "object": "data", "iframe": "src"}
 _APART = {"p", "div", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "article", "section", "header", "footer", "nav", "aside", "main", "blockquote", "pre", "figure", "figcaption", "title", "body", "head", "html", "form", "dl", "dt", "dd"}
-_UNSEEN = {"script", "style", "template", "noscript"}
+#: Elements whose content isn't shown. The last two hold ordinary elements: where one is never closed, what follows is shown.
+_UNSEEN, _MAYBE = {"script", "style", "template", "noscript"}, ("template", "noscript")
+
+
+def _plain(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
 
 
 class _Sequence(HTMLParser):
     """Collects text blocks and media references in the order of the page."""
 
-    def __init__(self):
+    def __init__(self, unseen: set[str]):
         super().__init__(convert_charrefs=True)
+        self.hidden = dict.fromkeys(unseen, 0)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.unseen = 0
-        self.figures: list[tuple[int, str | None]] = []
+        self.figures: list[int] = []  # the first item of each open figure
         self.caption: list[str] | None = None
+        self.captions: list[tuple[int, str]] = []  # of the open figures: which figure, what
+
+    def shown(self) -> bool:
+        return not any(self.hidden.values())
+
+    def add(self, kind: str, text: str | None, ref: str | None = None, caption: str | None = None) -> None:
+        self.items.append({"kind": kind, "text": text, "ref": ref, "caption": caption})
 
     def block(self) -> None:
-        if text := " ".join("".join(self.text).split()):
-            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+        if text := _plain(self.text):
+            self.add("text", text)
         self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _UNSEEN:
-            self.unseen += 1
-        if tag in _APART or tag in _REFERS:
+        if tag in self.hidden:
+            self.hidden[tag] += 1
+        if not self.shown():
+            return
+        if self.caption is not None and tag in _APART | set(_REFERS):
+            self.caption.append(" ")
+        if self.caption is None and (tag in _APART or tag in _REFERS):
             self.block()
         if tag == "figure":
-            self.figures.append((len(self.items), None))
-        if tag == "figcaption":
+            self.end_caption()
+            self.figures.append(len(self.items))
+        if tag == "figcaption" and self.figures:  # outside a figure it is a block like any other
+            self.end_caption()
             self.caption = []
-        if tag in _REFERS and not self.unseen and (ref := dict(attrs).get(_REFERS[tag])):
-            self.items.append({"kind": "media", "text": None, "ref": ref.strip(), "caption": dict(attrs).get("alt") or None})
+        if tag in _REFERS and (ref := (dict(attrs).get(_REFERS[tag]) or "").strip()):
+            self.add("media", None, ref, dict(attrs).get("alt") or None)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in _UNSEEN:
-            self.unseen -= 1
+        if tag in self.hidden:
+            self.hidden[tag] -= 1
 
     def end_caption(self) -> None:
         if self.caption is not None:
-            if self.figures and (text := " ".join("".join(self.caption).split())):
-                self.figures[-1] = (self.figures[-1][0], text)
+            if text := _plain(self.caption):
+                self.captions.append((len(self.figures), text))
             self.caption = None
 
     def end_figure(self) -> None:
+        """The figure's media get its caption; without media the caption is text."""
         self.end_caption()
-        first, text = self.figures.pop()
-        for item in self.items[first:] if text else []:
-            if item["kind"] == "media":
-                item["caption"] = text
+        own = " ".join(text for depth, text in self.captions if depth == len(self.figures))
+        self.captions = [x for x in self.captions if x[0] < len(self.figures)]
+        media = [x for x in self.items[self.figures.pop() :] if x["kind"] == "media"]
+        for item in media if own else []:
+            item["caption"] = own
+        if own and not media:
+            self.add("text", own)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _UNSEEN:
-            self.unseen = max(0, self.unseen - 1)
-        if tag in _APART:
-            self.block()
+        if tag in self.hidden:
+            self.hidden[tag] = max(0, self.hidden[tag] - 1)
+        if not self.shown():
+            return
         if tag == "figcaption":
             self.end_caption()
+        if tag in _APART:
+            if self.caption is None:
+                self.block()
+            else:
+                self.caption.append(" ")
         if tag == "figure" and self.figures:
+            self.end_caption()
+            self.block()
             self.end_figure()
 
     def handle_data(self, data: str) -> None:
-        if not self.unseen:
+        if self.shown():
             (self.text if self.caption is None else self.caption).append(data)
 
 
@@ -89,17 +118,25 @@ def parse(html: str | None) -> list[dict]:
     """The items of a page: position from 0, kind `text` or `media`, text, ref and caption.
 
     Text is parted at block elements and at media, with runs of white space as one space. The caption of a
-    media item is its figure's figcaption, before or after it, or else its alt text. Scripts, styles and
-    comments are left out. Null, empty and broken HTML give what can be read of it, at worst nothing.
+    media item is its figure's figcaption, before or after it, or else its alt text; a figcaption without media
+    is text. Scripts, styles, closed templates and noscripts, and comments are left out. Null, empty and broken
+    HTML give what can be read of it, at worst nothing.
     """
     if not html:
         return []
-    page = _Sequence()
-    page.feed(html)
-    page.close()
+    unseen = set(_UNSEEN)
+    while True:
+        page = _Sequence(unseen)
+        page.feed(html)
+        page.close()
+        never = {x for x in _MAYBE if page.hidden.get(x)}
+        if not never:
+            break
+        unseen -= never
+    page.end_caption()
+    page.block()
     while page.figures:
         page.end_figure()
-    page.block()
     return [{"position": i, **item} for i, item in enumerate(page.items)]
 
 
@@ -154,15 +191,20 @@ def feature(payload: bytes) -> str:
 def store(df: DataFrame, digest: str, payload: str) -> DataFrame:
     """(digest, media): the payloads in stored form, written to the shared folder. Rows without a payload are left out.
 
-    The table is append-only: a payload that comes twice may be stored twice, and resolves once.
+    A task stores a payload once, however often it comes; two tasks may both store it, and it resolves once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there: set[str] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                media = [encode(x) for x in part.column("payload").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(media, pa.binary())], ["digest", "media"])
+                names, media = [], []
+                for name, x in zip(*(batch.slice(i, 256).column(c).to_pylist() for c in ("digest", "payload")), strict=True):
+                    if name not in there:
+                        there.add(name)
+                        names.append(name)
+                        media.append(encode(x))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
     rows = df.select(F.col(digest).alias("digest"), F.col(payload).alias("payload")).where("payload IS NOT NULL")
     return shared_table(rows.mapInArrow(run, "digest string, media binary"), "media")
@@ -190,16 +232,22 @@ def describe(stored: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(*(F.first(c).alias(c) for c in found.columns[1:]))
 
 
-def resolve(df: DataFrame, media: DataFrame, items: str = "items", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each media item of df's sequences with the columns `keep`, its position, ref, caption and what
-    `media` (one row for each digest) says of the digest that the ref names as `sha256:...`; nulls if nothing.
+def shown(df: DataFrame, items: str = "items", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row for each media item of df's sequences: the columns `keep`, its position, ref, caption and the digest that
+    the ref names as `sha256:...` (null if it names none); a column of `keep` with one of these names gives way."""
+    names = kept(keep, "position", "ref", "caption", "digest")
+    rows = df.select(*names, F.explode(items).alias("_item")).where("_item.kind = 'media'")
+    digest = F.nullif(F.regexp_extract("_item.ref", r"^sha256:([0-9a-f]{64})$", 1), F.lit(""))
+    return rows.select(*names, "_item.position", "_item.ref", "_item.caption", digest.alias("digest"))
+
 
-    Positions and captions come from the page and stay as they are. A digest that many pages show is a skewed
-    key of a plain join, whose partitions Spark splits; payloads themselves don't move.
+def resolve(found: DataFrame, media: DataFrame) -> DataFrame:
+    """found (see shown), with what `media` (one row for each digest) says of each item's digest; nulls if nothing.
+
+    Positions and captions come from the page and stay as they are. Payloads themselves don't move, and digests that
+    many items show meet their facts by broadcast (see join_hot). Both tables are settled first.
     """
-    shown = df.select(*keep, F.explode(items).alias("i")).where("i.kind = 'media'")
-    shown = shown.select(*keep, "i.position", "i.ref", "i.caption", F.regexp_extract("i.ref", r"^sha256:([0-9a-f]{64})$", 1).alias("_digest"))
-    return shown.join(media, shown["_digest"] == media["digest"], "left").drop("_digest")
+    return join_hot(cut(found), cut(media), "digest", "left")
 
 
 def archive(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,12 +255,39 @@ def archive(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position,
     caption). Null is as empty, which is 64 bytes 0; equal texts have equal values; repeated rows, and rows with
-    a null doc_id, come out as they come in. Other columns aren't looked at.
+    a null doc_id, come out as they come in. A very long text is one payload; an empty table gives an empty one.
+    Other columns aren't looked at.
     """
     payload = padded(F.col(text))
     rows = df.select(F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
-    media = describe(store(rows, "digest", "payload"))
+    stored = store(rows, "digest", "payload")
     page = F.concat(F.lit('<figure><img src="sha256:'), F.col("digest"), F.lit('" alt="text"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")), F.lit("</figcaption></figure>"))
     pages = sequences(rows.select("doc_id", "n_bytes", page.alias("html")))
-    found = resolve(pages, media, keep=("doc_id", "n_bytes"))
+    found = resolve(shown(pages, keep=("doc_id", "n_bytes")), describe(stored))
+    done(stored)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def illustrated(pages: DataFrame, page_id: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """(page_id, items, media, positions, captions, text_sha256, payload_bytes) for every page, with a figure in the place
+    of each `<br>`: how many items it has and how many of them are media, where these are and what their captions
+    say, a digest of its text items, and the bytes of the payloads that its media resolve to.
+
+    The figure's payload is the page's URL (see padded). A null page has no items.
+    """
+    payload = padded(F.col(url))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(payload, 256), F.lit('"><figcaption>page '), F.coalesce(F.col(page_id).cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.replace(F.col(html), F.lit("<br>"), figure).alias("html"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"), F.xxhash64(page_id, url, html).alias("row"))
+    read = cut(sequences(rows.select("row", "page_id", "html")).drop("html"))
+    stored = store(rows, "digest", "payload")
+    found = resolve(shown(read, keep=("row",)), describe(stored))
+    done(stored)
+    of = found.groupBy("row", "position").agg(F.first("caption").alias("caption"), F.first("payload_bytes").alias("bytes"))
+    of = of.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("position", "caption"))).alias("m"), F.sum("bytes").alias("payload_bytes"))
+    join = lambda f: F.coalesce(F.array_join(F.transform("m", f), "|"), F.lit(""))
+    text = F.array_join(F.transform(F.filter("items", lambda i: i["kind"] == "text"), lambda i: i["text"]), "\n")
+    out = read.join(of, "row", "left")
+    return out.select(
+        "page_id", F.size("items").alias("items"), F.coalesce(F.size("m"), F.lit(0)).alias("media"), join(lambda x: x["position"].cast("string")).alias("positions"),
+        join(lambda x: x["caption"]).alias("captions"), F.sha2(text, 256).alias("text_sha256"), F.coalesce("payload_bytes", F.lit(0)).alias("payload_bytes"),
+    )

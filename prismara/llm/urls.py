@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def host(url: Column) -> Column:
-    """The host of an absolute URL in lower case, without user, port and last dot; null if there is none."""
-    found = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """The host of an absolute URL in lower case, without user, port and last dot, an IPv6 address in its brackets; null if there is none."""
+    found = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:\[\]]+)", 1)
     return F.nullif(F.rtrim(F.lower(found), F.lit(".")), F.lit(""))
 
 
@@ -21,7 +21,8 @@ def path(url: Column) -> Column:
 
 def keys(url: Column, most: Column) -> Column:
     """What a list entry may name of a URL, in lower case: its host, every parent domain of two labels or more, and
-    host + path up to each of its first `most` steps. Bounded by the URL, so matching is an equality join."""
+    host + path up to each of its first `most` steps, where `most` is the depth of the list's deepest entry. Bounded
+    by the URL, so matching is an equality join."""
     name, labels = host(url), F.split(host(url), r"\.")
     many = F.size(labels)
     domains = F.transform(F.sequence(F.lit(0), F.greatest(many - 2, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, many), "."))
@@ -37,9 +38,9 @@ def intervals(entries: DataFrame) -> DataFrame:
     An entry holds from its date until the next dated entry of the same list and pattern, without end if there
     is none (null). The action `remove` ends what was there and has no interval of its own. Of entries with the
     same list, pattern and date the one with the greatest action counts. Entries with a null pattern or date
-    are of no effect. Patterns are compared in lower case.
+    are of no effect. Patterns are compared in lower case, without slashes at their end.
     """
-    rows = entries.select("list", F.lower(F.trim("pattern")).alias("pattern"), "action", "at").where("pattern IS NOT NULL AND at IS NOT NULL")
+    rows = entries.select("list", F.rtrim(F.lower(F.trim("pattern")), F.lit("/")).alias("pattern"), "action", "at").where("pattern IS NOT NULL AND at IS NOT NULL")
     rows = rows.groupBy("list", "pattern", "at").agg(F.max("action").alias("action"))
     until = F.lead("at").over(W.partitionBy("list", "pattern").orderBy("at"))
     return rows.select("list", "pattern", "action", F.col("at").alias("since"), until.alias("until")).where("action <> 'remove'")
@@ -51,7 +52,8 @@ def judge(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id",
     verdict: `block` or `allow` by the active entry that names most of the URL (the longest pattern; of equal
     ones `allow` before `block`, then the list first by name), or `none`. An interval is active from its start
     until just before its end. Captures with a null or unreadable URL or a null time match nothing. Repeated
-    captures are judged each. Extra columns aren't looked at; an empty list judges all `none`.
+    captures are judged each; a very long URL has as many keys as the list is deep. Extra columns aren't looked at; an
+    empty list judges all `none`, and without captures there are no rows.
 
     Each capture is spread over the few keys that an entry could name, joined with intervals on the key, and
     what matches is brought together by capture again. A host with a large share of captures is a skewed join
@@ -61,7 +63,8 @@ def judge(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id",
     rows = rows.groupBy("capture_id", "url", "at").agg(F.count("*").alias("times"))
     # No path is cut off before the deepest entry of the list, whose depth is one row.
     deepest = entries.agg(F.coalesce(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))), F.lit(0)).alias("deepest"))
-    spread = rows.crossJoin(F.broadcast(deepest)).select("capture_id", "url", "at", F.explode(keys(F.col("url"), F.col("deepest"))).alias("pattern"))
+    most = F.lit(deepest.first()["deepest"])
+    spread = rows.select("capture_id", "url", "at", F.explode(keys(F.col("url"), most)).alias("pattern"))
     active = (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     met = spread.join(intervals(entries), "pattern").where(active)
     order = F.struct((-F.length("pattern")).alias("size"), (F.col("action") != "allow").alias("last"), "list", "action", "pattern")
