@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from ._shared import chunks, kept, ragged
+from ._shared import chunks, kept, ragged, unused
 
 
 class RankQueue:
@@ -252,7 +252,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
     the name of a new one gives way to it.
     """
     names = kept(keep, "n_tokens", "ids_sha256", "decoded_sha256")
-    source = df.select(*names, F.col(text).alias("_text"))
+    source = df.select(*names, F.col(text).alias(unused(df, "text")[0]))
     schema = df.select(*names).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

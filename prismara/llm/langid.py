@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, cut, kept, mix
+from ._shared import chunks, cut, kept, mix, unused
 
 #: Characters of an n-gram.
 ORDER = 4
@@ -271,7 +271,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     gives an empty one; a column of `keep` with the name of a new one gives way to it.
     """
     names = kept(keep, "lang_pred", "score", "rejected")
-    source = df.select(*names, F.col(text).alias("_text"))
+    source = df.select(*names, F.col(text).alias(unused(df, "text")[0]))
     schema = df.select(*names).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     shared = df.sparkSession.sparkContext.broadcast(model)  # the n-grams of a bounded sample of each language
 

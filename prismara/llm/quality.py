@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Words, _poly, chunks, kept, mix
+from ._shared import Words, _poly, chunks, kept, mix, unused
 
 #: Weights, a power of two.
 SIZE = 1 << 18
@@ -145,7 +145,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", ke
     empty table gives an empty one; a column of `keep` with the name of a new one gives way to it.
     """
     names = kept(keep, "score", "predicted")
-    source = df.select(*names, F.col(text).alias("_text"))
+    source = df.select(*names, F.col(text).alias(unused(df, "text")[0]))
     schema = df.select(*names).schema.add("score", "double").add("predicted", "integer")
     shared = df.sparkSession.sparkContext.broadcast(model)  # SIZE weights
 

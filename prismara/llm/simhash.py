@@ -69,7 +69,7 @@ def _join(words: Words) -> np.ndarray:
 def with_fingerprint(df: DataFrame, text: str = "text", shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of every row, and `fp`: the signed long of its fingerprint. Null text: no words."""
     names = kept(keep, "fp")
-    source = df.select(*names, F.col(text).alias("_text"))
+    source = df.select(*names, F.col(text).alias(unused(df, "text")[0]))
     schema = df.select(*names).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

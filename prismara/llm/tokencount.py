@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, kept
+from ._shared import chunks, kept, unused
 
 
 class Automaton:
@@ -151,7 +151,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     table gives an empty one; a column of `keep` with the name of a new one gives way to it, and others aren't looked at.
     """
     names = kept(keep, "n_words", "n_tokens")
-    source = df.select(*names, F.col(text).alias("_text"))
+    source = df.select(*names, F.col(text).alias(unused(df, "text")[0]))
     schema = df.select(*names).schema.add("n_words", "long").add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string, kept string"
+#: Columns that are called like what operators make, or like names they might use on the way.
+CLASH = ("score", "fp", "kept", "lang_pred", "rejected", "predicted", "n_tokens", "n_words", "ids_sha256", "decoded_sha256", "key", "k", "s", "slot", "times", "_k1", "_k2", "_n", "_key", "_text", "id", "part", "digest", "held_out")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 
 
 def words(rng, n, vocabulary=400):
@@ -20,8 +22,8 @@ def rows():
     texts += [words(rng, 50) + " " + passage + " " + words(rng, 20) for _ in range(4)] + [passage, passage + " tail"]
     texts += [base] * 3 + [base.replace(f" {base.split()[i]} ", " changed ", 1) for i in (7, 150)]
     texts += ["line of words " * 40, "x" * 5000, words(rng, 20_000, 5000)]
-    out = [(i, t, ("en", "de", None)[i % 3], ("s1", "s2", "s3", None)[i % 4], len(t or ""), "clash", "clash", "clash") for i, t in enumerate(texts)]
-    out += [(None, "no id at all", "en", "s1", 3, "clash", "clash", "clash"), (None, None, None, None, None, None, None, None), out[7], out[7], (7, "same id, other text", "en", "s1", 1, "a", "b", "c")]
+    out = [(i, t, ("en", "de", None)[i % 3], ("s1", "s2", "s3", None)[i % 4], len(t or ""), *["clash"] * len(CLASH)) for i, t in enumerate(texts)]
+    out += [(None, "no id at all", "en", "s1", 3, *["clash"] * len(CLASH)), (None,) * (5 + len(CLASH)), out[7], out[7], (7, "same id, other text", "en", "s1", 1, *["other"] * len(CLASH))]
     return out
 
 

@@ -69,18 +69,6 @@ def test_components_of_long_paths_stars_and_loops(spark):
     assert sorted(map(sorted, got.values())) == [list(range(302)), list(range(1000, 1100))]
 
 
-def test_deduplicate_keeps_one_row_of_each_component_with_all_columns(docs, rows):
-    got = simhash.deduplicate(docs, shingle=4, limit=4, parts=6)
-    assert got.columns == docs.columns
-    root = grouped([brute(r[1]) for r in rows], lambda a, b: (a ^ b).bit_count() <= 4)
-    assert got.count() == len(set(root))
-    ids = {r["doc_id"] for r in got.collect()}
-    for g in set(root):
-        own = [r[0] for r, x in zip(rows, root, strict=True) if x == g and r[0] is not None]
-        assert not own or min(own) in ids
-
-
 def test_empty_tables(empty):
     assert simhash.near_duplicates(empty).collect() == []
-    assert simhash.deduplicate(empty).collect() == []
     assert components.connected_components(empty.select(F.col("doc_id").alias("a"), F.col("n_chars").alias("b"))).collect() == []

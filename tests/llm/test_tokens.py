@@ -76,6 +76,20 @@ def test_automaton_on_random_words():
     assert tokencount.Automaton(sorted(pieces)).count(words).tolist() == [greedy(w, pieces) for w in words]
 
 
+def test_long_words_are_counted_like_short_ones():
+    rng = random.Random(4)
+    pieces = {bytes([b]) for b in range(256)} | {bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 9))) for _ in range(120)}
+    automaton = tokencount.Automaton(sorted(pieces))
+    words = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (20_000, 9_000, *range(1, 60))]
+    assert automaton.count(words).tolist() == [greedy(w, pieces) for w in words]
+    assert automaton.count([]).tolist() == [] and automaton.count([b"", b"a"]).tolist() == [0, 1]
+
+
+def test_bytes_that_are_no_utf8_do_not_end_the_job(spark):
+    odd = spark.sql("SELECT 1L AS doc_id, CAST(X'61FFFE62' AS STRING) AS text")
+    assert bpe.round_trip(odd, PATH, P.PATTERN).first()["n_tokens"] > 0 and tokencount.token_counts(odd, PATH).first()["n_words"] == 1
+
+
 def test_empty_tables(empty):
     assert bpe.round_trip(empty, PATH, P.PATTERN).collect() == []
     assert tokencount.token_counts(empty, PATH).collect() == []

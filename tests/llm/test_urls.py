@@ -6,10 +6,10 @@ AT = datetime(2024, 1, 1)
 
 
 def test_entries_of_any_depth_and_case_match(spark):
-    entries = spark.createDataFrame([("l", p, "block", AT) for p in ("example.com/a/b/c/d", "other.org/News", "deep.net/1/2/3/4/5/6/7/")], "list string, pattern string, action string, at timestamp")
+    entries = spark.createDataFrame([("l", p, "block", AT) for p in ("example.com/a/b/c/d", "other.org/News", "deep.net/1/2/3/4/5/6/7/", "Parent.example", "[::1]")], "list string, pattern string, action string, at timestamp")
     urls_of = {
         "http://example.com/a/b/c/d/e": "example.com/a/b/c/d", "http://example.com/a/b/c": None, "https://other.org/News/x": "other.org/news", "https://Other.org/news": "other.org/news",
-        "http://other.org/newsroom": None, "http://example.com/A//b/C/D": "example.com/a/b/c/d",
+        "http://other.org/newsroom": None, "http://deep.net/1/2/3/4/5/6/7/8?q": "deep.net/1/2/3/4/5/6/7", "http://a.b.PARENT.example/x": "parent.example", "http://notparent.example/": None, "http://[::1]:80/x": "[::1]", "http://example.com/A//b/C/D": "example.com/a/b/c/d",
     }
     captures = spark.createDataFrame([(i, u, AT) for i, u in enumerate(urls_of)], "page_id long, url string, at timestamp")
     got = {r["capture_id"]: r["pattern"] for r in urls.judge(captures, entries).collect()}
