@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import labels, search, vectors
 from .operators.lineage import settled
+from .operators.nearest import within
 from .operators.relational import after, latest_per, top_n_per
 from .plans import clusters, content, features, files, ingest, library, person, series
 from .sources.catalog import Tables
@@ -314,7 +315,7 @@ def _vectors(t: Tables, p: str) -> DataFrame:
 
 @query(f"WITH {_VECS} SELECT a.id AS a_id, b.id AS b_id, round(list_distance(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.embedding_type = b.embedding_type AND a.model_name = b.model_name AND a.id <> b.id WHERE list_distance(a.v, b.v) <= 0.10")
 def embedding_range_pairs(t):
-    met = content.within(_vectors(t, "a"), _vectors(t, "b"), ["embedding_type", "model_name"], 0.10).where("a_id <> b_id")
+    met = within(_vectors(t, "a"), _vectors(t, "b"), ["embedding_type", "model_name"], 0.10).where("a_id <> b_id")
     return met.select("a_id", "b_id", F.round("distance", 6).alias("distance"))
 
 

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from prismara.operators.nearest import within
 from prismara.plans import clusters, content, files, ingest, library, person, series
 from prismara.schema import TABLES, violations
 from prismara.sources import files as scans
@@ -55,14 +56,24 @@ def test_tiers_of_near_content(spark):
     assert got == {("phash", "phash:7"): {7, 10}, ("phash", "phash:10"): {7, 10}, ("vector", "vector:20"): {20, 21}, ("vector", "vector:21"): {20, 21}, ("frame_phash", "frame_phash:30"): {30, 31}, ("frame_phash", "frame_phash:31"): {30, 31}, ("frame_vector", "frame_vector:40"): {40, 41}, ("frame_vector", "frame_vector:41"): {40, 41}}
 
 
-def test_grid_join_finds_all_that_are_near(spark):
+def test_near_vectors_are_those_of_brute_force(spark):
     import random
 
     rng = random.Random(1)
-    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], "m") for i in range(150)]
-    a = spark.createDataFrame(rows, "a_id long, a_v array<double>, model string")
-    got = {(r["a_id"], r["b_id"]) for r in content.within(a, a.withColumnsRenamed({"a_id": "b_id", "a_v": "b_v"}), ["model"], 0.6).collect()}
-    assert got == {(i, j) for i, x, _ in rows for j, y, _ in rows if sum((p - q) ** 2 for p, q in zip(x, y, strict=True)) ** 0.5 <= 0.6}
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], "mn"[i % 2]) for i in range(150)]
+    odd = [(200, None, "m"), (201, [], "m"), (202, [0.1] * 3, "m"), (203, [0.1] * 4, None)]
+    a = spark.createDataFrame(rows + odd, "a_id long, a_v array<double>, model string")
+    want = {(i, j) for i, x, m in rows for j, y, n in rows if m == n and sum((p - q) ** 2 for p, q in zip(x, y, strict=True)) ** 0.5 <= 0.6}
+    for size in (1 << 13, 16):
+        got = [(r["a_id"], r["b_id"]) for r in within(a, a.withColumnsRenamed({"a_id": "b_id", "a_v": "b_v"}), ["model"], 0.6, size).collect()]
+        assert len(got) == len(set(got)) and set(got) - {(202, 202)} == want
+
+
+def test_copies_of_a_hash_are_compared_once(spark):
+    rows = [{"file_id": i, "phash": "ab" * 8} for i in range(12)] + [{"file_id": 20, "phash": "ab" * 7 + "aa"}, {"file_id": 21, "phash": "ab" * 8, "width": None}, {"file_id": 22, "phash": "cd" * 8}]
+    got = {(r["a_id"], r["b_id"]) for r in content.phash_pairs(wide(spark, *rows)).collect()}
+    near = [*range(12), 20, 21]
+    assert got == {(i, j) for i in near for j in near if i != j}
 
 
 def test_series_by_time_and_name(spark):
