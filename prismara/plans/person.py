@@ -31,7 +31,8 @@ OTHER_BASE, FAMILY, PARENT, PERSON_VECTOR, GENERIC_VECTOR, FACES, SUBJECTS, CAPT
 TIME = ((6, 0.06), (24, 0.04), (24 * 7, 0.02))
 CONFIDENCE = 0.55
 
-FACTS = ("media_type", "parent_path", "family", "t", "width", "height", "duration_ms", "face", "subject_count", "capture_type", "person_kind", "person_model", "person_vector", "person_looks")
+FACTS = ("media_type", "parent_path", "family", "t", "width", "height", "duration_ms", "face", "subject_count", "capture_type")
+LOOKS = ("person_kind", "person_model", "person_vector", "person_looks")
 
 
 def person_tags(t: Tables) -> DataFrame:
@@ -62,9 +63,10 @@ def effective_tags(t: Tables, files: DataFrame) -> DataFrame:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """What scores compare, for active files."""
+    """What scores compare, for active files; `seen` says whether there are vectors."""
     clean = {"family": media.person_family(F.col("file_name")), "t": F.unix_micros("mtime"), "face": labels.truthy(F.col("has_face"))}
-    return files.where("status = 'active'").withColumns(clean).select("file_id", *FACTS)
+    clean["seen"] = F.col("person_vector").isNotNull() | (F.coalesce(F.size("person_looks"), F.lit(0)) > 0)
+    return files.where("status = 'active'").withColumns(clean).select("file_id", *FACTS, "seen")
 
 
 def _known(a: str, b: str) -> Column:
@@ -91,8 +93,15 @@ def vector_points(th: Thresholds) -> Column:
     return out
 
 
-def score_pairs(pairs: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """pairs(source, a_..., b_...) with same_family, same_parent, vector_points and score, which is relative to side a."""
+def near_pairs(pairs: DataFrame, files: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """(a_id, b_id, vector_points) of the pairs (a_id, b_id) whose vectors are near."""
+    side = lambda p: files.select(F.col("file_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in LOOKS))
+    met = pairs.distinct().join(side("a"), "a_id").join(side("b"), "b_id").withColumn("vector_points", vector_points(th))
+    return met.where("vector_points > 0").select("a_id", "b_id", "vector_points")
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs(source, a_..., b_..., vector_points) with same_family, same_parent and score, which is relative to side a."""
     c = F.col
     hours = F.abs(c("a_t") - c("b_t")) / 3_600_000_000
     soon = F.lit(0.0)
@@ -101,7 +110,7 @@ def score_pairs(pairs: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     base = F.lit(OTHER_BASE)
     for name, points in BASE.items():
         base = F.when(c("source") == name, points).otherwise(base)
-    df = pairs.withColumns({"same_family": _known("a_family", "b_family"), "same_parent": _known("a_parent_path", "b_parent_path"), "vector_points": vector_points(th)})
+    df = pairs.withColumns({"same_family": _known("a_family", "b_family"), "same_parent": _known("a_parent_path", "b_parent_path")})
     add = lambda test, points: F.when(test, points).otherwise(0.0)
     total = base + add(c("same_family"), FAMILY) + add(c("same_parent"), PARENT) + c("vector_points") + add(c("a_face") & c("b_face"), FACES)
     total = total + add(labels.equal_known(c("a_subject_count"), c("b_subject_count")), SUBJECTS) + add(labels.equal_known(c("a_capture_type"), c("b_capture_type")), CAPTURES) + F.coalesce(soon, F.lit(0.0))
@@ -124,16 +133,18 @@ def same_person(files: DataFrame, tags: DataFrame, th: Thresholds = Thresholds()
     """(anchor_id, name, source, file_id, rank, role, score) for each tag of each active file with another member.
 
     People's tags take all files with the tag. Tags by models or rules are narrowed if over `narrow_over` files
-    have them; signals always are, weak ones more. Files meet by equal tag names of the same class.
+    have them; signals always are, weak ones more. Files meet by equal tag names of the same class, each with the few
+    facts that scores compare; vectors are fetched once for each two files of which both have some.
     """
     rows = facts(files)
-    side = lambda p: rows.select(F.col("file_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in FACTS))
+    side = lambda p: rows.select(F.col("file_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in (*FACTS, "seen")))
     held = tags.join(rows.select("file_id"), "file_id", "left_semi").withColumn("auto", F.col("source") == "auto")
     many = held.groupBy("name", "auto").agg(F.count("*").alias("holders"))
-    a = held.select(F.col("file_id").alias("a_id"), "name", "auto", "source").join(many, ["name", "auto"])
-    b = held.select(F.col("file_id").alias("b_id"), "name", "auto").distinct()
-    met = a.join(b, ["name", "auto"]).join(side("a"), "a_id").join(side("b"), "b_id")
-    df = score_pairs(met, th)
+    a = held.select(F.col("file_id").alias("a_id"), "name", "auto", "source").join(many, ["name", "auto"]).join(side("a"), "a_id")
+    b = held.select(F.col("file_id").alias("b_id"), "name", "auto").distinct().join(side("b"), "b_id")
+    met = a.join(b, ["name", "auto"])
+    near = near_pairs(met.where("a_seen AND b_seen AND a_id <> b_id").select("a_id", "b_id"), files, th)
+    df = score_pairs(met.join(near, ["a_id", "b_id"], "left").fillna(0.0, ["vector_points"]))
     c = F.col
     close = c("same_family") | c("same_parent") | (c("vector_points") > 0)
     narrowed = _compatible(th) & media.ratio_close(c("a_duration_ms"), c("b_duration_ms"), th.duration) & close

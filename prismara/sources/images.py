@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import hashing, media
 
@@ -65,7 +66,7 @@ def samples(content: bytes) -> tuple[bytes, int, int] | None:
 
 def decode(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """keep, width, height, format, orientation and phash of image files; all null for what can't be read."""
-    schema = df.select(*keep).schema.add("format", "string").add("width", "int").add("height", "int").add("gray", "array<int>").add("gw", "int").add("gh", "int")
+    schema = StructType([*df.select(*keep).schema, *StructType.fromDDL("format string, width int, height int, gray array<int>, gw int, gh int")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

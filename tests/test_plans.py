@@ -1,13 +1,16 @@
+import struct
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from prismara.functions import labels
 from prismara.operators.nearest import within
 from prismara.plans import clusters, content, files, ingest, library, person, series
 from prismara.schema import TABLES, violations
 from prismara.sources import files as scans
-from prismara.sources import providers
+from prismara.sources import images, providers
 
 T0 = datetime(2024, 1, 1, 12)
 WIDE = (
@@ -69,6 +72,12 @@ def test_near_vectors_are_those_of_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) - {(202, 202)} == want
 
 
+def test_videos_meet_by_two_frames(spark):
+    video = lambda i, *h: {"file_id": i, "media_type": "video", "duration_ms": 60_000, "frame_phashes": list(h)}
+    rows = [video(i, "black", f"own{i}", f"more{i}") for i in range(30)] + [video(40, "black", "x", "y", "z"), video(41, "z", "black", "x", "q"), video(42, "x"), video(43)]
+    assert {tuple(r) for r in content.frame_phash_pairs(wide(spark, *rows)).collect()} == {(40, 41, 3), (41, 40, 3)}
+
+
 def test_copies_of_a_hash_are_compared_once(spark):
     rows = [{"file_id": i, "phash": "ab" * 8} for i in range(12)] + [{"file_id": 20, "phash": "ab" * 7 + "aa"}, {"file_id": 21, "phash": "ab" * 8, "width": None}, {"file_id": 22, "phash": "cd" * 8}]
     got = {(r["a_id"], r["b_id"]) for r in content.phash_pairs(wide(spark, *rows)).collect()}
@@ -179,6 +188,44 @@ def test_tags_reviews_and_clusters(spark):
     assert {(r["id"], r["status"]) for r in again.collect()} == {(1, "ignored"), (2, "confirmed"), (new, "candidate")} and rows.count() == 2
 
 
+def png(width, height, gray):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + bytes(gray[y * width : (y + 1) * width]) for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_images_are_read_by_their_heads(spark):
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc2\0\x0b\x08\0\x05\0\x07\x01\x01\x11\0"
+    gif, bmp = b"GIF89a" + struct.pack("<HH", 30, 20), b"BM" + b"\0" * 16 + struct.pack("<ii", 8, -9)
+    rows = [(1, png(9, 8, range(72))), (2, jpeg), (3, gif), (4, bmp), (5, b"nothing"), (6, b""), (7, None), (8, b"\x89PNG\r\n\x1a\n")]
+    got = {r["file_id"]: r for r in images.decode(spark.createDataFrame(rows, "file_id long, content binary")).collect()}
+    assert {i: (r["format"], r["width"], r["height"], r["orientation"]) for i, r in got.items()} == {
+        1: ("png", 9, 8, "landscape"), 2: ("jpeg", 7, 5, "landscape"), 3: ("gif", 30, 20, "landscape"), 4: ("bmp", 8, 9, "portrait"), **{i: (None, None, None, "") for i in (5, 6, 7, 8)},
+    }
+    assert got[1]["phash"] == ("0" * 16 if images.Image else None)
+
+
+def test_chat_models_are_asked_and_fall_back(spark):
+    asked = []
+
+    def post(url, body):
+        asked.append((url, body))
+        return {"message": {"content": 'Sure: {"raw_tags": ["x"]} ok'}, "choices": [{"message": {"content": [{"text": '{"raw_tags": ["y"]}'}]}}]}
+
+    row = {"media_type": "video", "frame_paths": ["a", "b", "c"]}
+    beside = providers.Chat(post, "u", "m", "what is it", images=lambda p: p.encode(), most=2)
+    assert beside.understand(row) == {"raw_tags": ["x"]} and asked[-1][1]["messages"][0]["images"] == ["YQ==", "Yg=="]
+    inside = providers.Chat(post, "u", "m", "what is it", parts=True, images=lambda p: p.encode())
+    assert inside.understand({"media_type": "image", "file_path": "a"}) == {"raw_tags": ["y"]} and asked[-1][1]["messages"][0]["content"][1]["type"] == "image_url"
+    chain = [Failing(), providers.Pixels(), providers.Placeholder()]
+    by, vector = providers.first_of({"gray": [0, 255, 51], "phash": "8" + "0" * 15}, chain, "embed")
+    assert (by.name, vector) == ("pixel", [0.0, 1.0, 0.2])
+    assert providers.first_of({"phash": "8" + "0" * 15}, chain, "embed")[0].name == "placeholder"
+    by, answer = providers.first_of({"media_type": "video", "file_path": "/x/y.mp4"}, chain, "understand")
+    df = spark.createDataFrame([("video", "/x/y.mp4")], "m string, p string").select(labels.placeholder_understanding(F.col("m"), F.col("p")).alias("u")).first()["u"]
+    assert answer["raw_tags"] == df["raw_tags"] and answer["summary"] == df["summary"] and answer["confidence"] == df["confidence"]
+
+
 class Failing:
     name, model = "broken", "broken"
 
