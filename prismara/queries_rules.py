@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .functions import hashing, labels, media, vectors
 from .operators.lineage import checkpoint_dir
 from .operators.relational import values
-from .plans import clusters, content, files, ingest, library, person, series
-from .queries import _AT, _features, query
+from .plans import clusters, content, features, files, ingest, library, person, series
+from .queries import _AT, FLOOKS, UFRAMES, _features, query
 from .sources import catalog, providers
 
 
@@ -124,15 +124,15 @@ def neighbour_distances(t):
     return met.select("a_id", "b_id", F.round(vectors.mean_abs(F.col("a_v"), F.col("b_v")), 9).alias("mean"))
 
 
-_NEAR_PAIRS = """fr AS (SELECT vf.file_id, vf.id, e.vector AS v FROM m_video_frames vf JOIN m_embeddings e ON e.frame_id = vf.id AND e.embedding_type = 'video_frame_visual' AND e.id >= 1000000000),
+_NEAR_PAIRS = f"""{UFRAMES}, {FLOOKS}, fr AS (SELECT file_id, frame_id AS id, v FROM fl),
 pr AS (SELECT DISTINCT a.file_id AS a_id, b.file_id AS b_id FROM fr a JOIN fr b ON b.file_id = a.file_id + 90),
-hit AS (SELECT a.file_id AS a_id, b.file_id AS b_id, a.id FROM fr a JOIN fr b ON b.file_id = a.file_id + 90 WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / 64 <= {})"""
+hit AS (SELECT a.file_id AS a_id, b.file_id AS b_id, a.id FROM fr a JOIN fr b ON b.file_id = a.file_id + 90 WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / 64 <= {{}})"""
 
 
 def _frame_pairs(t):
-    frames = t["video_frames"].select(F.col("id").alias("frame_id"), F.col("file_id").alias("video"))
-    rows = t["embeddings"].where("embedding_type = 'video_frame_visual' AND id >= 1000000000").join(frames, "frame_id")
-    of = rows.groupBy("video").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_id", "vector"))), lambda x: x["vector"]).alias("v"))
+    """The frames' latest vectors of every video beside those of the video ninety ids on."""
+    rows = features.frame_vectors(t, ("video_frame_visual",)).groupBy(F.col("file_id").alias("video"))
+    of = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_id", "v"))), lambda x: x["v"]).alias("v"))
     return of.select(F.col("video").alias("a_id"), F.col("v").alias("a_v"), (F.col("video") + 90).alias("b_id")).join(of.select(F.col("video").alias("b_id"), F.col("v").alias("b_v")), "b_id")
 
 
