@@ -109,7 +109,7 @@ def test_person_scores(spark):
 
 
 def test_pages_follow_one_another(spark):
-    rows = [(i, 1, f"/v/{i}", "/v", f"n{i}", ".jpg", "image", i * 10 % 70, T0, None, None, "active", T0 + timedelta(minutes=i % 4)) for i in range(10)]
+    rows = [(i, 1, f"/v/{i}", "/v", f"n{i}", ".jpg", "image", None if i == 3 else i * 10 % 70, T0, None, None, "active", None if i == 4 else T0 + timedelta(minutes=i % 4)) for i in range(10)]
     t = tables(spark, files=rows)
     for sort in files.SORTS:
         seen, cursor = [], ""
