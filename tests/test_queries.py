@@ -1,8 +1,12 @@
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
-from prismara import queries
+from prismara import queries, queries_rules  # noqa: F401  the second adds its own to those of the first
 from prismara.schema import TABLES
 
+from .conftest import ROOT
+
 T0 = datetime(2024, 1, 1, 12)
 
 
@@ -40,3 +44,13 @@ def test_person_clusters_count_near_vectors(spark):
     mean = lambda a, b: sum(abs(x - y) for x, y in zip(a["vector"], b["vector"], strict=True)) / 2
     want = {(a["id"], b["id"]): 1.0 if a is b else round(min(0.86 + 0.18 * (mean(a, b) <= 0.08), 0.99), 2) for a in vectors for b in vectors}
     assert score == want
+
+
+def test_the_entry_loads_whatever_the_document_operators_lack():
+    code = "import sys; sys.modules[{!r}] = None; import __spark_entry__ as e; assert 'list_files_default' in e.queries() and 'list_files_default' in e.oracle_sql() and 'pipeline' not in e.queries()"
+    for missing in ("xxhash", "prismara.llm", "corpus_pipeline"):
+        subprocess.run([sys.executable, "-c", code.format(missing)], check=True, cwd=ROOT)
+
+
+def test_every_query_has_its_sql():
+    assert set(queries.QUERIES) == set(queries.ORACLES)
