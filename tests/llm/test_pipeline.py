@@ -67,3 +67,11 @@ def test_empty_documents(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, "")
     assert df.collect() == []
+
+
+def test_all_eleven_are_registered():
+    import __spark_entry__
+    from prismara.llm import queries
+
+    names = set(__spark_entry__.queries())
+    assert set(queries.QUERIES) | {"pipeline"} <= names and [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10
