@@ -143,35 +143,52 @@ class Model:
         return [UNKNOWN if x else self.names[b] for b, x in zip(best.tolist(), none.tolist(), strict=True)], np.where(none, 0.0, score), none | (least > bound)
 
 
+def _observed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row for each distinct n-gram of ORDER characters: its hash, those of its ends of falling length, and those of
+    the contexts of all these; how often it occurs), a run of texts at a time."""
+    rows, counts = np.zeros((0, 2 * ORDER - 1), np.uint64), np.zeros(0)
+    for _, run in chunks(pa.array(texts, pa.binary())):
+        code, at, _ = _codes(run)
+        hashes = _grams(code)
+        _, one, count = np.unique(hashes[-1][at], return_index=True, return_counts=True)
+        place = at[one]
+        seen = np.stack([*(h[place] for h in reversed(hashes)), *(h[place - 1] for h in reversed(hashes[:-1]))], axis=1)
+        rows, counts = np.concatenate((rows, seen)), np.concatenate((counts, count))
+        _, one, same = np.unique(rows[:, 0], return_index=True, return_inverse=True)
+        rows, counts = rows[one], np.bincount(same, counts)
+    return rows, counts
+
+
 def estimate(texts: list[bytes]) -> Language:
     """One language's model of all n-grams of the texts.
 
     The highest order is counted as it occurs, a lower one by the distinct characters that precede it. From
     every count the absolute discount of its order, n1 / (n1 + 2 n2), is taken and given to the order below.
     """
-    code, at, _ = _codes(texts)
-    hashes = _grams(code)
-    counts, place = [], at
+    rows, count = _observed(texts)
+    counts = []
     for order in range(ORDER, 0, -1):
-        key, one, count = np.unique(hashes[order - 1][place], return_index=True, return_counts=True)
-        place = place[one]
-        counts.insert(0, (key, place, count))
+        i = ORDER - order
+        if i:
+            _, one, count = np.unique(rows[:, i], return_index=True, return_counts=True)
+            rows = rows[one]
+        counts.insert(0, (rows[:, i], rows[:, i + 1] if order > 1 else None, rows[:, ORDER + i] if order > 1 else np.zeros(len(rows), np.uint64), count))
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     backs: list[tuple[np.ndarray, np.ndarray]] = []
     below, unseen = 1 / ALPHABET, -np.log(ALPHABET)
     lower, lower_p = np.zeros(0, np.uint64), np.zeros(0)
-    for order, (key, place, count) in enumerate(counts, 1):
+    for order, (key, end, before, count) in enumerate(counts, 1):
         if not len(key):
             grams.append((key, np.zeros(0, np.float32)))
             backs.append((key, np.zeros(0, np.float32)))
             continue
         once, twice = (count == 1).sum(), (count == 2).sum()
         discount = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
-        context, of = np.unique(hashes[order - 2][place - 1] if order > 1 else np.zeros(len(place), np.uint64), return_inverse=True)
+        context, of = np.unique(before, return_inverse=True)
         total = np.bincount(of, count)
         back = discount * np.bincount(of) / total
         if order > 1:
-            below = lower_p[np.searchsorted(lower, hashes[order - 2][place])]
+            below = lower_p[np.searchsorted(lower, end)]
         else:
             unseen = float(np.log(back[0] / ALPHABET))
         p = (count - discount) / total[of] + back[of] * below
