@@ -17,6 +17,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from ._shared import chunks, kept, ragged, unused
 
 
+#: Bytes of text whose pre-tokens share a queue: each rank costs a step for a run, however long the run is.
+RUN_BYTES = 1 << 22
+
+
 class RankQueue:
     """Positions by merge rank. Each rank has a bucket; two levels of bitmap say which buckets hold any.
 
@@ -204,7 +208,7 @@ def load(path: str, pattern: str) -> Codec:
 
 
 def _encoded(codec: Codec, batch: pa.RecordBatch, name: str | int) -> Iterator[np.ndarray]:
-    for _, run in chunks(batch.column(name)):
+    for _, run in chunks(batch.column(name), RUN_BYTES):
         yield from codec.encode([x.decode("utf-8", "replace") for x in run])
 
 

@@ -127,6 +127,8 @@ class Automaton:
         return node, count
 
 
+#: Bytes of text whose equal words are counted once.
+RUN_BYTES = 1 << 21
 #: Words that are still going on when the rest is walked one by one, and steps that are remembered meanwhile.
 FEW, KNOWN = 16, 1 << 17
 
@@ -158,7 +160,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
         automaton = load(path)
         for batch in batches:
             words, tokens = [], []
-            for _, texts in chunks(batch.column(len(names))):
+            for _, texts in chunks(batch.column(len(names)), RUN_BYTES):
                 known: dict[bytes, int] = {}
                 number = known.setdefault
                 codes = [[number(w, len(known)) for w in x.translate(_TO_SPACE).split()] for x in texts]
