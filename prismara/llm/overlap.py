@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._shared import _BASE, Words, chunks, cut, done, mix, shared_table
+from ._shared import _BASE, Words, chunks, cut, done, mix, ragged, shared_table
 from .components import connected_components
 
 #: How many frequent shingles are put last, from one document in how many they are counted, and how often they occur there at least.
 FREQUENT, ONE_IN, OFTEN = 200_000, 16, 3
+#: Sets of a key that are held against one another, or against as many others, in one task.
+BLOCK = 1 << 10
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -171,13 +173,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return met.where(both * sum(similarity) >= (F.size("x") + F.size("y")) * similarity[0]).select("a", "b")
 
 
+def _forest(table: pa.Table, similarity: tuple[int, int]) -> tuple[list[int], list[int]]:
+    """Links that connect all rows (fp, root, i, hashes) of a cell whose sets are as similar, but for those that a common
+    root connects already; of a cell of two blocks i only what is between them."""
+    fp, root, part = (table.column(c).to_numpy() for c in ("fp", "root", "i"))
+    lists = table.column("hashes").combine_chunks()
+    at, size = lists.offsets.to_numpy(), np.diff(lists.offsets.to_numpy())
+    _, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(fp)), size)[np.argsort(number, kind="stable")]  # who has each hash, by hash
+    times = np.bincount(number)
+    begin = np.cumsum(times) - times
+    at = at - at[0]
+    group, a, b = np.unique(root, return_inverse=True)[1], [], []
+    across = len(np.unique(part)) > 1
+    for x in range(len(fp)):
+        own = number[at[x] : at[x + 1]]
+        both = np.bincount(owner[ragged(begin[own], times[own])], minlength=len(fp))
+        near = (both * sum(similarity) >= (size[x] + size) * similarity[0]) & (group != group[x])
+        if across:
+            near &= part != part[x]
+        found = np.flatnonzero(near)
+        for y in found[np.unique(group[found], return_index=True)[1]].tolist():
+            a.append(int(fp[x]))
+            b.append(int(fp[y]))
+            group[group == group[y]] = group[x]
+    return a, b
+
+
+def _links_within(rows: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that connect all as similar sets which share a key of rows(key, fp, root) and no root.
+
+    No pair is a row: a key's sets are held against one another in a task, BLOCK and BLOCK of them at a time, which
+    gives links of a spanning forest. So a large group of sets that are nearly but not as similar costs time and no
+    rows; a larger one is more tasks.
+    """
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.select("key", "fp", "root").join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "fp", "root").join(sets, "fp")
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array(x, pa.int64()) for x in _forest(table, similarity)], names=["a", "b"])
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: tuple[int, int]) -> DataFrame:
     """Links (a, b) between sets that are as similar, which connect all such pairs among the rows (key, fp, n), settled;
     first: pairs (a, b) to begin with, those of SimHash; sets gives (fp, hashes) for a column fp.
 
     After these, each key's sets meet one of them, which a hash picks anew for each key: so a large group of near
-    copies is connected by about as many pairs as it has rows. Then all pairs that have a key in common, whose sizes
-    allow the similarity and that aren't connected yet, are verified.
+    copies is connected by about as many pairs as it has rows. Then the sets that share a key and aren't connected yet
+    are held against one another within tasks (see _links_within).
     """
     # Tables and not checkpoints, which hand on estimates of size that are multiplied in every join.
     firsts = shared_table(shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys")), "firsts")
@@ -209,10 +256,7 @@ def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataF
     stars = table(stars.distinct().join(tried, ["a", "b"], "left_anti"), "stars")
     sure = sure.union(near(stars))
     left = open_keys(sure)
-    other = left.select("key", F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    rest = left.join(other, "key").where((F.col("fp") < F.col("b")) & (F.col("root") != F.col("br")) & fits("n", "bn"))
-    rest = rest.select(F.col("fp").alias("a"), "b").distinct().join(tried.union(stars), ["a", "b"], "left_anti")
-    out = cut(sure.union(near(rest)))
+    out = cut(sure.union(_links_within(left, cut(sets(left.select("fp").distinct())), similarity)))
     done(*made)
     return out
 

@@ -42,8 +42,9 @@ def test_one_of_each_is_brute_force_at_a_similarity_of_0_8(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == kept_of(rows)
 
 
-def test_pairs_do_not_depend_on_frequent_shingles(spark, monkeypatch):
+def test_pairs_do_not_depend_on_frequent_shingles_or_blocks(spark, monkeypatch):
     monkeypatch.setattr(overlap, "ONE_IN", 1)
+    monkeypatch.setattr(overlap, "BLOCK", 3)
     rows = [(i, t) for i, t in enumerate(texts())]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in overlap.deduplicate(df).collect()) == kept_of(rows)
