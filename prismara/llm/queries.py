@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, quality, simhash, substring, tokencount, topk, urls
+from . import bpe, langid, media, mixing, quality, simhash, substring, tokencount, topk, urls, wordtable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op11_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordtable.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _OP3 = r"""
 WITH u AS (
   SELECT page_id, url, 1704067200 + (page_id * 7919) % 525600 * 60 AS at_s,
@@ -150,7 +154,8 @@ FROM d LEFT JOIN k ON k.nr = d.nr
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_language_id, op3_url_filter, op4_substring_dedup, op5_byte_bpe,
-    op6_top_k, op7_media_columns, op8_source_mixing, op9_quality, op10_token_counts, page_media_sequences,
+    op6_top_k, op7_media_columns, op8_source_mixing, op9_quality, op10_token_counts, op11_word_table_bpe,
+    page_media_sequences,
 )}
 
 #: DuckDB SQL where SQL can express the query.
