@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, quality, simhash, substring, tokencount, topk, urls, vectorcodes, wordtable
+from . import bpe, langid, leaderboard, media, mixing, quality, simhash, substring, tokencount, topk, urls, vectorcodes, wordtable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,10 @@ def op11_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordtable.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_leaderboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.change_feed(*(table(spark, sf_dir, name) for name in ("sale_lines", "items", "vendors")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
@@ -158,7 +162,7 @@ FROM d LEFT JOIN k ON k.nr = d.nr
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_language_id, op3_url_filter, op4_substring_dedup, op5_byte_bpe,
-    op6_top_k, op7_media_columns, op8_source_mixing, op9_quality, op10_token_counts, op11_word_table_bpe, op13_vector_codes,
+    op6_top_k, op7_media_columns, op8_source_mixing, op9_quality, op10_token_counts, op11_word_table_bpe, op12_leaderboard_feed, op13_vector_codes,
     page_media_sequences,
 )}
 
@@ -168,5 +172,6 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": _OP4,
     "op6_top_k": topk.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op12_leaderboard_feed": leaderboard.ORACLE,
     "op13_vector_codes": vectorcodes.ORACLE,
 }
