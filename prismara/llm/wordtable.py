@@ -38,9 +38,16 @@ NEWER_LETTERS = (
 )
 NEWER_NUMBERS = "\\x{10d40}-\\x{10d49}\\x{116d0}-\\x{116e3}\\x{11bf0}-\\x{11bf9}\\x{11f50}-\\x{11f59}\\x{16130}-\\x{16139}\\x{16ac0}-\\x{16ac9}\\x{16d70}-\\x{16d79}\\x{1ccf0}-\\x{1ccf9}\\x{1d2c0}-\\x{1d2d3}\\x{1e4f0}-\\x{1e4f9}\\x{1e5f1}-\\x{1e5fa}"
 
-_L, _N = rf"\p{{L}}{NEWER_LETTERS}", rf"\p{{N}}{NEWER_NUMBERS}"
-#: How byte-level BPE parts a text, as a Java expression: fixed, but for the newer letters and numbers.
-WORD = rf"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
+
+
+def _word(letter: str, number: str) -> str:
+    """How byte-level BPE parts a text, as a Java expression."""
+    return rf"(?U) ?[{letter}]++|'(?:[sdmt]|re|ve|ll)| ?[{number}]++| ?[^\s{letter}{number}]++|\s+(?!\S)|\s+"
+
+
+WORD, WORD_OF_ANY_AGE = _word(r"\p{L}", r"\p{N}"), _word(rf"\p{{L}}{NEWER_LETTERS}", rf"\p{{N}}{NEWER_NUMBERS}")
+#: What the JVM doesn't know as a character; only texts with such are parted by the longer, and far slower, expression.
+UNKNOWN = r"\p{Cn}"
 
 
 def alphabet() -> dict[str, int]:
@@ -120,7 +127,7 @@ def load(path: str) -> Vocabulary:
 def words(text: Column, added: list[str]) -> Column:
     """The words of a text (null: none), in order: added tokens, and the parts of what lies between them."""
     text = F.coalesce(text, F.lit(""))
-    parts = lambda x: F.regexp_extract_all(x, F.lit(WORD), 0)
+    parts = lambda x: F.when(x.rlike(UNKNOWN), F.regexp_extract_all(x, F.lit(WORD_OF_ANY_AGE), 0)).otherwise(F.regexp_extract_all(x, F.lit(WORD), 0))
     if not added:
         return parts(text)
     one = "|".join(rf"\Q{x}\E" for x in sorted(added, key=len, reverse=True))
