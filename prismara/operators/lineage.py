@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; it goes when the session ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/prismara-{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once, by a checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

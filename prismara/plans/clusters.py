@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import latest_per
 from ..sources.catalog import Tables
 from .files import provider_of
 
-ROLES = ("cover", "best_quality", "series_focus", "member", "duplicate_candidate")
+#: Roles in the order a cluster shows them; all others follow alike.
+ROLES = ("cover", "best_quality")
 
 
-def role_order(role):
+def role_order(role: Column) -> Column:
     out = F.lit(len(ROLES))
     for i, name in enumerate(ROLES):
         out = F.when(role == name, i).otherwise(out)
     return out
 
 
+def newest() -> list[Column]:
+    """The order of clusters wherever they are listed."""
+    return [F.desc_nulls_first("created_at"), F.desc("id")]
+
+
 def visual_evidence(t: Tables) -> DataFrame:
     """(file_id, person, generic): which kinds of vectors a file, or its frames, has."""
     frames = t["video_frames"].select(F.col("id").alias("frame_id"), F.col("file_id").alias("of"))
@@ -45,7 +51,7 @@ def list_clusters(t: Tables, cluster_type: str = "", status: str = "", limit: in
     df = df.withColumn("top_evidence", F.when(F.col("person_members") > 0, "person_visual").when(F.col("generic_members") > 0, "generic_visual"))
     if limit is None:
         return df
-    return df.orderBy(F.desc("id")).offset(max(0, offset)).limit(limit)
+    return df.orderBy(*newest()).offset(max(0, offset)).limit(limit)
 
 
 def dominant_vectors(t: Tables) -> DataFrame:
@@ -79,18 +85,19 @@ def set_cluster_status(t: Tables, cluster_id: int, status: str) -> DataFrame:
     return t["clusters"].withColumn("status", F.when(F.col("id") == cluster_id, status).otherwise(F.col("status")))
 
 
-def merge_clusters(t: Tables, kind: str, members: DataFrame, confidence: float) -> tuple[DataFrame, DataFrame]:
+def merge_clusters(t: Tables, kind: str, members: DataFrame, confidence: float, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(clusters, cluster_members) after a recompute of a kind from members(title, file_id, score, role).
 
     A cluster is known by its title. Those computed again become candidates with just these members; those of
-    the kind that weren't are ignored and lose theirs. A new cluster's id is a hash of kind and title.
+    the kind that weren't are ignored and lose theirs. A new cluster's id is a hash of kind and title, and it is made
+    at `as_of` (now).
     """
     old = t["clusters"]
     titles = members.groupBy("title").agg(F.min(F.when(F.col("role").isin("cover", "best_quality", "series_focus"), F.col("file_id"))).alias("cover"))
-    known = old.where(F.col("cluster_type") == kind).select("title", "id")
-    fresh = titles.join(known, "title", "left_anti").select("title", F.xxhash64(F.lit(kind), "title").bitwiseAND(F.lit(2**62 - 1)).alias("id"))
+    known = old.where(F.col("cluster_type") == kind).select("title", "id", "created_at")
+    fresh = titles.join(known, "title", "left_anti").select("title", F.xxhash64(F.lit(kind), "title").bitwiseAND(F.lit(2**62 - 1)).alias("id"), (F.current_timestamp() if as_of is None else as_of).alias("created_at"))
     ids = titles.join(known.join(titles, "title", "left_semi").unionByName(fresh), "title")
-    made = ids.select("id", F.lit(kind).alias("cluster_type"), "title", F.lit(confidence).alias("confidence"), F.lit("candidate").alias("status"), F.col("cover").alias("cover_file_id"))
+    made = ids.select("id", F.lit(kind).alias("cluster_type"), "title", F.lit(confidence).alias("confidence"), F.lit("candidate").alias("status"), F.col("cover").alias("cover_file_id"), "created_at")
     rest = old.join(ids.select("id"), "id", "left_anti").withColumn("status", F.when(F.col("cluster_type") == kind, "ignored").otherwise(F.col("status")))
     gone = old.where(F.col("cluster_type") == kind).select(F.col("id").alias("cluster_id"))
     kept = t["cluster_members"].join(gone, "cluster_id", "left_anti")

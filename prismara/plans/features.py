@@ -33,8 +33,13 @@ def _looks(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_id", "kind", "model", "v"))), lambda x: F.struct(x["kind"].alias("kind"), x["model"].alias("model"), x["v"].alias("v"))).alias(name))
 
 
-def file_features(t: Tables) -> DataFrame:
-    """Files with dimensions, hashes, the latest vectors and structured attributes.
+#: What may be asked for beside the files' own columns and dimensions.
+PARTS = ("phash", "quality", "about", "image", "image_models", "person", "frame_phashes", "frame_looks", "frame_models", "person_looks")
+
+
+def file_features(t: Tables, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Files with dimensions and the parts asked for: hashes, quality, structured attributes, the latest vectors. What isn't
+    asked for isn't read.
 
     `vector` is the latest image vector, `image_models` that of each model, `person_vector` the latest with person
     vectors first. Of a video's
@@ -42,19 +47,29 @@ def file_features(t: Tables) -> DataFrame:
     (that of each and model) and `person_looks` (the latest person vector, or else frame vector), each vector
     with its own kind and model.
     """
+    of_frame = ("person_visual", "video_frame_visual")
+
+    def vectors(*kinds: str) -> DataFrame:
+        of = t["embeddings"].where(F.col("file_id").isNotNull() & F.col("embedding_type").isin(*kinds))
+        return of.select("file_id", "id", F.col("embedding_type").alias("kind"), F.col("model_name").alias("model"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def person() -> DataFrame:
+        of = latest_per(vectors("image_visual", "person_visual"), ["file_id"], [F.when(F.col("kind") == "person_visual", 0).otherwise(1), F.desc("id")])
+        return of.select("file_id", F.col("kind").alias("person_kind"), F.col("model").alias("person_model"), F.col("vector").alias("person_vector"))
+
+    sides = {
+        "phash": lambda: t["image_assets"].select("file_id", "phash"),
+        "quality": lambda: current(t, "quality").select("file_id", "quality_score", "quality_tier"),
+        "about": lambda: current(t, "understanding").select("file_id", *(F.get_json_object("structured_attributes", f"$.{k}").alias(k) for k in ("has_face", "subject_count", "capture_type"))),
+        "image": lambda: latest_per(vectors("image_visual"), ["file_id"], [F.desc("id")]).drop("id"),
+        "image_models": lambda: _looks(latest_per(vectors("image_visual"), ["file_id", "model"], [F.desc("id")]).select("file_id", F.col("id").alias("frame_id"), "kind", "model", F.col("vector").alias("v")), "image_models"),
+        "person": person,
+        "frame_phashes": lambda: understanding_frames(t).where("frame_phash <> ''").groupBy("file_id").agg(F.sort_array(F.collect_set("frame_phash")).alias("frame_phashes")),
+        "frame_looks": lambda: _looks(frame_vectors(t, of_frame[1:]), "frame_looks"),
+        "frame_models": lambda: _looks(frame_vectors(t, of_frame[1:], each_model=True), "frame_models"),
+        "person_looks": lambda: _looks(frame_vectors(t, of_frame), "person_looks"),
+    }
     df = quality_source(t).withColumnRenamed("id", "file_id")
-    phash = t["image_assets"].select("file_id", "phash")
-    quality = current(t, "quality").select("file_id", "quality_score", "quality_tier")
-    about = current(t, "understanding").select("file_id", *(F.get_json_object("structured_attributes", f"$.{k}").alias(k) for k in ("has_face", "subject_count", "capture_type")))
-    vectors = t["embeddings"].where("file_id IS NOT NULL").select("file_id", "id", F.col("embedding_type").alias("kind"), F.col("model_name").alias("model"), F.col("vector").cast("array<double>").alias("vector"))
-    images = vectors.where("kind = 'image_visual'")
-    image = latest_per(images, ["file_id"], [F.desc("id")])
-    each = _looks(latest_per(images, ["file_id", "model"], [F.desc("id")]).select("file_id", F.col("id").alias("frame_id"), "kind", "model", F.col("vector").alias("v")), "image_models")
-    person = latest_per(vectors.where("kind IN ('image_visual', 'person_visual')"), ["file_id"], [F.when(F.col("kind") == "person_visual", 0).otherwise(1), F.desc("id")])
-    hashes = understanding_frames(t).where("frame_phash <> ''").groupBy("file_id").agg(F.sort_array(F.collect_set("frame_phash")).alias("frame_phashes"))
-    looks = _looks(frame_vectors(t, ("video_frame_visual",)), "frame_looks")
-    persons = _looks(frame_vectors(t, ("person_visual", "video_frame_visual")), "person_looks")
-    models = _looks(frame_vectors(t, ("video_frame_visual",), each_model=True), "frame_models")
-    for side in (phash, quality, about, image.drop("id"), each, person.select("file_id", F.col("kind").alias("person_kind"), F.col("model").alias("person_model"), F.col("vector").alias("person_vector")), hashes, looks, models, persons):
-        df = df.join(side, "file_id", "left")
+    for part in parts:
+        df = df.join(sides[part](), "file_id", "left")
     return df

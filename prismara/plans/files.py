@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+from collections import ChainMap
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -11,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import search
+from ..operators.lineage import settled
 from ..operators.relational import after, latest_per, top_n_per
 from ..sources.catalog import Tables
+from .searchindex import SearchIndex
 
 #: Sort name -> [(column, falls)]; the id breaks ties.
 SORTS = {
@@ -124,19 +127,23 @@ def _of(t: Tables, ids: DataFrame) -> Tables:
     """The tables that overview() reads, cut to a page's files: `ids` has MOST + 1 rows at most, so it is sent to all."""
     few = F.broadcast(ids.select("id"))
     cut = lambda name, key: t[name].join(few.withColumnRenamed("id", key), key, "left_semi")
-    return {**t, "files": cut("files", "id"), **{name: cut(name, "file_id") for name in ("image_assets", "video_assets", "search_documents", "file_current_analysis", "review_actions", "file_tags")}}
+    own = {name: cut(name, "file_id") for name in ("image_assets", "video_assets", "search_documents", "file_current_analysis", "review_actions", "file_tags")}
+    return ChainMap(own | {"files": cut("files", "id")}, t)
 
 
-def filtered(t: Tables, o: ListOptions, sides: bool = True) -> DataFrame:
+def filtered(t: Tables, o: ListOptions, sides: bool = True, index: SearchIndex | None = None) -> DataFrame:
     """overview() with the filters that are asked for; predicates that aren't asked for don't enter the plan. Without
-    `sides` it is the files alone, which will do if nothing else is asked about (see _needs_sides)."""
+    `sides` it is the files alone, which will do if nothing else is asked about (see _needs_sides). A search reads the
+    index, if one is given, and else every text."""
     df = overview(t) if sides else t["files"]
     for column, value in (("media_type", o.media_type), ("status", o.status), ("volume_id", o.volume_id), ("quality_tier", o.quality_tier), ("review_action", o.review_action)):
         if value:
             df = df.where(F.col(column) == value)
-    if o.query:
+    if o.query and index:
+        df = df.join(index.matching(t, o.query).withColumnRenamed("file_id", "id"), "id", "left_semi")
+    elif o.query:
         text = F.col("document_text")
-        hit = search.matches(search.tokens(text), o.query)
+        hit = search.matches(search.tokens(text), o.query, search.compounds(text))
         for column in (F.col("file_name"), F.col("abs_path"), text):
             hit = hit | search.contains(column, o.query)
         df = df.where(hit)
@@ -171,32 +178,32 @@ def decode_cursor(cursor: str, sort: str) -> list[tuple[Column, object, bool]]:
     return [(F.col(c), datetime.fromisoformat(held[c]) if c == "updated_at" and held[c] else held[c], falls) for c, falls in SORTS[sort]]
 
 
-def _needs_sides(o: ListOptions) -> bool:
+def _needs_sides(o: ListOptions, index: SearchIndex | None = None) -> bool:
     """Whether a filter or the order reads more than the files."""
-    return bool(o.query or o.quality_tier or o.review_action or o.sort == "quality_desc")
+    return bool((o.query and not index) or o.quality_tier or o.review_action or o.sort == "quality_desc")
 
 
-def listed(t: Tables, o: ListOptions) -> DataFrame:
+def listed(t: Tables, o: ListOptions, index: SearchIndex | None = None) -> DataFrame:
     """The rows of a page and, if there are more, one beyond it, in order and with their tags.
 
     The page is cut from the files alone wherever nothing else is asked about; what is shown beside them is then
     joined for its rows only.
     """
-    sides = _needs_sides(o)
-    df = filtered(t, o, sides)
+    sides = _needs_sides(o, index)
+    df = filtered(t, o, sides, index)
     if o.cursor:
         df = df.where(after(decode_cursor(o.cursor, o.sort or "updated_desc")))
     order = _order(o.sort or "updated_desc")
-    page = df.orderBy(*order).offset(max(0, o.offset)).limit(o.size + 1)
+    page = settled(df.orderBy(*order).offset(max(0, o.offset)).limit(o.size + 1))  # once, for all that is joined to its rows
     few = _of(t, page)
     page = page if sides else overview(few)
     return page.join(tag_summary(few).withColumnRenamed("file_id", "id"), "id", "left").orderBy(*order)
 
 
-def list_files(t: Tables, options: ListOptions | None = None) -> Page:
+def list_files(t: Tables, options: ListOptions | None = None, index: SearchIndex | None = None) -> Page:
     """A page of the library. Only the page's rows, MOST + 1 at most, come to the driver."""
     o = options or ListOptions()
-    sort, df = o.sort or "updated_desc", listed(t, o)
+    sort, df = o.sort or "updated_desc", listed(t, o, index)
     rows = df.collect()
     more = len(rows) > o.size
     return Page(df.sparkSession.createDataFrame(rows[: o.size], df.schema), more, encode_cursor(sort, rows[o.size - 1].asDict()) if more else "")
@@ -215,7 +222,7 @@ def file_detail(t: Tables, file_id: int) -> dict[str, DataFrame]:
         "analyses": t["analysis_results"].join(pointers, "id", "left_semi").orderBy("analysis_type"),
         "tags": tags.orderBy(source_order(F.col("source")), "display_name"),
         "reviews": t["review_actions"].where(own).orderBy(F.desc("created_at"), F.desc("id")).limit(10),
-        "clusters": clusters.orderBy("cluster_type", "cluster_id"),
+        "clusters": clusters.orderBy(F.desc_nulls_first("created_at"), F.desc("cluster_id")),
         "embeddings": embedding_inventory(t, file_id),
         "frames": frames.orderBy(*frame_order()).limit(6),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -54,11 +55,11 @@ def delete_tag(t: Tables, file_id: int, tag_id: int) -> DataFrame:
 
 
 def replace_tag(t: Tables, file_id: int, old: int, new: int) -> DataFrame:
-    return add_tag(t | {"file_tags": delete_tag(t, file_id, old)}, file_id, new)
+    return add_tag(ChainMap({"file_tags": delete_tag(t, file_id, old)}, t), file_id, new)
 
 
 def list_volumes(t: Tables) -> DataFrame:
-    return t["volumes"].orderBy("id")
+    return t["volumes"].orderBy("display_name", "id")
 
 
 def create_volume(t: Tables, volume_id: int, name: str, path: str) -> DataFrame:
@@ -101,11 +102,12 @@ def task_summary(t: Tables) -> DataFrame:
 
 def list_jobs(t: Tables, status: str = "", limit: int = 20) -> DataFrame:
     rows = t["jobs"].where(F.col("status") == status) if status else t["jobs"]
-    return rows.orderBy(F.desc("id")).limit(limit)
+    return rows.orderBy(F.desc_nulls_first("updated_at"), F.desc("id")).limit(limit)
 
 
-def list_job_events(t: Tables, job_id: int) -> DataFrame:
-    return t["job_events"].where(F.col("job_id") == job_id).orderBy("created_at", "id")
+def list_job_events(t: Tables, job_id: int, limit: int = 20) -> DataFrame:
+    """A job's last events, the newest first."""
+    return t["job_events"].where(F.col("job_id") == job_id).orderBy(F.desc_nulls_first("created_at"), F.desc("id")).limit(limit if limit > 0 else 20)
 
 
 def leasable(t: Tables, as_of: Column) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import labels, search, vectors
-from .operators.lineage import settled
+from .operators.lineage import settled, shared_folder
 from .operators.nearest import within
 from .operators.relational import after, latest_per, top_n_per
-from .plans import clusters, content, features, files, ingest, library, person, series
+from .plans import clusters, content, features, files, ingest, library, person, searchindex, series
 from .sources.catalog import Tables
 from .synthetic import library as made
 from .synthetic import oracle
@@ -91,27 +91,78 @@ def files_overview(t):
     return _overview(t)
 
 
-@query(_overview_sql("file_name ILIKE '%set1%' OR abs_path ILIKE '%set1%' OR document_text ILIKE '%set1%'"))
+_INDEXES: dict[tuple, searchindex.SearchIndex] = {}
+
+
+def _index(t: Tables, part: str) -> searchindex.SearchIndex:
+    """The postings or the trigrams of a library, built once a session."""
+    spark = t["files"].sparkSession
+    key = spark.sparkContext.applicationId, getattr(t, "sf_dir", id(t)), part
+    if key not in _INDEXES:
+        _INDEXES[key] = searchindex.build(t, shared_folder(spark, "search"), postings=part == "postings", trigrams=part == "trigrams")
+    return _INDEXES[key]
+
+
+def _like(part: str) -> str:
+    return " OR ".join(f"{c} ILIKE '%{part}%'" for c in searchindex.FIELDS)
+
+
+def _containing(t: Tables, part: str) -> DataFrame:
+    return _overview(t).join(_index(t, "trigrams").containing(t, part).withColumnRenamed("file_id", "id"), "id", "left_semi")
+
+
+@query(_overview_sql(_like("set1")))
 def search_ilike(t):
-    return _overview(t, query="set1")
+    return _containing(t, "set1")
+
+
+@query(_overview_sql(_like("s_t%1__.m")))
+def search_wildcards(t):
+    """A part with wild cards, whose plain runs are all short: every file is looked at."""
+    return _containing(t, "s_t%1__.m")
+
+
+@query(_overview_sql(_like("the %_ns")))
+def search_long_wildcards(t):
+    """A part with wild cards, of which one plain run narrows the search."""
+    return _containing(t, "the %_ns")
 
 
 _TOKENS = r"regexp_extract_all(lower(document_text), '[\p{L}\p{N}]+')"
+_NAMES = rf"regexp_extract_all(lower(document_text), '{search.COMPOUND}')"
+_LEAST = "(SELECT min(n) FROM (SELECT unnest(" + _NAMES + ") AS n FROM m_search_documents))"
+
+
+def _found(t: Tables, words: str) -> DataFrame:
+    return _index(t, "postings").search(words).select(F.col("file_id").alias("id"))
+
+
+@query(f"SELECT file_id AS id FROM m_search_documents WHERE list_contains({_NAMES}, {_LEAST}) AND NOT list_contains({_TOKENS}, 'der')")
+def search_compound(t):
+    """The texts with the first of all names of joined words (hosts, paths, hyphenated words), and without another word."""
+    names = F.regexp_extract_all(F.lower("document_text"), F.lit(search.COMPOUND), 0)
+    least = t["search_documents"].select(F.explode(names).alias("n")).agg(F.min("n")).first()[0]
+    return _found(t, f"{least} -der")
+
+
+@query(f"SELECT file_id AS id FROM m_search_documents WHERE NOT list_contains({_TOKENS}, 'the') OR (list_contains({_TOKENS}, 'and') AND (' ' || array_to_string({_TOKENS}, ' ') || ' ') LIKE '% of the %')")
+def search_only_negation(t):
+    return _found(t, '-the or and "of the"')
 
 
 @query(f"WITH {OVERVIEW} SELECT id FROM o WHERE list_contains({_TOKENS}, 'the') AND list_contains({_TOKENS}, 'of')")
 def search_all_terms(t):
-    return files.overview(t).where(search.matches(search.tokens(F.col("document_text")), "the of")).select("id")
+    return _found(t, "the of")
 
 
 @query(f"WITH {OVERVIEW} SELECT id FROM o WHERE (list_contains({_TOKENS}, 'la') AND NOT list_contains({_TOKENS}, 'les')) OR list_contains({_TOKENS}, 'der')")
 def search_negation(t):
-    return files.overview(t).where(search.matches(search.tokens(F.col("document_text")), "la -les or der")).select("id")
+    return _found(t, "la -les or der")
 
 
 @query(f"WITH {OVERVIEW} SELECT id FROM o WHERE (' ' || array_to_string({_TOKENS}, ' ') || ' ') LIKE '% of the %'")
 def search_phrase(t):
-    return files.overview(t).where(search.matches(search.tokens(F.col("document_text")), '"of the"')).select("id")
+    return _found(t, '"of the"')
 
 
 @query(f"WITH {LATEST_REVIEW} SELECT * FROM rv")
@@ -181,7 +232,7 @@ def job_status_summary(t):
     return library.task_summary(t)
 
 
-@query("""WITH ev AS (SELECT file_id, max(embedding_type = 'person_visual') AS person, max(embedding_type IN ('image_visual', 'video_frame_visual')) AS generic FROM m_embeddings GROUP BY file_id),
+@query("""WITH ev AS (SELECT coalesce(e.file_id, vf.file_id) AS file_id, max(embedding_type = 'person_visual') AS person, max(embedding_type IN ('image_visual', 'video_frame_visual')) AS generic FROM m_embeddings e LEFT JOIN m_video_frames vf ON vf.id = e.frame_id GROUP BY 1),
 m AS (SELECT cm.cluster_id AS id, count(*) AS members, count(*) FILTER (WHERE score >= 0.80) AS strong_members, max(score) AS top_score, count(DISTINCT cm.file_id) FILTER (WHERE person) AS person_members, count(DISTINCT cm.file_id) FILTER (WHERE generic) AS generic_members FROM m_cluster_members cm LEFT JOIN ev ON ev.file_id = cm.file_id GROUP BY cm.cluster_id)
 SELECT c.id, c.cluster_type, c.status, coalesce(members, 0) AS members, coalesce(strong_members, 0) AS strong_members, round(top_score, 4) AS top_score, coalesce(person_members, 0) AS person_members, coalesce(generic_members, 0) AS generic_members,
 CASE WHEN person_members > 0 THEN 'person_visual' WHEN generic_members > 0 THEN 'generic_visual' END AS top_evidence FROM m_clusters c LEFT JOIN m ON m.id = c.id""")
@@ -190,7 +241,7 @@ def cluster_list(t):
     return df.select("id", "cluster_type", "status", "members", "strong_members", F.round("top_score", 4).alias("top_score"), "person_members", "generic_members", "top_evidence")
 
 
-@query("""WITH d AS (SELECT file_id, embedding_type, model_name, count(*) AS vectors FROM m_embeddings WHERE embedding_type IN ('person_visual', 'image_visual', 'video_frame_visual') GROUP BY ALL),
+@query("""WITH d AS (SELECT coalesce(e.file_id, vf.file_id) AS file_id, embedding_type, model_name, count(*) AS vectors FROM m_embeddings e LEFT JOIN m_video_frames vf ON vf.id = e.frame_id WHERE embedding_type IN ('person_visual', 'image_visual', 'video_frame_visual') GROUP BY ALL),
 e AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE embedding_type WHEN 'person_visual' THEN 0 ELSE 1 END, vectors DESC, model_name DESC, embedding_type) AS n FROM d)
 SELECT cm.cluster_id, cm.file_id, cm.role, round(cm.score, 4) AS score, f.file_name, f.status AS file_status, e.embedding_type, e.model_name, e.vectors,
 CASE WHEN e.model_name LIKE 'semantic-%' THEN 'semantic' WHEN e.model_name LIKE 'ffmpeg-%' THEN 'pixel' WHEN e.model_name LIKE 'placeholder%' THEN 'placeholder' WHEN e.model_name IS NOT NULL THEN 'unknown' END AS provider
@@ -199,6 +250,12 @@ def cluster_detail_members(t):
     return clusters.cluster_members(t).select("cluster_id", "file_id", "role", F.round("score", 4).alias("score"), "file_name", "file_status", "embedding_type", "model_name", "vectors", "provider")
 
 
+@query("SELECT c.id, c.title, count(cm.file_id) AS members FROM m_clusters c LEFT JOIN m_cluster_members cm ON cm.cluster_id = c.id WHERE c.cluster_type = 'same_series' GROUP BY ALL ORDER BY max(c.created_at) DESC NULLS FIRST, c.id DESC LIMIT 20")
+def cluster_list_newest(t):
+    """The first page of clusters of a kind."""
+    return clusters.list_clusters(t, "same_series").select("id", "title", "members")
+
+
 @query("SELECT c.cluster_type, c.status, count(DISTINCT c.id) AS clusters, count(cm.file_id) AS members FROM m_clusters c LEFT JOIN m_cluster_members cm ON cm.cluster_id = c.id GROUP BY c.cluster_type, c.status")
 def cluster_summary(t):
     return clusters.summarize_clusters(t)
@@ -253,7 +310,7 @@ def search_documents(t):
 g AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS n, row_number() OVER (PARTITION BY sha256 ORDER BY raw DESC, id) AS rank, max(raw) OVER (PARTITION BY sha256) AS top FROM s)
 SELECT 'sha256:' || sha256 AS cluster_key, id AS file_id, CAST(rank AS INT) AS rank, CASE rank WHEN 1 THEN 'best_quality' ELSE 'duplicate_candidate' END AS role, round(least(1, greatest(0, raw / CASE WHEN top > 0 THEN top ELSE 1 END)), 6) AS score FROM g WHERE n > 1""")
 def exact_duplicates_ranked(t):
-    return content.exact_copies(features.file_features(t)).select("cluster_key", "file_id", "rank", "role", F.round("score", 6).alias("score"))
+    return content.exact_copies(features.file_features(t, ("quality",))).select("cluster_key", "file_id", "rank", "role", F.round("score", 6).alias("score"))
 
 
 _ASPECT = "abs(CAST(a.width AS DOUBLE) / a.height - CAST(b.width AS DOUBLE) / b.height) <= 0.20"
@@ -263,7 +320,7 @@ _ORIENT = "sign(a.width - a.height) = sign(b.width - b.height)"
 @query(f"""WITH p AS (SELECT i.*, CAST('0x' || phash AS UBIGINT) AS bits FROM m_image_assets i JOIN m_files f ON f.id = i.file_id)
 SELECT a.file_id AS a_id, b.file_id AS b_id, CAST(bit_count(xor(a.bits, b.bits)) AS INT) AS bits FROM p a JOIN p b ON substr(a.phash, 1, 4) = substr(b.phash, 1, 4) AND a.file_id <> b.file_id WHERE bit_count(xor(a.bits, b.bits)) <= 4 AND {_ORIENT} AND {_ASPECT}""")
 def phash_near_pairs(t):
-    return content.phash_pairs(_features(t))
+    return content.phash_pairs(_features(t, "phash"))
 
 
 #: The frames that stand for a video, and the latest vectors of each: of the kinds asked for, of any model or of each.
@@ -277,23 +334,26 @@ NEARF = f"""nf AS (SELECT a.file_id AS a_id, b.file_id AS b_id, count(DISTINCT a
 fv AS (SELECT nf.* FROM nf JOIN m_video_assets a ON a.file_id = a_id JOIN m_video_assets b ON b.file_id = b_id WHERE {_ALIKE})"""
 
 
-def _features(t: Tables) -> DataFrame:
+SERIES_PARTS = ("about", "phash", "image", "frame_phashes", "frame_looks")
+
+
+def _features(t: Tables, *parts: str) -> DataFrame:
     """Every file's features, computed once for the joins that read them several times."""
-    return settled(features.file_features(t))
+    return settled(features.file_features(t, parts))
 
 
-def _alive(t: Tables) -> DataFrame:
-    return _features(t).where("status <> 'trashed'")
+def _alive(t: Tables, *parts: str) -> DataFrame:
+    return _features(t, *parts).where("status <> 'trashed'")
 
 
 @query(f"WITH {UFRAMES}, {SHARED} SELECT * FROM fp")
 def frame_shared_phash_pairs(t):
-    return content.frame_phash_pairs(_alive(t))
+    return content.frame_phash_pairs(_alive(t, "frame_phashes"))
 
 
 @query(f"WITH {UFRAMES}, {FLOOKS}, {FMODELS}, {NEARF} SELECT * FROM fv")
 def frame_vector_pairs(t):
-    return content.frame_vector_pairs(_alive(t))
+    return content.frame_vector_pairs(_alive(t, "frame_looks", "frame_models"))
 
 
 @query(f"WITH {UFRAMES}, {FLOOKS} SELECT file_id, frame_id, model_name FROM fl")
@@ -330,7 +390,7 @@ ve AS (SELECT a_id, b_id FROM (SELECT *, row_number() OVER (PARTITION BY a_id OR
 
 @query(f"WITH {NEARI} SELECT * FROM ve")
 def embedding_knn24(t):
-    return content.vector_pairs(_alive(t)).select("a_id", "b_id")
+    return content.vector_pairs(_alive(t, "image", "image_models")).select("a_id", "b_id")
 
 
 FAMILY = r"btrim_(regexp_replace(regexp_replace(lower(regexp_replace(f.file_name, '\.[^./]*$', '')), '[_ .]', '-', 'g'), '-\d+$', ''))".replace("btrim_", "trim")
@@ -351,13 +411,13 @@ pr AS (SELECT cd.a_id, cd.b_id FROM cd LEFT JOIN hh ha ON ha.file_id = cd.a_id L
 
 @query(f"WITH {SERIES} SELECT a_id, b_id FROM pr")
 def series_pairs(t):
-    return series.pairs(_features(t))
+    return series.pairs(_features(t, *SERIES_PARTS))
 
 
 @query(f"""WITH {SERIES}, m AS (SELECT a_id AS anchor_id, b_id AS file_id FROM pr UNION SELECT DISTINCT a_id, a_id FROM pr), o AS (SELECT m.*, f.mtime, row_number() OVER (PARTITION BY anchor_id ORDER BY f.mtime, m.file_id) - 1 AS place, count(*) OVER (PARTITION BY anchor_id) AS n, min(f.mtime) OVER (PARTITION BY anchor_id) AS start FROM m JOIN m_files f ON f.id = m.file_id)
 SELECT anchor_id, 'same_series:' || substr(sha1(x.parent_path), 1, 12) || ':' || CASE x.family WHEN '' THEN '' ELSE x.family || ':' END || strftime(start, '%Y%m%dT%H%M') AS cluster_key, file_id, CAST(place AS INT) AS place, CASE WHEN place = n // 2 THEN 'series_focus' ELSE 'member' END AS role, CAST(0.65 AS DOUBLE) AS score FROM o JOIN x ON x.id = o.anchor_id""")
 def series_clusters(t):
-    return series.same_series(_features(t))
+    return series.same_series(_features(t, *SERIES_PARTS))
 
 
 def _series_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,7 +453,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY anchor_id, name, source ORDER B
 
 @query(f"WITH {PERSON} SELECT anchor_id, name, source, file_id, CAST(rank AS INT) AS rank, CASE rank WHEN 1 THEN 'cover' ELSE 'member' END AS role, score FROM rk WHERE n > 1")
 def person_clusters(t):
-    return person.same_person(_features(t), person.person_tags(t))
+    return person.same_person(_features(t, "about", "person", "person_looks"), person.person_tags(t))
 
 
 @query("""WITH u AS (SELECT c.file_id, r.structured_attributes AS s FROM m_file_current_analysis c JOIN m_analysis_results r ON r.id = c.analysis_result_id WHERE c.analysis_type = 'understanding')
@@ -402,7 +462,7 @@ UNION SELECT file_id, '__auto:subject_count:single', 'auto' FROM u JOIN m_files
 UNION SELECT file_id, '__auto:has_face:true', 'auto' FROM u JOIN m_files f ON f.id = file_id WHERE lower(json_extract_string(s, '$.has_face')) IN ('true', '1', 'yes')
 UNION SELECT file_id, '__auto:capture_type:selfie', 'auto' FROM u JOIN m_files f ON f.id = file_id WHERE lower(json_extract_string(s, '$.capture_type')) = 'selfie'""")
 def auto_person_signals(t):
-    return person.auto_signals(t, features.file_features(t))
+    return person.auto_signals(t, features.file_features(t, ("about",)))
 
 
 _RAW = """coalesce(q.quality_score, 0) * 100 + CAST(coalesce(i.width, v.width) AS DOUBLE) * coalesce(i.height, v.height) + coalesce(v.duration_ms, 0) / 1000 + f.size_bytes / 1e6::DOUBLE + coalesce(v.bitrate, 0) / 1e5::DOUBLE + coalesce(v.fps, 0) * 10 + CASE v.container WHEN 'mkv' THEN 6 WHEN 'mp4' THEN 4 WHEN 'mov' THEN 3 ELSE 0 END"""
@@ -422,7 +482,7 @@ m AS (SELECT 'sha256' AS tier, 'sha256:' || sha256 AS cluster_key, id AS file_id
 g AS (SELECT m.*, raw, row_number() OVER (PARTITION BY cluster_key ORDER BY raw DESC, file_id) AS rank, max(raw) OVER (PARTITION BY cluster_key) AS top FROM m JOIN s ON s.id = m.file_id)
 SELECT tier, cluster_key, file_id, CAST(rank AS INT) AS rank, CASE rank WHEN 1 THEN 'best_quality' ELSE 'duplicate_candidate' END AS role, round(least(1, greatest(0, raw / CASE WHEN top > 0 THEN top ELSE 1 END)), 6) AS score FROM g""")
 def same_content_tiers(t):
-    return content.same_content(_features(t)).withColumn("score", F.round("score", 6))
+    return content.same_content(_features(t, "quality", "phash", "image", "image_models", "frame_phashes", "frame_looks", "frame_models")).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT c.file_id, json_extract_string(r.structured_attributes, '$.capture_type') AS capture_type, json_extract_string(r.structured_attributes, '$.has_face') = 'true' AS has_face FROM m_file_current_analysis c JOIN m_analysis_results r ON r.id = c.analysis_result_id WHERE c.analysis_type = 'understanding'")
@@ -466,10 +526,9 @@ def scan_merge(t):
     return merged.select("abs_path", "status", "size_bytes", "updated_at", "sha256")
 
 
-@query(f"WITH {_SCAN} SELECT coalesce(sn.abs_path, f.abs_path) AS abs_path, CASE WHEN sn.abs_path IS NOT NULL THEN 'discovered' ELSE 'missing' END AS event_type FROM m_files f FULL JOIN sn ON {_BOTH} WHERE sn.abs_path IS NOT NULL OR f.status = 'active'")
+@query(f"WITH {_SCAN} SELECT coalesce(sn.abs_path, f.abs_path) AS abs_path, CASE WHEN sn.abs_path IS NOT NULL THEN 'discovered' ELSE 'missing' END AS event_type, TIMESTAMP '2024-03-01 00:00:00' AS seen_at FROM m_files f FULL JOIN sn ON {_BOTH} WHERE sn.abs_path IS NOT NULL OR f.status = 'active' UNION ALL SELECT abs_path, event_type, seen_at FROM m_file_path_history")
 def scan_history(t):
-    history = ingest.merge_scan({**t, "file_path_history": t["file_path_history"].where("false")}, _scan(t), F.lit(_AT))[1]
-    return history.select("abs_path", "event_type")
+    return ingest.merge_scan(t, _scan(t), F.lit(_AT))[1].select("abs_path", "event_type", "seen_at")
 
 
 @query("""WITH tk AS (SELECT doc_id, unnest(['raw:' || source, 'raw:' || lang, 'summary:' || CAST(n_chars AS STRING)]) AS tok FROM documents), b AS (SELECT doc_id, CAST('0x' || substr(sha1(tok), 1, 2) AS INT) % 64 AS k FROM tk), c AS (SELECT doc_id, k, count(*) AS n FROM b GROUP BY doc_id, k)
@@ -520,7 +579,7 @@ def job_state_fold(t):
     return library.fold_events(t["job_events"].select("job_id", F.col("level").alias("status"), F.col("created_at").alias("at"), "id"))
 
 
-@query("SELECT id, job_type, status FROM m_jobs WHERE status = 'failed' ORDER BY id DESC LIMIT 20")
+@query("SELECT id, job_type, status FROM m_jobs WHERE status = 'failed' ORDER BY updated_at DESC NULLS FIRST, id DESC LIMIT 20")
 def job_list_failed(t):
     return library.list_jobs(t, "failed").select("id", "job_type", "status")
 

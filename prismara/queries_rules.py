@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from . import schema
 from .functions import hashing, labels, media, vectors
 from .operators.lineage import checkpoint_dir
 from .operators.relational import values
@@ -28,9 +30,9 @@ def tables_saved_and_loaded(t):
     return catalog.load(spark, path)["files"].select("id", "abs_path", "size_bytes", "status")
 
 
-@query("SELECT cm.cluster_id, cm.file_id, v.place FROM m_cluster_members cm JOIN (VALUES ('cover', 0), ('best_quality', 1), ('series_focus', 2), ('member', 3), ('duplicate_candidate', 4)) v(role, place) ON v.role = cm.role")
+@query("SELECT cm.cluster_id, cm.file_id, v.place FROM m_cluster_members cm JOIN (VALUES ('cover', 0), ('best_quality', 1), ('series_focus', 2), ('member', 2), ('duplicate_candidate', 2)) v(role, place) ON v.role = cm.role")
 def inline_roles(t):
-    ranks = values(t["files"].sparkSession, "role string, place int", [(x, i) for i, x in enumerate(clusters.ROLES)])
+    ranks = values(t["files"].sparkSession, "role string, place int", [(x, clusters.ROLES.index(x) if x in clusters.ROLES else len(clusters.ROLES)) for x in schema.VALUES["cluster_members", "role"]])
     return t["cluster_members"].join(F.broadcast(ranks), "role").select("cluster_id", "file_id", "place")  # one row for each role
 
 
@@ -146,11 +148,11 @@ def first_frame_near(t):
     return _frame_pairs(t).select("a_id", "b_id", vectors.any_near(F.get("a_v", F.lit(0)), F.col("b_v"), 0.02).alias("near"))
 
 
-@query("SELECT id, CAST(vector[1] AS STRING) = CAST(vector[1] AS STRING) AS same, len(vector) AS size FROM m_embeddings")
+@query("SELECT id, array_to_string(list_transform(vector, lambda x: CAST(CAST(floor(x * 1e9) AS BIGINT) AS VARCHAR)), ',') AS billionths FROM m_embeddings")
 def vectors_as_text(t):
-    """Vectors written as text and read again."""
+    """Every component of vectors that were written as text and read again."""
     again = vectors.parse(F.to_json("vector"))
-    return t["embeddings"].select("id", (F.get(again, F.lit(0)) == F.get("vector", F.lit(0))).alias("same"), F.size(again).cast("long").alias("size"))
+    return t["embeddings"].select("id", F.array_join(F.transform(again, lambda x: F.floor(x * 1e9).cast("string")), ",").alias("billionths"))
 
 
 @query("SELECT id, embedding_type, model_name FROM m_embeddings e WHERE NOT EXISTS (SELECT 1 FROM m_image_assets i WHERE i.file_id = e.file_id AND e.embedding_type = 'image_visual' AND e.model_name = 'placeholder') UNION ALL SELECT 3000000000 + file_id, 'image_visual', 'placeholder' FROM m_image_assets")
@@ -159,12 +161,12 @@ def replaced_vectors(t):
     return ingest.replace_vectors(t, fresh).select("id", "embedding_type", "model_name")
 
 
-@query("SELECT id, CASE WHEN size_bytes % 3 = 0 THEN 'ffmpeg-gray-8x8-v1' WHEN size_bytes % 3 = 1 THEN 'semantic-tokens-v1' WHEN i.phash IS NOT NULL THEN 'placeholder-v1' END AS model FROM m_files LEFT JOIN m_image_assets i ON i.file_id = id")
+@query("SELECT id, CASE WHEN size_bytes % 3 = 0 THEN 'ffmpeg-gray-8x8-v1' WHEN size_bytes % 3 = 1 THEN 'semantic-' || CASE WHEN media_type = 'image' THEN 'local' ELSE 'unknown' END || '-' || CASE WHEN media_type = 'image' THEN 'eye' ELSE 'unknown' END || '-v1' WHEN i.phash IS NOT NULL THEN 'placeholder-v1' END AS model FROM m_files LEFT JOIN m_image_assets i ON i.file_id = id")
 def vector_fallbacks(t):
     """Which link of the chain gives a file its vector: samples, tokens or the hash, as a rule says which there are."""
     df = t["files"].join(t["image_assets"].select(F.col("file_id").alias("id"), "phash"), "id", "left")
     gray, tokens = F.when(F.col("size_bytes") % 3 == 0, F.array(F.lit(1), F.lit(2))), F.when(F.col("size_bytes") % 3 == 1, F.array("file_name"))
-    return df.select("id", providers.fallback_vectors(gray, tokens, F.col("phash"))["model"].alias("model"))
+    return df.select("id", providers.fallback_vectors(gray, tokens, F.col("phash"), F.when(F.col("media_type") == "image", " local "), F.when(F.col("media_type") == "image", "eye"))["model"].alias("model"))
 
 
 @query("""SELECT id AS file_id, CASE media_type WHEN 'video' THEN '视频' ELSE '图片' END || '|待AI精标' AS raw_tags, 'content:' || CASE media_type WHEN 'video' THEN '视频' ELSE '图片' END || '|management:待AI精标' AS candidates,
@@ -247,10 +249,13 @@ def volume_deleted(t):
 
 @query("""WITH m AS (SELECT 'cluster ' || CAST(volume_id * 9 AS STRING) AS title, id AS file_id FROM m_files), ttl AS (SELECT DISTINCT title FROM m),
 o AS (SELECT title, cluster_type, CASE WHEN cluster_type <> 'same_content' THEN status WHEN title IN (SELECT title FROM ttl) THEN 'candidate' ELSE 'ignored' END AS status FROM m_clusters)
-SELECT * FROM o UNION ALL SELECT title, 'same_content', 'candidate' FROM ttl WHERE title NOT IN (SELECT title FROM m_clusters WHERE cluster_type = 'same_content')""")
+SELECT title, cluster_type, status, CAST(NULL AS BIGINT) AS file_id FROM o UNION ALL SELECT title, 'same_content', 'candidate', NULL FROM ttl WHERE title NOT IN (SELECT title FROM m_clusters WHERE cluster_type = 'same_content')
+UNION ALL SELECT c.title, c.cluster_type, NULL, cm.file_id FROM m_cluster_members cm LEFT JOIN m_clusters c ON c.id = cm.cluster_id WHERE c.cluster_type IS DISTINCT FROM 'same_content' UNION ALL SELECT title, 'same_content', NULL, file_id FROM m""")
 def clusters_merged(t):
     members = t["files"].select(F.concat(F.lit("cluster "), (F.col("volume_id") * 9).cast("string")).alias("title"), F.col("id").alias("file_id"), F.lit(1.0).alias("score"), F.lit("member").alias("role"))
-    return clusters.merge_clusters(t, "same_content", members, 1.0)[0].select("title", "cluster_type", "status")
+    made, held = clusters.merge_clusters(t, "same_content", members, 1.0, F.lit(_AT))
+    held = held.join(made.select(F.col("id").alias("cluster_id"), "title", "cluster_type"), "cluster_id", "left")
+    return made.select("title", "cluster_type", "status", F.lit(None).cast("long").alias("file_id")).unionByName(held.select("title", "cluster_type", F.lit(None).cast("string").alias("status"), "file_id"))
 
 
 @query("SELECT w.target_id, j.id IS NULL AS created, j.id AS job FROM (SELECT id AS target_id FROM m_files) w LEFT JOIN (SELECT target_id, min(id) AS id FROM m_jobs WHERE job_type = 'hash_file' AND target_type = 'file' AND status IN ('pending', 'leased', 'running') GROUP BY target_id) j USING (target_id)")
@@ -267,7 +272,7 @@ _MARKED = "SELECT id, CASE id WHEN 7 THEN 'running' WHEN 8 THEN 'succeeded' WHEN
 def jobs_marked(t):
     at = F.lit(_AT)
     for job, status, more in ((7, "running", {"worker": "w1", "stage": "s"}), (8, "succeeded", {}), (9, "failed", {"error": "no"})):
-        t = {**t, "jobs": library.mark(t, job, status, at, **more)}
+        t = ChainMap({"jobs": library.mark(t, job, status, at, **more)}, t)
     return t["jobs"].select("id", "status", "worker_name", "last_error", "progress_percent", "finished_at", "started_at")
 
 
@@ -275,7 +280,7 @@ def jobs_marked(t):
 SELECT * FROM b""")
 def directory_neighbours(t):
     """How many files of its kind and directory lie within half an hour of each."""
-    found = series.candidates(_features(t)).where("a_parent_path = b_parent_path")
+    found = series.candidates(_features(t, "about")).where("a_parent_path = b_parent_path")
     return found.groupBy("a_id").agg(F.count("*").alias("n"))
 
 
@@ -284,7 +289,7 @@ x AS (SELECT f.id, json_extract_string(r.structured_attributes, '$.capture_type'
 SELECT id AS file_id, '__auto:capture_type:selfie' AS name FROM x WHERE id NOT IN (SELECT file_id FROM s)""")
 def signals_without_tags(t):
     """Files whose signal of a selfie counts, as they have no tag of a person."""
-    return person.effective_tags(t, _features(t)).where("name = '__auto:capture_type:selfie'").select("file_id", "name")
+    return person.effective_tags(t, _features(t, "about")).where("name = '__auto:capture_type:selfie'").select("file_id", "name")
 
 
 @query("SELECT id, 'same_content:' || substr(sha256, 1, 12) AS title FROM m_files WHERE sha256 <> ''")
@@ -302,7 +307,7 @@ def job_states_folded(t):
     return library.fold_events(marks)
 
 
-@query("SELECT job_id, id, level FROM m_job_events WHERE job_id = 5")
+@query("SELECT job_id, id, level FROM m_job_events WHERE job_id = 5 ORDER BY created_at DESC NULLS FIRST, id DESC LIMIT 20")
 def job_events_of_one(t):
     return library.list_job_events(t, 5).select("job_id", "id", "level")
 

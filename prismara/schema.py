@@ -18,7 +18,7 @@ TABLES = {
     "analysis_results": "id long, file_id long, analysis_type string, status string, summary string, structured_attributes string, quality_score double, quality_tier string, created_at timestamp",
     "file_current_analysis": "file_id long, analysis_type string, analysis_result_id long",
     "search_documents": "file_id long, document_text string",
-    "clusters": "id long, cluster_type string, title string, confidence double, status string, cover_file_id long",
+    "clusters": "id long, cluster_type string, title string, confidence double, status string, cover_file_id long, created_at timestamp",
     "cluster_members": "cluster_id long, file_id long, score double, role string",
     "file_relationships": "from_file_id long, to_file_id long, relation_type string, score double",
     "review_actions": "id long, file_id long, cluster_id long, action_type string, created_at timestamp",

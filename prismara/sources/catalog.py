@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import TABLES
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 def load(spark: SparkSession, path: str) -> Tables:
     """Every table; one that isn't there is empty."""
-    found: Tables = {}
+    found: dict[str, DataFrame] = {}
     jvm = spark.sparkContext._jvm
     for name, schema in TABLES.items():
         where = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")

@@ -146,7 +146,14 @@ def embed(df: DataFrame, provider: Callable[[], Provider] | list[Callable[[], Pr
     return rows.mapInPandas(run, schema)
 
 
-def fallback_vectors(gray: Column, tokens: Column, phash: Column) -> Column:
-    """(model, vector) by the same chain as Columns: grey samples, else tokens of an understanding, else the perceptual hash."""
-    made = [(PIXEL_MODEL, vectors.pixel_vector(gray)), ("semantic-tokens-v1", vectors.token_vector(tokens)), (PLACEHOLDER_MODEL, F.when(phash.rlike("^[0-9a-fA-F]{16}$"), vectors.phash_vector(phash)))]
-    return F.coalesce(*(F.when(v.isNotNull(), F.struct(F.lit(m).alias("model"), v.alias("vector"))) for m, v in made))
+def semantic_model(provider: Column | None = None, model: Column | None = None) -> Column:
+    """The name under which vectors of an understanding's tokens go: it names who gave the understanding."""
+    said = lambda x: F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit("unknown")) if x is not None else F.lit("unknown")
+    return F.concat(F.lit("semantic-"), said(provider), F.lit("-"), said(model), F.lit("-v1"))
+
+
+def fallback_vectors(gray: Column, tokens: Column, phash: Column, provider: Column | None = None, model: Column | None = None) -> Column:
+    """(model, vector) by the same chain as Columns: grey samples, else tokens of an understanding by a provider's model, else
+    the perceptual hash."""
+    made = [(F.lit(PIXEL_MODEL), vectors.pixel_vector(gray)), (semantic_model(provider, model), vectors.token_vector(tokens)), (F.lit(PLACEHOLDER_MODEL), F.when(phash.rlike("^[0-9a-fA-F]{16}$"), vectors.phash_vector(phash)))]
+    return F.coalesce(*(F.when(v.isNotNull(), F.struct(m.alias("model"), v.alias("vector"))) for m, v in made))

@@ -171,7 +171,7 @@ def test_jobs(spark):
 
 
 def test_tags_reviews_and_clusters(spark):
-    t = tables(spark, file_tags=[(1, 1, "ai", 0.5, None), (1, 2, "human", 1.0, None), (2, 1, "ai", 0.5, None)], cluster_members=[(1, 5, 0.9, "cover"), (1, 6, 0.5, "member")], clusters=[(1, "same_person", "old", 0.5, "confirmed", 5), (2, "same_series", "s", 0.6, "confirmed", 5)])
+    t = tables(spark, file_tags=[(1, 1, "ai", 0.5, None), (1, 2, "human", 1.0, None), (2, 1, "ai", 0.5, None)], cluster_members=[(1, 5, 0.9, "cover"), (1, 6, 0.5, "member")], clusters=[(1, "same_person", "old", 0.5, "confirmed", 5, T0), (2, "same_series", "s", 0.6, "confirmed", 5, T0)])
     fresh = spark.createDataFrame([(1, 3, 0.7, None), (1, 3, 0.6, None)], "file_id long, tag_id long, confidence double, evidence string")
     assert sorted((r["file_id"], r["tag_id"]) for r in library.replace_ai_tags(t, fresh).collect()) == [(1, 2), (1, 3), (2, 1)]
     assert sorted((r["file_id"], r["tag_id"]) for r in library.replace_tag(t, 1, 2, 9).collect()) == [(1, 1), (1, 9), (2, 1)]
@@ -243,7 +243,7 @@ def test_providers_fall_back(spark):
 
 
 def test_rules_of_tables(spark):
-    t = tables(spark, tags=[(1, "a", "x", "", False, False), (2, "a", "x", "", False, False)], clusters=[(1, "odd", "t", 0.1, "candidate", 1)])
+    t = tables(spark, tags=[(1, "a", "x", "", False, False), (2, "a", "x", "", False, False)], clusters=[(1, "odd", "t", 0.1, "candidate", 1, None)])
     assert {r["rule"] for r in violations("tags", t["tags"]).collect()} == {"unique namespace, name"}
     assert violations("clusters", t["clusters"]).count() == 1 and violations("jobs", t["jobs"]).count() == 0
 
