@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, media, vectors
+from ..operators.lineage import settled
+from ..operators.nearest import within
 from ..operators.relational import latest_per
 from ..sources.catalog import Tables
 
@@ -81,6 +83,19 @@ def _looks(p: str) -> tuple[Column, Column]:
     return F.when(F.col(f"{p}_person_vector").isNotNull(), F.array(image)), frames
 
 
+def near_files(files: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """(a_id, b_id, vector_points) of all files whose vectors are near: the best of image to image, frames to frames and image
+    to frames, both vectors of one model and one kind. A range join over cells, so files that are far apart never meet."""
+    image, frames = _looks("x")
+    of = files.select("file_id", *(F.col(c).alias(f"x_{c}") for c in LOOKS))
+    one = of.select("file_id", F.explode(image).alias("k"), F.lit(True).alias("image"))
+    looks = one.unionByName(of.select("file_id", F.explode(frames).alias("k"), F.lit(False).alias("image"))).where("k.model <> ''")
+    side = lambda p: looks.select(F.col("file_id").alias(f"{p}_id"), F.col("image").alias(f"{p}_image"), F.col("k.kind").alias("kind"), F.col("k.model").alias("model"), F.col("k.v").alias(f"{p}_v"))
+    met = within(side("a"), side("b"), ["kind", "model"], max(th.image_distance, th.frame_distance), metric="mean").where("a_id <> b_id")
+    met = met.where(F.col("distance") <= F.when(F.col("a_image") & F.col("b_image"), th.image_distance).otherwise(th.frame_distance))
+    return met.groupBy("a_id", "b_id").agg(F.max(F.when(F.col("kind") == "person_visual", PERSON_VECTOR).otherwise(GENERIC_VECTOR)).alias("vector_points"))
+
+
 def vector_points(th: Thresholds) -> Column:
     """The best of image to image, frames to frames and image to frames; both vectors of one model and one kind."""
     (image_a, frames_a), (image_b, frames_b) = _looks("a"), _looks("b")
@@ -129,31 +144,143 @@ def _conflict() -> Column:
     return out | (c("a_face") & ~c("b_face") & F.coalesce(c("b_subject_count") != "", F.lit(False)))
 
 
-def same_person(files: DataFrame, tags: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """(anchor_id, name, source, file_id, rank, role, score) for each tag of each active file with another member.
+def _stays(th: Thresholds, vectors: Column) -> Column:
+    """Whether side b belongs to side a's cluster, given whether their vectors are near; reads no vector and, but for weak
+    signals with near vectors alone, no time."""
+    c = F.col
+    fit = _compatible(th)
+    long_as = fit & media.ratio_close(c("a_duration_ms"), c("b_duration_ms"), th.duration)
+    family, parent = _known("a_family", "b_family"), _known("a_parent_path", "b_parent_path")
+    close = family | parent | vectors
+    soon = F.coalesce(F.abs(c("a_t") - c("b_t")) <= th.weak_days * 86_400_000_000, F.lit(False))
+    weak = labels.has_sign(c("name"), labels.WEAK_SIGNS)
+    strict = long_as & ~_conflict() & (family | (vectors & soon))
+    return F.when(c("source") == "human", True).when(c("source") != "auto", (c("holders") <= th.narrow_over) | (long_as & close)).otherwise(F.when(weak, strict).otherwise(fit & close))
 
-    People's tags take all files with the tag. Tags by models or rules are narrowed if over `narrow_over` files
-    have them; signals always are, weak ones more. Files meet by equal tag names of the same class, each with the few
-    facts that scores compare; vectors are fetched once for each two files of which both have some.
+
+@dataclass(frozen=True)
+class Factors:
+    """Clusters of persons before any is spelled out: as many rows as files have tags, and pairs of classes.
+
+    members(name, auto, source, file_id, t, holders, cls): each tag of each file, with its facts as the struct `cls`.
+    pairs(name, auto, source, a_cls, b_cls, links): of tags whose holders are narrowed, which classes belong together by
+    facts alone, and by how many pairs of files. Where all holders belong together there are no pairs.
+    near(a_id, b_id, vector_points): files with near vectors.
+    """
+
+    members: DataFrame
+    pairs: DataFrame
+    near: DataFrame
+    th: Thresholds
+
+
+_CLASS = tuple(f for f in FACTS if f != "t")
+
+
+def factorised(files: DataFrame, tags: DataFrame, th: Thresholds = Thresholds()) -> Factors:
+    """The parts of all clusters of persons; pass settled features. All three are settled.
+
+    Files of equal facts are one class, and classes meet where they have a family or a directory in common, which a
+    narrowed cluster's files have unless their vectors are near. So pairs grow with the square of the classes of one
+    family or directory, and not with that of a tag's holders.
     """
     rows = facts(files)
-    side = lambda p: rows.select(F.col("file_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in (*FACTS, "seen")))
-    held = tags.join(rows.select("file_id"), "file_id", "left_semi").withColumn("auto", F.col("source") == "auto")
+    held = tags.join(rows.select("file_id", "t", F.struct(*_CLASS).alias("cls"), "seen"), "file_id").withColumn("auto", F.col("source") == "auto")
     many = held.groupBy("name", "auto").agg(F.count("*").alias("holders"))
-    a = held.select(F.col("file_id").alias("a_id"), "name", "auto", "source").join(many, ["name", "auto"]).join(side("a"), "a_id")
-    b = held.select(F.col("file_id").alias("b_id"), "name", "auto").distinct().join(side("b"), "b_id")
-    met = a.join(b, ["name", "auto"])
-    near = near_pairs(met.where("a_seen AND b_seen AND a_id <> b_id").select("a_id", "b_id"), files, th)
-    df = score_pairs(met.join(near, ["a_id", "b_id"], "left").fillna(0.0, ["vector_points"]))
+    members = settled(held.join(many, ["name", "auto"]))
+    looked = files.join(members.where("seen").select("file_id").distinct(), "file_id", "left_semi")
+    near = settled(near_files(looked, th))
+    narrowed = members.where((F.col("source") != "human") & ((F.col("source") == "auto") | (F.col("holders") > th.narrow_over)))
+    a = narrowed.groupBy("name", "auto", "source", "holders", F.col("cls").alias("a_cls")).agg(F.count("*").alias("a_n"))
+    b = members.groupBy("name", "auto", F.col("cls").alias("b_cls")).agg(F.count("*").alias("b_n"))
+    keyed = lambda df, p: df.withColumn("by", F.explode(F.array(F.struct(F.lit("family").alias("k"), F.col(f"{p}_cls.family").alias("v")), F.struct(F.lit("parent").alias("k"), F.col(f"{p}_cls.parent_path").alias("v"))))).where("by.v <> ''")
+    met = keyed(a, "a").join(keyed(b, "b"), ["name", "auto", "by"])
+    # Classes that have both in common meet by the family.
+    met = met.where((F.col("by.k") == "family") | ~_same("family")).select("*", *(F.col(f"{p}_cls.{f}").alias(f"{p}_{f}") for p in "ab" for f in _CLASS), *(F.lit(None).cast("long").alias(f"{p}_t") for p in "ab"))
+    pairs = met.where(_stays(th, F.lit(False))).select("name", "auto", "source", "a_cls", "b_cls", (F.col("a_n") * F.col("b_n")).alias("links"))
+    return Factors(members.drop("seen"), settled(pairs), near, th)
+
+
+def _same(fact: str) -> Column:
+    return F.coalesce((F.col(f"a_cls.{fact}") != "") & (F.col(f"a_cls.{fact}") == F.col(f"b_cls.{fact}")), F.lit(False))
+
+
+def _pairs_of(f: Factors, anchors: DataFrame) -> DataFrame:
+    """(name, auto, source, holders, a_..., b_..., vector_points) of anchors(file_id, name) and the files of their clusters,
+    themselves included, once each."""
+    c, on = F.col, ["name", "auto"]
+    a = f.members.join(anchors.select("file_id", "name").distinct(), ["file_id", "name"], "left_semi")
+    a = a.select(c("file_id").alias("a_id"), "name", "auto", "source", "holders", c("t").alias("a_t"), c("cls").alias("a_cls"))
+    b = f.members.select(c("file_id").alias("b_id"), *on, c("t").alias("b_t"), c("cls").alias("b_cls"))
+    narrowed = (c("source") != "human") & ((c("source") == "auto") | (c("holders") > f.th.narrow_over))
+    whole = a.where(~narrowed).join(b, on)
+    few = a.where(narrowed)
+    by_facts = few.join(f.pairs.select(*on, "source", "a_cls", "b_cls"), [*on, "source", "a_cls"]).join(b, [*on, "b_cls"])
+    itself = few.select("*", c("a_id").alias("b_id"), c("a_t").alias("b_t"), c("a_cls").alias("b_cls"))
+    by_looks = few.join(f.near.select("a_id", "b_id"), "a_id").join(b, ["b_id", *on])
+    found = whole
+    for part in (by_facts.where("a_id <> b_id"), itself, by_looks):
+        found = found.unionByName(part.select(*whole.columns))
+    found = found.select("*", *(c(f"{p}_cls.{x}").alias(f"{p}_{x}") for p in "ab" for x in _CLASS)).drop("a_cls", "b_cls").distinct()
+    found = found.join(f.near, ["a_id", "b_id"], "left").fillna(0.0, ["vector_points"])
+    return found.where((c("a_id") == c("b_id")) | _stays(f.th, c("vector_points") > 0))
+
+
+def expand(f: Factors, anchors: DataFrame | None = None) -> DataFrame:
+    """(anchor_id, name, source, file_id, rank, role, score) of the anchors(file_id, name) asked for, or of all: each one's
+    cluster, if it has another member. An anchor's cluster is as large as its tag, so all of them are as many rows as the
+    square of that: ask for those that are shown or stored."""
     c = F.col
-    close = c("same_family") | c("same_parent") | (c("vector_points") > 0)
-    narrowed = _compatible(th) & media.ratio_close(c("a_duration_ms"), c("b_duration_ms"), th.duration) & close
-    weak = labels.has_sign(c("name"), labels.WEAK_SIGNS)
-    soon = F.abs(c("a_t") - c("b_t")) <= th.weak_days * 86_400_000_000
-    strict = _compatible(th) & media.ratio_close(c("a_duration_ms"), c("b_duration_ms"), th.duration) & ~_conflict() & (c("same_family") | ((c("vector_points") > 0) & F.coalesce(soon, F.lit(False))))
-    stays = F.when(c("a_id") == c("b_id"), True).when(c("source") == "human", True).when(c("source") != "auto", (c("holders") <= th.narrow_over) | narrowed).otherwise(F.when(weak, strict).otherwise(_compatible(th) & close))
-    df = df.where(stays)
+    df = score_pairs(_pairs_of(f, f.members if anchors is None else anchors))
     group = W.partitionBy("a_id", "name", "source")
     order = group.orderBy((c("a_id") != c("b_id")).cast("int"), F.desc("score"), "b_id")
     df = df.withColumns({"rank": F.row_number().over(order), "n": F.count("*").over(group)}).where("n > 1")
     return df.select(c("a_id").alias("anchor_id"), "name", "source", c("b_id").alias("file_id"), "rank", F.when(c("rank") == 1, "cover").otherwise("member").alias("role"), "score")
+
+
+def sizes(f: Factors) -> DataFrame:
+    """(anchor_id, name, source, n): how many files each anchor's cluster has, itself included, where it has another one; by
+    counts of classes, so no cluster is spelled out. Near vectors add the files that facts alone don't."""
+    c, on = F.col, ["name", "auto"]
+    linked = f.pairs.join(f.members.groupBy(*on, "source", c("cls").alias("a_cls")).agg(F.count("*").alias("a_n")), [*on, "source", "a_cls"])
+    linked = linked.groupBy(*on, "source", "a_cls").agg(F.sum(c("links") / c("a_n")).cast("long").alias("by_facts"), F.max(c("a_cls") == c("b_cls")).alias("own"))
+    a = f.members.withColumnRenamed("cls", "a_cls").join(linked, [*on, "source", "a_cls"], "left")
+    narrowed = (c("source") != "human") & ((c("source") == "auto") | (c("holders") > f.th.narrow_over))
+    few = a.where(narrowed).select(c("file_id").alias("a_id"), *on, "source", "holders", c("t").alias("a_t"), "a_cls")
+    b = f.members.select(c("file_id").alias("b_id"), *on, c("t").alias("b_t"), c("cls").alias("b_cls"))
+    looks = few.join(f.near.select("a_id", "b_id"), "a_id").join(b, ["b_id", *on]).join(f.pairs.select(*on, "source", "a_cls", "b_cls"), [*on, "source", "a_cls", "b_cls"], "left_anti")
+    looks = looks.select("*", *(c(f"{p}_cls.{x}").alias(f"{p}_{x}") for p in "ab" for x in _CLASS)).where(_stays(f.th, F.lit(True)))
+    looks = looks.groupBy(c("a_id").alias("file_id"), *on, "source").agg(F.count("*").alias("by_looks"))
+    a = a.join(looks, ["file_id", *on, "source"], "left").fillna(0, ["by_facts", "by_looks"]).fillna(False, ["own"])
+    # A class that belongs together by facts has counted the anchor itself.
+    n = F.when(narrowed, c("by_facts") + c("by_looks") + F.when(c("own"), 0).otherwise(1)).otherwise(c("holders"))
+    return a.select(c("file_id").alias("anchor_id"), "name", "source", n.alias("n")).where("n > 1")
+
+
+def cluster_titles(f: Factors) -> DataFrame:
+    """(file_id, name, source, title): the cluster that each tag of each file is stored under: one for a person that people
+    named, and else one for each family of file names, or directory where a name has none."""
+    c = F.col
+    of = F.when(c("cls.family") != "", c("cls.family")).otherwise(F.substring(F.sha1(F.coalesce("cls.parent_path", F.lit("")).cast("binary")), 1, 8))
+    kind = F.when(c("source") == "auto", "person_auto:").otherwise("person_ai:")
+    title = F.when(c("source") == "human", F.concat(F.lit("person:"), "name")).otherwise(F.concat(kind, c("name"), F.lit(":"), of))
+    return f.members.select("file_id", "name", "source", title.alias("title"))
+
+
+def stored(f: Factors) -> DataFrame:
+    """(title, file_id, rank, role, score): clusters as they are stored. A title keeps the members that its last anchor found,
+    the one of the greatest id, and goes where that one finds no other; so only one anchor of a title is spelled out."""
+    last = cluster_titles(f).groupBy("title", "name", "source").agg(F.max("file_id").alias("file_id"))
+    last = last.groupBy("title").agg(F.max_by(F.struct("file_id", "name", "source"), F.struct("file_id", "name")).alias("x")).select("title", "x.*")
+    found = expand(f, last)
+    return found.join(last.withColumnRenamed("file_id", "anchor_id"), ["anchor_id", "name", "source"]).select("title", "file_id", "rank", "role", "score")
+
+
+def same_person(files: DataFrame, tags: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """(anchor_id, name, source, file_id, rank, role, score) for each tag of each active file with another member.
+
+    People's tags take all files with the tag. Tags by models or rules are narrowed if over `narrow_over` files
+    have them; signals always are, weak ones more. This spells out every anchor's cluster; see factorised, sizes and stored
+    for what doesn't grow so.
+    """
+    return expand(factorised(files, tags, th))

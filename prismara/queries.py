@@ -453,7 +453,25 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY anchor_id, name, source ORDER B
 
 @query(f"WITH {PERSON} SELECT anchor_id, name, source, file_id, CAST(rank AS INT) AS rank, CASE rank WHEN 1 THEN 'cover' ELSE 'member' END AS role, score FROM rk WHERE n > 1")
 def person_clusters(t):
-    return person.same_person(_features(t, "about", "person", "person_looks"), person.person_tags(t))
+    return person.expand(_persons(t))
+
+
+def _persons(t: Tables) -> person.Factors:
+    return person.factorised(_features(t, "about", "person", "person_looks"), person.person_tags(t))
+
+
+@query(f"WITH {PERSON} SELECT DISTINCT anchor_id, name, source, n FROM rk WHERE n > 1")
+def person_cluster_sizes(t):
+    """How large each anchor's cluster is, by counts of classes."""
+    return person.sizes(_persons(t))
+
+
+@query(f"""WITH {PERSON}, tt AS (SELECT h.file_id, h.name, h.source, CASE WHEN h.source = 'human' THEN 'person:' || h.name ELSE 'person_ai:' || h.name || ':' || CASE WHEN x.family <> '' THEN x.family ELSE substr(sha1(x.parent_path), 1, 8) END END AS title FROM h JOIN x ON x.id = h.file_id),
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY file_id DESC, name DESC) AS last FROM tt) WHERE last = 1)
+SELECT la.title, rk.file_id, CAST(rk.rank AS INT) AS rank, CASE rk.rank WHEN 1 THEN 'cover' ELSE 'member' END AS role, rk.score FROM rk JOIN la ON la.file_id = rk.anchor_id AND la.name = rk.name AND la.source = rk.source WHERE rk.n > 1""")
+def person_clusters_stored(t):
+    """The clusters as they are stored: one of each title."""
+    return person.stored(_persons(t))
 
 
 @query("""WITH u AS (SELECT c.file_id, r.structured_attributes AS s FROM m_file_current_analysis c JOIN m_analysis_results r ON r.id = c.analysis_result_id WHERE c.analysis_type = 'understanding')
