@@ -323,7 +323,8 @@ def arrivals(lines: DataFrame, prices: DataFrame, nations: DataFrame, leaves: in
     """Every line's day `s`, arrival day `a`, batch, nation and item, the leaf of its item, and its revenue in cents. A line that
     counts for nothing but the days has no nation.
 
-    prices(item_id, price) and nations(vendor_id, nation_id) have one row for each id at most.
+    prices(item_id, price) and nations(vendor_id, nation_id) have one row for each id at most. Items grow with the shop, so
+    lines and prices are dealt by item, never sent to all; Spark splits hot items' lines.
     """
     c = F.col
     text = F.concat(*(x for name in ("sale_id", "item_id", "vendor_id", "line_no") for x in (F.coalesce(c(name).cast("string"), F.lit("")), F.lit(","))))
@@ -334,7 +335,7 @@ def arrivals(lines: DataFrame, prices: DataFrame, nations: DataFrame, leaves: in
     batch = F.greatest(F.lit(1), F.least(F.lit(BATCHES), 1 + F.floor((c("a") - DAY0) * BATCHES / DAYS)))
     sold = F.when(~F.isnan("amount") & (F.abs("amount") < float("inf")), F.floor(100 * c("amount") + 0.5).cast("double"))
     priced = F.when(~F.isnan("price") & (F.abs("price") < float("inf")), F.floor(100 * c("price") + 0.5).cast("double"))
-    rows = rows.join(prices.withColumn("_there", F.lit(True)), "item_id", "left").join(nations, "vendor_id", "left")
+    rows = rows.join(prices.withColumn("_there", F.lit(True)).hint("merge"), "item_id", "left").join(nations, "vendor_id", "left")
     cents = F.coalesce(sold, c("quantity") * priced, F.lit(0.0))
     cents = F.when(c("flag") == "swapped", -cents).otherwise(cents)
     leaf = F.pmod(F.xxhash64("item_id"), F.lit(leaves)).cast("int")
