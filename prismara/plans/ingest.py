@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, media, vectors
+from ..operators.lineage import settled
 from ..operators.relational import changed, latest_per, top_n_per
 from ..sources.catalog import Tables
 
@@ -56,6 +60,48 @@ def merge_scan(t: Tables, scan: DataFrame, as_of: Column, volume_id: int | None
     return both.drop("event_type"), t["file_path_history"].unionByName(events)
 
 
+def _matched(gone: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, volume_id, abs_path): missing and new files with equal keys, one to one: the first by id with the first by path,
+    and so on."""
+    known = " AND ".join(f"{k} IS NOT NULL AND {k} <> ''" for k in keys if k != "size_bytes")
+    a = gone.where(known).withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("id")))
+    b = new.where(known).withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*KEYS)))
+    return a.select("id", *keys, "_n").join(b.select(*KEYS, *keys, "_n"), [*keys, "_n"]).select("id", *KEYS)
+
+
+def moves(files: DataFrame, scan: DataFrame) -> DataFrame:
+    """(id, volume_id, abs_path, event_type): files that a scan hasn't seen at their paths, and has at others.
+
+    scan has sha256 and quick_hash beside its other columns. Active files that are missing meet paths that are new, one to
+    one, in tiers, each among what earlier ones left: by digest and name, by digest, by quick hash, size and name, and by
+    quick hash and size. Where several fit, the first by id takes the first by path, so a second run gives the same. An
+    event is `renamed` if the directory stayed and `moved` if not. Files without hashes, and empty ones, are no evidence.
+    """
+    hashes = ["sha256", "quick_hash", "size_bytes", "file_name"]
+    gone = settled(missing(files, scan).where("size_bytes > 0").select("id", F.col("volume_id").alias("_volume"), F.col("parent_path").alias("_parent"), *hashes))
+    new = settled(scan.where("size_bytes > 0").join(files.select(*KEYS), KEYS, "left_anti").select(*KEYS, "parent_path", *hashes))
+    found, left, open_ = None, gone, new
+    for keys in (["sha256", "file_name"], ["sha256"], ["quick_hash", "size_bytes", "file_name"], ["quick_hash", "size_bytes"]):
+        now = settled(_matched(left, open_, keys))
+        found = now if found is None else found.unionByName(now)
+        left, open_ = left.join(now.select("id"), "id", "left_anti"), open_.join(now.select(*KEYS), KEYS, "left_anti")
+    met = found.join(gone.select("id", "_volume", "_parent"), "id").join(new.select(*KEYS, "parent_path"), KEYS)
+    stays = (F.col("volume_id") == F.col("_volume")) & F.col("parent_path").eqNullSafe(F.col("_parent"))
+    return met.select("id", *KEYS, F.when(stays, "renamed").otherwise("moved").alias("event_type"))
+
+
+def merge_moves(t: Tables, scan: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(files, file_path_history) after a scan of all volumes in which moved files keep their ids, hashes and satellites: each
+    is first put where it is now, with its event, and then the scan is merged."""
+    found = settled(moves(t["files"], scan))
+    there = found.select("id", *(F.col(k).alias(f"_{k}") for k in KEYS)).join(scan.select(*(F.col(k).alias(f"_{k}") for k in KEYS), *(F.col(c).alias(f"_{c}") for c in SCANNED)), [f"_{k}" for k in KEYS])
+    now = [*KEYS, *SCANNED]
+    files = t["files"].join(there.withColumn("_moved", F.lit(True)), "id", "left")
+    files = files.select(*(F.when(F.col("_moved"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in now else F.col(c) for c in t["files"].columns))
+    events = found.select(F.col("id").alias("file_id"), *KEYS, "event_type", as_of.alias("seen_at"))
+    return merge_scan(ChainMap({"files": settled(files), "file_path_history": t["file_path_history"].unionByName(events)}, t), scan.drop("sha256", "quick_hash"), as_of)
+
+
 def quality_source(t: Tables) -> DataFrame:
     """Files with the technical features that score them; width and height from whichever satellite has them."""
     image = t["image_assets"].select(F.col("file_id").alias("id"), F.col("width").alias("iw"), F.col("height").alias("ih"), "format", "orientation")

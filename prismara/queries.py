@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable
 from datetime import datetime
 
@@ -549,6 +550,61 @@ def scan_history(t):
     return ingest.merge_scan(t, _scan(t), F.lit(_AT))[1].select("abs_path", "event_type", "seen_at")
 
 
+def _hashed(t: Tables) -> DataFrame:
+    """The files with a quick hash, which the made-up library lacks."""
+    return t["files"].withColumn("quick_hash", F.md5("sha256"))
+
+
+def _moved_scan(t: Tables) -> DataFrame:
+    """A scan in which, by digits of a hash of the path, some files lie elsewhere, some of these under other names, some are
+    gone, and of some only the quick hash is known."""
+    f = _hashed(t)
+    away = _digit(2) <= "3"
+    parent = F.when(away & (_digit(4) < "a"), F.concat("parent_path", F.lit("/moved"))).otherwise(F.col("parent_path"))
+    name = F.when(away & (_digit(5) < "5"), F.concat(F.lit("n-"), "file_name")).otherwise(F.col("file_name"))
+    rows = f.where(~away | (_digit(3) > "2")).withColumns({"parent_path": parent, "file_name": name, "sha256": F.when(_digit(6) > "3", F.col("sha256"))})
+    rows = rows.withColumn("abs_path", F.concat("parent_path", F.lit("/"), "file_name"))
+    return rows.select("volume_id", "abs_path", *ingest.SCANNED, "sha256", "quick_hash")
+
+
+def _tier(n: int, keys: str, left: str) -> str:
+    on = " AND ".join(f"g.{k} = w.{k}" for k in [*keys.split(", "), "n"])
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+    number = f"row_number() OVER (PARTITION BY {keys} ORDER BY"
+    return f"""t{n} AS (SELECT g.id, w.volume_id, w.abs_path FROM (SELECT *, {number} id) AS n FROM gone WHERE {known} AND id NOT IN (SELECT id FROM {left})) g
+  JOIN (SELECT *, {number} volume_id, abs_path) AS n FROM fresh WHERE {known} AND (volume_id, abs_path) NOT IN (SELECT (volume_id, abs_path) FROM {left})) w ON {on}),
+u{n} AS (SELECT * FROM {left} UNION ALL SELECT * FROM t{n})"""
+
+
+_D = "substr(md5(abs_path), {}, 1)".format
+_MOVES = f"""fs AS (SELECT *, {_D(2)} <= '3' AS away, parent_path || CASE WHEN {_D(2)} <= '3' AND {_D(4)} < 'a' THEN '/moved' ELSE '' END AS pp, CASE WHEN {_D(2)} <= '3' AND {_D(5)} < '5' THEN 'n-' ELSE '' END || file_name AS nn FROM m_files),
+sn AS (SELECT volume_id, pp || '/' || nn AS abs_path, pp AS parent_path, nn AS file_name, size_bytes, CASE WHEN {_D(6)} > '3' THEN sha256 END AS sha256, md5(sha256) AS quick_hash FROM fs WHERE NOT away OR {_D(3)} > '2'),
+gone AS (SELECT id, volume_id, parent_path, file_name, size_bytes, sha256, md5(sha256) AS quick_hash FROM m_files f WHERE status = 'active' AND size_bytes > 0 AND NOT EXISTS (SELECT 1 FROM sn WHERE sn.abs_path = f.abs_path AND sn.volume_id = f.volume_id)),
+fresh AS (SELECT * FROM sn WHERE size_bytes > 0 AND NOT EXISTS (SELECT 1 FROM m_files f WHERE sn.abs_path = f.abs_path AND sn.volume_id = f.volume_id)),
+u0 AS (SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS volume_id, CAST(NULL AS STRING) AS abs_path WHERE false),
+{_tier(1, "sha256, file_name", "u0")},
+{_tier(2, "sha256", "u1")},
+{_tier(3, "quick_hash, size_bytes, file_name", "u2")},
+{_tier(4, "quick_hash, size_bytes", "u3")},
+mv AS (SELECT u4.*, CASE WHEN g.volume_id = u4.volume_id AND g.parent_path = w.parent_path THEN 'renamed' ELSE 'moved' END AS event_type FROM u4 JOIN gone g ON g.id = u4.id JOIN fresh w ON w.volume_id = u4.volume_id AND w.abs_path = u4.abs_path)"""
+
+
+@query(f"WITH {_MOVES} SELECT * FROM mv")
+def scan_moves(t):
+    """Files that a scan found elsewhere, by digests and quick hashes, one to one."""
+    return ingest.moves(_hashed(t), _moved_scan(t))
+
+
+@query(f"""WITH {_MOVES}, af AS (SELECT f.id, coalesce(mv.volume_id, f.volume_id) AS volume_id, coalesce(mv.abs_path, f.abs_path) AS abs_path, f.status FROM m_files f LEFT JOIN mv ON mv.id = f.id)
+SELECT id, abs_path, event_type FROM mv UNION ALL SELECT af.id, coalesce(sn.abs_path, af.abs_path), CASE WHEN sn.abs_path IS NOT NULL THEN 'discovered' ELSE 'missing' END FROM af FULL JOIN sn ON sn.abs_path = af.abs_path AND sn.volume_id = af.volume_id WHERE sn.abs_path IS NOT NULL OR af.status = 'active'""")
+def scan_moves_history(t):
+    """What such a scan adds to the history; the ids of new files, hashes of their paths, aren't shown."""
+    of = ChainMap({"files": _hashed(t)}, t)
+    history = ingest.merge_moves(of, _moved_scan(t), F.lit(_AT))[1].where(F.col("seen_at") == F.lit(_AT))
+    known = t["files"].select(F.col("id").alias("file_id"), F.col("id"))
+    return history.join(known, "file_id", "left").select("id", "abs_path", "event_type")
+
+
 @query("""WITH tk AS (SELECT doc_id, unnest(['raw:' || source, 'raw:' || lang, 'summary:' || CAST(n_chars AS STRING)]) AS tok FROM documents), b AS (SELECT doc_id, CAST('0x' || substr(sha1(tok), 1, 2) AS INT) % 64 AS k FROM tk), c AS (SELECT doc_id, k, count(*) AS n FROM b GROUP BY doc_id, k)
 SELECT c.doc_id AS file_id, c.k AS bucket, floor(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY c.doc_id) * 10000 + 0.5) / 10000 AS weight FROM c""")
 def semantic_token_vector(t):

@@ -254,3 +254,23 @@ def test_unfitting_near_images_do_not_push_out_fitting_ones(spark):
     rows += [{"file_id": i, "vector": [0.5, 0.5], "width": 1080, "height": 1920, **same} for i in range(10, 36)]
     got = content.vector_pairs(wide(spark, *rows)).where("a_id <= 2 OR b_id <= 2").collect()
     assert {(r["a_id"], r["b_id"]) for r in got} == {(1, 2), (2, 1)}
+
+
+def test_moved_files_keep_their_ids(spark):
+    """Tiers, ties by id and path, names first, and no file twice."""
+    row = lambda i, path, sha, quick, size=9, status="active": (i, 1, path, path.rpartition("/")[0], path.rpartition("/")[2], ".jpg", "image", size, T0, sha, quick, status, T0)
+    old = [
+        row(1, "/a/x.jpg", "s", "q"), row(2, "/a/y.jpg", "s", "q"), row(3, "/a/z.jpg", "s", "q"), row(4, "/a/stays.jpg", "s", "q"), row(5, "/a/quick.jpg", None, "k"), row(6, "/a/other-size.jpg", None, "k", 10),
+        row(7, "/a/trashed.jpg", "t", "u", status="trashed"), row(8, "/a/empty.jpg", "e", "e", 0), row(9, "/a/gone.jpg", "alone", ""), row(10, "/a/none.jpg", None, None), row(11, "/a/name.jpg", "n", "n"),
+    ]
+    seen = [("/a/stays.jpg", "s", "q", 9), ("/b/y.jpg", "s", "q", 9), ("/b/1.jpg", "s", "q", 9), ("/a/2.jpg", "s", "q", 9), ("/b/4.jpg", "s", "q", 9), ("/b/quick.jpg", "new digest", "k", 9), ("/b/t.jpg", "t", "u", 9), ("/b/e.jpg", "e", "e", 0), ("/b/none.jpg", None, None, 9), ("/a/renamed.jpg", "n", "n", 9)]
+    scan = spark.createDataFrame([(1, p, p.rpartition("/")[0], p.rpartition("/")[2], ".jpg", "image", size, T0, sha, quick) for p, sha, quick, size in seen], "volume_id long, abs_path string, parent_path string, file_name string, extension string, media_type string, size_bytes long, mtime timestamp, sha256 string, quick_hash string")
+    t = tables(spark, files=old)
+    got = {r["id"]: (r["abs_path"], r["event_type"]) for r in ingest.moves(t["files"], scan).collect()}
+    # 2 has its name again; 1 and 3 take the first paths left; 5 meets by quick hash and size.
+    assert got == {2: ("/b/y.jpg", "moved"), 1: ("/a/2.jpg", "renamed"), 3: ("/b/1.jpg", "moved"), 5: ("/b/quick.jpg", "moved"), 11: ("/a/renamed.jpg", "renamed")}
+    merged, history = ingest.merge_moves(t, scan, F.lit(T0 + timedelta(days=1)))
+    after = {r["id"]: r for r in merged.collect()}
+    assert len(after) == len(old) + 4 and after[2]["abs_path"] == "/b/y.jpg" and after[2]["sha256"] == "s" and after[2]["status"] == "active" and after[9]["status"] == "missing"
+    assert sorted((r["file_id"], r["event_type"]) for r in history.collect() if r["file_id"] in (2, 9)) == [(2, "discovered"), (2, "moved"), (9, "missing")]
+    assert ingest.moves(t["files"].where("false"), scan).collect() == [] and ingest.moves(t["files"], scan.where("false")).collect() == []
