@@ -487,7 +487,14 @@ def auto_person_signals(t):
 _RAW = """coalesce(q.quality_score, 0) * 100 + CAST(coalesce(i.width, v.width) AS DOUBLE) * coalesce(i.height, v.height) + coalesce(v.duration_ms, 0) / 1000 + f.size_bytes / 1e6::DOUBLE + coalesce(v.bitrate, 0) / 1e5::DOUBLE + coalesce(v.fps, 0) * 10 + CASE v.container WHEN 'mkv' THEN 6 WHEN 'mp4' THEN 4 WHEN 'mov' THEN 3 ELSE 0 END"""
 
 
-@query(f"""WITH {UFRAMES}, {FLOOKS}, {FMODELS}, {SHARED}, {NEARF}, {NEARI},
+def _digit(place: int):
+    return F.substring(F.md5("abs_path"), place, 1)
+
+
+_D = "substr(md5(abs_path), {}, 1)".format
+
+
+_CONTENT = f"""WITH {UFRAMES}, {FLOOKS}, {FMODELS}, {SHARED}, {NEARF}, {NEARI},
 p AS (SELECT i.*, CAST('0x' || phash AS UBIGINT) AS bits FROM m_image_assets i JOIN m_files f ON f.id = i.file_id WHERE f.status <> 'trashed'),
 ph AS (SELECT a.file_id AS a_id, b.file_id AS b_id FROM p a JOIN p b ON substr(a.phash, 1, 4) = substr(b.phash, 1, 4) AND a.file_id <> b.file_id WHERE bit_count(xor(a.bits, b.bits)) <= 4 AND {_ORIENT} AND {_ASPECT}),
 s AS (SELECT f.id, f.sha256, {_RAW} AS raw FROM m_files f LEFT JOIN m_image_assets i ON i.file_id = f.id LEFT JOIN m_video_assets v ON v.file_id = f.id
@@ -499,9 +506,33 @@ m AS (SELECT 'sha256' AS tier, 'sha256:' || sha256 AS cluster_key, id AS file_id
   UNION ALL SELECT tier, tier || ':' || a_id, b_id FROM pairs JOIN first_ USING (a_id, nr)
   UNION SELECT tier, tier || ':' || a_id, a_id FROM pairs JOIN first_ USING (a_id, nr)),
 g AS (SELECT m.*, raw, row_number() OVER (PARTITION BY cluster_key ORDER BY raw DESC, file_id) AS rank, max(raw) OVER (PARTITION BY cluster_key) AS top FROM m JOIN s ON s.id = m.file_id)
-SELECT tier, cluster_key, file_id, CAST(rank AS INT) AS rank, CASE rank WHEN 1 THEN 'best_quality' ELSE 'duplicate_candidate' END AS role, round(least(1, greatest(0, raw / CASE WHEN top > 0 THEN top ELSE 1 END)), 6) AS score FROM g""")
+SELECT tier, cluster_key, file_id, CAST(rank AS INT) AS rank, CASE rank WHEN 1 THEN 'best_quality' ELSE 'duplicate_candidate' END AS role, round(least(1, greatest(0, raw / CASE WHEN top > 0 THEN top ELSE 1 END)), 6) AS score FROM g"""
+
+
+@query(_CONTENT)
 def same_content_tiers(t):
-    return content.same_content(_features(t, "quality", "phash", "image", "image_models", "frame_phashes", "frame_looks", "frame_models")).withColumn("score", F.round("score", 6))
+    return content.same_content(_features(t, *CONTENT_PARTS)).withColumn("score", F.round("score", 6))
+
+
+CONTENT_PARTS = ("quality", "phash", "image", "image_models", "frame_phashes", "frame_looks", "frame_models")
+_LATER = f"""cf AS (SELECT * REPLACE (CASE WHEN {_D(7)} = '0' THEN 'trashed' WHEN {_D(7)} = '1' THEN 'active' ELSE status END AS status, CASE WHEN {_D(8)} = '0' THEN 'c' || CAST(id % 9 AS STRING) ELSE sha256 END AS sha256,
+  CASE WHEN {_D(9)} = '0' THEN size_bytes + 5 ELSE size_bytes END AS size_bytes) FROM m_files), """
+
+
+def _later(t: Tables) -> Tables:
+    """The library some time later: by digits of a hash of the path some files are in the trash, or out of it, have other digests,
+    or have grown."""
+    status = F.when(_digit(7) == "0", "trashed").when(_digit(7) == "1", "active").otherwise(F.col("status"))
+    sha = F.when(_digit(8) == "0", F.concat(F.lit("c"), (F.col("id") % 9).cast("string"))).otherwise(F.col("sha256"))
+    grown = F.when(_digit(9) == "0", F.col("size_bytes") + 5).otherwise(F.col("size_bytes"))
+    return ChainMap({"files": t["files"].withColumns({"status": status, "sha256": sha, "size_bytes": grown})}, t)
+
+
+@query("WITH " + _LATER + _CONTENT.replace("m_files", "cf")[5:])
+def content_recomputed(t):
+    """The clusters of the later library from those of the earlier one and what has changed."""
+    old, new = _features(t, *CONTENT_PARTS), _features(_later(t), *CONTENT_PARTS)
+    return content.recompute(settled(content.same_content(old)), new, settled(content.changed_files(old, new))).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT c.file_id, json_extract_string(r.structured_attributes, '$.capture_type') AS capture_type, json_extract_string(r.structured_attributes, '$.has_face') = 'true' AS has_face FROM m_file_current_analysis c JOIN m_analysis_results r ON r.id = c.analysis_result_id WHERE c.analysis_type = 'understanding'")
@@ -510,10 +541,6 @@ def json_attributes(t):
     return df.select("file_id", F.get_json_object("structured_attributes", "$.capture_type").alias("capture_type"), labels.truthy(F.get_json_object("structured_attributes", "$.has_face")).alias("has_face"))
 
 
-def _digit(place: int):
-    return F.substring(F.md5("abs_path"), place, 1)
-
-
 def _scan(t: Tables) -> DataFrame:
     """A later scan of every volume: by digits of a hash of the path some files are gone, some have grown and some are new."""
     f = t["files"]
@@ -576,7 +603,6 @@ def _tier(n: int, keys: str, left: str) -> str:
 u{n} AS (SELECT * FROM {left} UNION ALL SELECT * FROM t{n})"""
 
 
-_D = "substr(md5(abs_path), {}, 1)".format
 _MOVES = f"""fs AS (SELECT *, {_D(2)} <= '3' AS away, parent_path || CASE WHEN {_D(2)} <= '3' AND {_D(4)} < 'a' THEN '/moved' ELSE '' END AS pp, CASE WHEN {_D(2)} <= '3' AND {_D(5)} < '5' THEN 'n-' ELSE '' END || file_name AS nn FROM m_files),
 sn AS (SELECT volume_id, pp || '/' || nn AS abs_path, pp AS parent_path, nn AS file_name, size_bytes, CASE WHEN {_D(6)} > '3' THEN sha256 END AS sha256, md5(sha256) AS quick_hash FROM fs WHERE NOT away OR {_D(3)} > '2'),
 gone AS (SELECT id, volume_id, parent_path, file_name, size_bytes, sha256, md5(sha256) AS quick_hash FROM m_files f WHERE status = 'active' AND size_bytes > 0 AND NOT EXISTS (SELECT 1 FROM sn WHERE sn.abs_path = f.abs_path AND sn.volume_id = f.volume_id)),
