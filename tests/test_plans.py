@@ -274,3 +274,24 @@ def test_moved_files_keep_their_ids(spark):
     assert len(after) == len(old) + 4 and after[2]["abs_path"] == "/b/y.jpg" and after[2]["sha256"] == "s" and after[2]["status"] == "active" and after[9]["status"] == "missing"
     assert sorted((r["file_id"], r["event_type"]) for r in history.collect() if r["file_id"] in (2, 9)) == [(2, "discovered"), (2, "moved"), (9, "missing")]
     assert ingest.moves(t["files"].where("false"), scan).collect() == [] and ingest.moves(t["files"], scan.where("false")).collect() == []
+
+
+def test_lists_are_in_their_orders(spark):
+    """The newest clusters, jobs and events first, volumes by name, and a cluster's members by three ranks of roles."""
+    at = lambda h: T0 + timedelta(hours=h)
+    job = lambda i, h: (i, "hash_file", 70, "failed", "file", i, None, 0, 3, T0, None, None, None, None, None, None, None, at(h))
+    t = tables(
+        spark,
+        clusters=[(1, "same_series", "a", 0.6, "candidate", 1, at(2)), (2, "same_series", "b", 0.6, "candidate", 1, at(5)), (3, "same_series", "c", 0.6, "candidate", 1, at(2)), (4, "same_series", "d", 0.6, "candidate", 1, None)],
+        cluster_members=[(1, 5, 0.9, "member"), (1, 6, 0.5, "cover"), (1, 7, None, "series_focus"), (1, 8, 0.9, "best_quality"), (1, 9, 0.95, "duplicate_candidate")],
+        files=[(i, 1, f"/{i}", "/", str(i), ".jpg", "image", 5, T0, None, None, "active", T0) for i in range(5, 10)],
+        jobs=[job(1, 3), job(2, 9), job(3, 3)], job_events=[(i, 1, "info", "m", at(i % 3)) for i in range(30)],
+        volumes=[(1, "/b", None, "beta", True, None), (2, "/a", None, "alpha", True, None), (3, "/c", None, "alpha", True, None)],
+    )
+    ids = lambda df, c="id": [r[c] for r in df.collect()]
+    assert ids(clusters.list_clusters(t)) == [4, 2, 3, 1] and ids(clusters.list_clusters(t, limit=2)) == [4, 2]
+    assert ids(clusters.cluster_members(t, 1), "file_id") == [6, 8, 9, 5, 7]
+    assert ids(library.list_jobs(t)) == [2, 3, 1] and ids(library.list_volumes(t)) == [2, 3, 1]
+    newest = sorted(range(30), key=lambda i: (i % 3, i), reverse=True)
+    assert ids(library.list_job_events(t, 1)) == newest[:20] and ids(library.list_job_events(t, 1, 3)) == newest[:3]
+    assert ids(files.file_detail(t, 5)["clusters"], "cluster_id") == [1]
