@@ -204,6 +204,9 @@ def calibrate(language: Language, texts: list[bytes]) -> tuple[np.ndarray, np.nd
     At each length, consecutive pieces of the texts are held against pieces of the same texts with their characters
     in random order, which no language is. All but FALSE_REJECTS of the former lie below the bound; where the two
     sorts lie apart it is midway between them.
+
+    A length of which the texts give fewer than 20 pieces, and longer ones, get no bound: texts as long are held to that
+    of the last length that has one. A language whose texts are too few for the first length rejects nothing.
     """
     rng = np.random.default_rng(0)
     own, other = [], []

@@ -19,6 +19,10 @@ from .components import connected_components
 FREQUENT, ONE_IN, OFTEN = 200_000, 16, 3
 #: Sets of a key that are held against one another, or against as many others, in one task.
 BLOCK = 1 << 10
+#: Sets of a key up to which they meet by a join.
+FEW = 1 << 5
+#: Open keys of a set that are listed beside each of them, at most.
+LISTED = 1 << 8
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -173,49 +177,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return met.where(both * sum(similarity) >= (F.size("x") + F.size("y")) * similarity[0]).select("a", "b")
 
 
-def _forest(table: pa.Table, similarity: tuple[int, int]) -> tuple[list[int], list[int]]:
-    """Links that connect all rows (fp, root, i, hashes) of a cell whose sets are as similar, but for those that a common
-    root connects already; of a cell of two blocks i only what is between them."""
-    fp, root, part = (table.column(c).to_numpy() for c in ("fp", "root", "i"))
-    lists = table.column("hashes").combine_chunks()
-    at, size = lists.offsets.to_numpy(), np.diff(lists.offsets.to_numpy())
-    _, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    owner = np.repeat(np.arange(len(fp)), size)[np.argsort(number, kind="stable")]  # who has each hash, by hash
-    times = np.bincount(number)
+def _cell(table: pa.Table, key: int, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (fp, root, n, i, keys, more) of a key's cell that may be as similar and that no lesser key brings together;
+    of a cell of two blocks i only what is between them. Equal roots are connected already.
+
+    Two sets of unlike roots share open keys only, so `keys` says how much their prefixes have in common, up to `more`
+    that isn't listed; by that, and by their sizes, most pairs are ruled out for sure.
+    """
+    fp, root, n, part, more = (table.column(c).to_numpy() for c in ("fp", "root", "n", "i", "more"))
+    lists = table.column("keys").combine_chunks()
+    at, size = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0], np.diff(lists.offsets.to_numpy())
+    known, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(fp)), size)[np.argsort(number, kind="stable")]  # who has each key, by key
+    times = np.bincount(number, minlength=len(known))
     begin = np.cumsum(times) - times
-    at = at - at[0]
-    group, a, b = np.unique(root, return_inverse=True)[1], [], []
+    here, after = int(np.searchsorted(known, key)), -(-n * similarity[0] // similarity[1]) - 1
     across = len(np.unique(part)) > 1
-    for x in range(len(fp)):
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in range(len(fp) - 1):
         own = number[at[x] : at[x + 1]]
-        both = np.bincount(owner[ragged(begin[own], times[own])], minlength=len(fp))
-        near = (both * sum(similarity) >= (size[x] + size) * similarity[0]) & (group != group[x])
+        who, which = owner[ragged(begin[own], times[own])], np.repeat(own, times[own])
+        both, least = np.bincount(who, minlength=len(fp)), np.full(len(fp), len(known))
+        least[who[::-1]] = which[::-1]  # the least of a row's keys is put there last
+        y = slice(x + 1, None)
+        test = (root[y] != root[x]) & ((least[y] == here) | (least[y] == len(known)))  # no listed key in common: of a list that was cut
+        test &= np.minimum(n[y], n[x]) * similarity[1] >= np.maximum(n[y], n[x]) * similarity[0]
+        test &= (both[y] + more[y] + more[x] + np.maximum(after[y], after[x])) * sum(similarity) >= (n[y] + n[x]) * similarity[0]
         if across:
-            near &= part != part[x]
-        found = np.flatnonzero(near)
-        for y in found[np.unique(group[found], return_index=True)[1]].tolist():
-            a.append(int(fp[x]))
-            b.append(int(fp[y]))
-            group[group == group[y]] = group[x]
-    return a, b
+            test &= part[y] != part[x]
+        near = np.flatnonzero(test) + x + 1
+        found_a.append(np.full(len(near), fp[x]))
+        found_b.append(fp[near])
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
-def _links_within(rows: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) that connect all as similar sets which share a key of rows(key, fp, root) and no root.
+def _candidates(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of unlike roots that share a key of rows(key, fp, n, root) and that their prefixes don't rule out.
 
-    No pair is a row: a key's sets are held against one another in a task, BLOCK and BLOCK of them at a time, which
-    gives links of a spanning forest. So a large group of sets that are nearly but not as similar costs time and no
-    rows; a larger one is more tasks.
+    Sets of a key that FEW have or less meet by a join, in whose condition all tests are; those of other keys are held against
+    one another in tasks, BLOCK and BLOCK of them at a time. What moves is each set's name, size and open keys, LISTED of
+    them at most; a set with more is compared as if it shared what isn't listed.
     """
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.select("key", "fp", "root").join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "fp", "root").join(sets, "fp")
+    own = rows.groupBy("fp").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    own = own.select("fp", F.slice("keys", 1, LISTED).alias("keys"), F.greatest(F.size("keys") - LISTED, F.lit(0)).cast("long").alias("more"))
+    dealt = rows.join(rows.groupBy("key").agg(F.count("*").alias("many")), "key").join(own, "fp")
+    few = dealt.where(F.col("many") <= FEW)
+    one, two = (few.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("fp", "root", "n", "keys", "more"))) for x in "ab")
+    c, (over, under) = F.col, similarity
+    shared, after = F.array_intersect("a_keys", "b_keys"), F.expr(f"(greatest(a_n, b_n) * {over} + {under - 1}) div {under} - 1")
+    test = (c("a_fp") < c("b_fp")) & (c("a_root") != c("b_root")) & (F.least("a_n", "b_n") * under >= F.greatest("a_n", "b_n") * over)
+    test &= (F.size(shared) + c("a_more") + c("b_more") + after) * (over + under) >= (c("a_n") + c("b_n")) * over
+    two = two.withColumnRenamed("key", "b_key")
+    met = one.join(two, (c("key") == c("b_key")) & test & (F.coalesce(F.array_min(shared), c("key")) == c("key"))).select(c("a_fp").alias("a"), c("b_fp").alias("b"))
+    dealt = dealt.where(c("many") > FEW).withColumn("blocks", F.ceil(c("many") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("fp"), c("blocks")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    dealt = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "fp", "n", "root", "keys", "more")
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.table([pa.array(x, pa.int64()) for x in _forest(table, similarity)], names=["a", "b"])
+        return pa.table(list(_cell(table, table.column("key")[0].as_py(), similarity)), names=["a", "b"])
 
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+    return met.union(dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")).distinct()
 
 
 def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: tuple[int, int]) -> DataFrame:
@@ -223,8 +245,8 @@ def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataF
     first: pairs (a, b) to begin with, those of SimHash; sets gives (fp, hashes) for a column fp.
 
     After these, each key's sets meet one of them, which a hash picks anew for each key: so a large group of near
-    copies is connected by about as many pairs as it has rows. Then the sets that share a key and aren't connected yet
-    are held against one another within tasks (see _links_within).
+    copies is connected by about as many pairs as it has rows. Of the sets that share a key and aren't connected yet,
+    those pairs are verified that their prefixes don't rule out (see _candidates).
     """
     # Tables and not checkpoints, which hand on estimates of size that are multiplied in every join.
     firsts = shared_table(shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys")), "firsts")
@@ -255,8 +277,9 @@ def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataF
     stars = left.join(middle, "key").where((F.col("root") != F.col("r")) & fits("n", "m")).select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b"))
     stars = table(stars.distinct().join(tried, ["a", "b"], "left_anti"), "stars")
     sure = sure.union(near(stars))
-    left = open_keys(sure)
-    out = cut(sure.union(_links_within(left, cut(sets(left.select("fp").distinct())), similarity)))
+    left = table(open_keys(sure).select("key", "fp", "n", "root"), "open")
+    more = table(_candidates(left, similarity).join(tried.union(stars), ["a", "b"], "left_anti"), "more")
+    out = cut(sure.union(near(more)))
     done(*made)
     return out
 

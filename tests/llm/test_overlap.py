@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from prismara.llm import overlap
 
@@ -42,9 +44,12 @@ def test_one_of_each_is_brute_force_at_a_similarity_of_0_8(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == kept_of(rows)
 
 
-def test_pairs_do_not_depend_on_frequent_shingles_or_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("few", [2, 8])
+def test_pairs_do_not_depend_on_frequent_shingles_or_blocks(spark, monkeypatch, few):
+    monkeypatch.setattr(overlap, "FEW", few)
     monkeypatch.setattr(overlap, "ONE_IN", 1)
     monkeypatch.setattr(overlap, "BLOCK", 3)
+    monkeypatch.setattr(overlap, "LISTED", 2)
     rows = [(i, t) for i, t in enumerate(texts())]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in overlap.deduplicate(df).collect()) == kept_of(rows)
