@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._shared import shared_table
+
 
 def host(url: Column) -> Column:
     """The host of an absolute URL in lower case, without user, port and last dot, an IPv6 address in its brackets; null if there is none."""
@@ -88,11 +90,13 @@ def judge(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id",
     """
     rows = captures.select(F.col(capture_id).alias("capture_id"), F.col(url).alias("url"), F.col(at).cast("timestamp").alias("at"))
     rows = rows.groupBy("capture_id", "url", "at").agg(F.count("*").alias("times"))
-    # No path is cut off before the deepest entry of the list, whose depth is one row.
-    deepest = entries.agg(F.coalesce(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))), F.lit(0)).alias("deepest"))
+    # Intervals are read for their depth, their sizes and themselves: a table of the list's size in the shared folder.
+    held = shared_table(intervals(entries), "intervals")
+    # No path is cut off before the deepest interval of the list, whose depth is one row.
+    deepest = held.agg(F.coalesce(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))), F.lit(0)).alias("deepest"))
     most = F.lit(deepest.first()["deepest"])
     spread = rows.select("capture_id", "url", "at", F.explode(keys(F.col("url"), most)).alias("pattern"))
-    met = as_of(spread.where("at IS NOT NULL"), intervals(entries))
+    met = as_of(spread.where("at IS NOT NULL"), held)
     order = F.struct((-F.length("pattern")).alias("size"), (F.col("action") != "allow").alias("last"), "list", "action", "pattern")
     best = met.groupBy(F.col("capture_id").alias("c"), F.col("url").alias("u"), F.col("at").alias("t")).agg(F.min(order).alias("b"))
     same = F.col("capture_id").eqNullSafe(F.col("c")) & F.col("url").eqNullSafe(F.col("u")) & F.col("at").eqNullSafe(F.col("t"))
