@@ -11,7 +11,7 @@ from . import schema
 from .functions import hashing, labels, media, vectors
 from .operators.lineage import checkpoint_dir
 from .operators.relational import values
-from .plans import clusters, content, features, files, ingest, library, person, series
+from .plans import clusters, content, features, files, ingest, keyframes, library, person, series
 from .queries import _AT, FLOOKS, UFRAMES, _features, query
 from .sources import catalog, providers
 
@@ -320,3 +320,25 @@ def cluster_confirmed(t):
 @query("SELECT id, CASE WHEN id = 1 AND status IN ('failed', 'dead') THEN 'pending' ELSE status END AS status FROM m_jobs")
 def job_retried(t):
     return library.retry(t, 1, F.lit(datetime(2024, 3, 1))).select("id", "status")
+
+
+_POOL = "SELECT job_id * 2 + 1 AS file_id, id, id * 7919 % 1200000 AS timestamp_ms, CASE WHEN id % 50 = 0 THEN '0000000000000000' ELSE substr(md5(CAST(id % 701 AS STRING)), 1, 16) END AS phash FROM {}"
+
+
+@query(f"""WITH RECURSIVE pool AS ({_POOL.format("m_job_events")}),
+c0 AS (SELECT file_id, timestamp_ms AS ms, phash, min(id) AS id FROM pool GROUP BY ALL),
+v AS (SELECT va.file_id, CASE WHEN duration_ms > 0 THEN duration_ms ELSE last END AS length FROM m_video_assets va JOIN (SELECT file_id, max(ms) AS last FROM c0 GROUP BY file_id) USING (file_id)),
+w AS (SELECT *, least(3000, length // 10) AS head, length - 2 * least(3000, length // 10) AS span, CASE WHEN length <= 30000 THEN 4 WHEN length <= 300000 THEN 6 WHEN length <= 1200000 THEN 10 WHEN length <= 3600000 THEN 16 ELSE 24 END AS budget FROM v),
+c1 AS (SELECT c0.*, head, span, budget, (budget * 7 + 5) // 10 AS n FROM c0 JOIN w USING (file_id) WHERE phash <> '0000000000000000' AND ms BETWEEN head AND head + span),
+c AS (SELECT *, least((ms - head) * n // greatest(span, 1), n - 1) AS slot, CAST('0x' || substr(phash, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(phash, 9, 8) AS BIGINT) AS h2 FROM c1),
+e AS (SELECT *, row_number() OVER (PARTITION BY file_id, phash ORDER BY ms, id) AS again FROM (SELECT *, row_number() OVER (PARTITION BY file_id, slot ORDER BY abs(2 * n * (ms - head) - (2 * slot + 1) * span), ms, id) AS k FROM c) WHERE k = 1),
+ev AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ms, id) AS place, count(*) OVER (PARTITION BY file_id) AS had FROM e WHERE again = 1),
+g AS (SELECT c.file_id, c.id, c.ms, c.h1, c.h2, min(bit_count(xor(c.h1, ev.h1)) + bit_count(xor(c.h2, ev.h2))) AS far, any_value(ev.had) AS r, any_value(c.budget) AS budget FROM c JOIN ev USING (file_id) GROUP BY ALL
+UNION ALL SELECT file_id, id, ms, h1, h2, least(far, bit_count(xor(h1, p1)) + bit_count(xor(h2, p2))), r + 1, budget
+FROM (SELECT *, first_value(h1) OVER p AS p1, first_value(h2) OVER p AS p2, max(far) OVER (PARTITION BY file_id) AS farthest FROM g WINDOW p AS (PARTITION BY file_id ORDER BY far DESC, ms, id)) WHERE farthest > 0 AND r < budget)
+SELECT file_id, id, ms AS timestamp_ms, 'even' AS how, place FROM ev
+UNION ALL SELECT file_id, id, ms, 'change', r + 1 FROM (SELECT *, row_number() OVER (PARTITION BY file_id, r ORDER BY far DESC, ms, id) AS k FROM g) WHERE k = 1 AND far > 0 AND r < budget""")
+def video_keyframes(t):
+    """Keyframes of 97 videos among many candidates, one for each event of a job, as the library's own videos have four frames each."""
+    t["job_events"].createOrReplaceTempView("_keyframe_pool")
+    return keyframes.keyframes(t, t["job_events"].sparkSession.sql(_POOL.format("_keyframe_pool")))
