@@ -105,9 +105,10 @@ def list_jobs(t: Tables, status: str = "", limit: int = 20) -> DataFrame:
     return rows.orderBy(F.desc_nulls_first("updated_at"), F.desc("id")).limit(limit)
 
 
-def list_job_events(t: Tables, job_id: int, limit: int = 20) -> DataFrame:
-    """A job's last events, the newest first."""
-    return t["job_events"].where(F.col("job_id") == job_id).orderBy(F.desc_nulls_first("created_at"), F.desc("id")).limit(limit if limit > 0 else 20)
+def list_job_events(t: Tables, job_id: int, limit: int | None = 20) -> DataFrame:
+    """A job's last events, the newest first; without a limit all of them."""
+    events = t["job_events"].where(F.col("job_id") == job_id).orderBy(F.desc_nulls_first("created_at"), F.desc("id"))
+    return events if limit is None else events.limit(limit if limit > 0 else 20)
 
 
 def leasable(t: Tables, as_of: Column) -> DataFrame:

@@ -307,9 +307,10 @@ def job_states_folded(t):
     return library.fold_events(marks)
 
 
-@query("SELECT job_id, id, level FROM m_job_events WHERE job_id = 5 ORDER BY created_at DESC NULLS FIRST, id DESC LIMIT 20")
+@query("SELECT job_id, id, level FROM m_job_events WHERE job_id = 5")
 def job_events_of_one(t):
-    return library.list_job_events(t, 5).select("job_id", "id", "level")
+    """All events of a job."""
+    return library.list_job_events(t, 5, limit=None).select("job_id", "id", "level")
 
 
 @query("SELECT id FROM m_clusters WHERE CASE WHEN id = 3 THEN 'confirmed' ELSE status END = 'confirmed'")

@@ -54,3 +54,9 @@ def test_the_entry_loads_whatever_the_document_operators_lack():
 
 def test_every_query_has_its_sql():
     assert set(queries.QUERIES) == set(queries.ORACLES)
+
+
+def test_all_events_of_a_job_are_listed(spark):
+    events = [(i, 5 if i < 50 else 6, "info", "m", T0 + timedelta(minutes=i)) for i in range(60)]
+    t = {"job_events": spark.createDataFrame(events, "id long, job_id long, level string, message string, created_at timestamp")}
+    assert sorted(r["id"] for r in queries_rules.job_events_of_one(t).collect()) == list(range(50))
