@@ -295,3 +295,15 @@ def test_lists_are_in_their_orders(spark):
     newest = sorted(range(30), key=lambda i: (i % 3, i), reverse=True)
     assert ids(library.list_job_events(t, 1)) == newest[:20] and ids(library.list_job_events(t, 1, 3)) == newest[:3]
     assert ids(files.file_detail(t, 5)["clusters"], "cluster_id") == [1]
+
+
+def after_joins(df):
+    """How many aggregates come after the last join."""
+    return df._jdf.queryExecution().sparkPlan().toString().split("Join")[0].count("Aggregate")
+
+
+def test_videos_with_shared_hashes_are_spelled_out_last(spark):
+    """Pairs of videos leave the last join and are counted no more, however many are alike."""
+    rows = [{"file_id": i, "frame_phashes": ["x", "y", f"own{i}"], "media_type": "video", "duration_ms": 60_000} for i in range(60)]
+    got = content.frame_phash_pairs(wide(spark, *rows))
+    assert after_joins(got) == 0 and got.where("shared = 2").count() == got.count() == 60 * 59
