@@ -307,3 +307,9 @@ def test_videos_with_shared_hashes_are_spelled_out_last(spark):
     rows = [{"file_id": i, "frame_phashes": ["x", "y", f"own{i}"], "media_type": "video", "duration_ms": 60_000} for i in range(60)]
     got = content.frame_phash_pairs(wide(spark, *rows))
     assert after_joins(got) == 0 and got.where("shared = 2").count() == got.count() == 60 * 59
+
+
+def test_videos_with_near_frames_are_spelled_out_last(spark):
+    rows = [{"file_id": i, "frame_looks": look([i % 2 / 5, 0.5], [0.5, 0.5]), "media_type": "video", "duration_ms": 60_000} for i in range(60)]
+    got = content.frame_vector_pairs(wide(spark, *rows))
+    assert after_joins(got) == 0 and got.where("shared = 2 AND a_id <> b_id").count() == got.count() == 60 * 29
