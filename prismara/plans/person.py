@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, media, vectors
+from ..operators.classes import classed
 from ..operators.lineage import settled
 from ..operators.nearest import within
 from ..operators.relational import latest_per
@@ -83,17 +84,25 @@ def _looks(p: str) -> tuple[Column, Column]:
     return F.when(F.col(f"{p}_person_vector").isNotNull(), F.array(image)), frames
 
 
-def near_files(files: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """(a_id, b_id, vector_points) of all files whose vectors are near: the best of image to image, frames to frames and image
-    to frames, both vectors of one model and one kind. A range join over cells, so files that are far apart never meet."""
+def near_looks(files: DataFrame, th: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
+    """(file_id, look) and (a_look, b_look, vector_points): files with the same vectors have one look, and which looks are near:
+    the best of image to image, frames to frames and image to frames, both vectors of one model and one kind.
+
+    Distinct vectors meet by a range join over cells, and no pair of files is spelled out. Both are settled.
+    """
     image, frames = _looks("x")
     of = files.select("file_id", *(F.col(c).alias(f"x_{c}") for c in LOOKS))
     one = of.select("file_id", F.explode(image).alias("k"), F.lit(True).alias("image"))
-    looks = one.unionByName(of.select("file_id", F.explode(frames).alias("k"), F.lit(False).alias("image"))).where("k.model <> ''")
-    side = lambda p: looks.select(F.col("file_id").alias(f"{p}_id"), F.col("image").alias(f"{p}_image"), F.col("k.kind").alias("kind"), F.col("k.model").alias("model"), F.col("k.v").alias(f"{p}_v"))
-    met = within(side("a"), side("b"), ["kind", "model"], max(th.image_distance, th.frame_distance), metric="mean").where("a_id <> b_id")
+    each = one.unionByName(of.select("file_id", F.explode(frames).alias("k"), F.lit(False).alias("image"))).where("k.model <> ''")
+    vectors, each = classed(each.select("file_id", "image", F.col("k.kind").alias("kind"), F.col("k.model").alias("model"), F.col("k.v").alias("v")), ["kind", "model", "v"], "_v")
+    side = lambda p: vectors.select("kind", "model", F.col("_v").alias(f"{p}_n"), F.col("v").alias(f"{p}_v"))
+    near = settled(within(side("a"), side("b"), ["kind", "model"], max(th.image_distance, th.frame_distance), metric="mean"))
+    looks, held = classed(each.groupBy("file_id").agg(F.sort_array(F.collect_set(F.struct("image", "_v"))).alias("h")), ["h"], "look")
+    part = lambda p: looks.select(F.col("look").alias(f"{p}_look"), F.explode("h").alias("x")).select(f"{p}_look", F.col("x.image").alias(f"{p}_image"), F.col("x._v").alias(f"{p}_n"))
+    met = near.join(part("a"), "a_n").join(part("b"), "b_n")
     met = met.where(F.col("distance") <= F.when(F.col("a_image") & F.col("b_image"), th.image_distance).otherwise(th.frame_distance))
-    return met.groupBy("a_id", "b_id").agg(F.max(F.when(F.col("kind") == "person_visual", PERSON_VECTOR).otherwise(GENERIC_VECTOR)).alias("vector_points"))
+    met = met.groupBy("a_look", "b_look").agg(F.max(F.when(F.col("kind") == "person_visual", PERSON_VECTOR).otherwise(GENERIC_VECTOR)).alias("vector_points"))
+    return settled(held), settled(met)
 
 
 def vector_points(th: Thresholds) -> Column:
@@ -162,10 +171,10 @@ def _stays(th: Thresholds, vectors: Column) -> Column:
 class Factors:
     """Clusters of persons before any is spelled out: as many rows as files have tags, and pairs of classes.
 
-    members(name, auto, source, file_id, t, holders, cls): each tag of each file, with its facts as the struct `cls`.
+    members(name, auto, source, file_id, t, holders, cls, look): each tag of each file, with its facts as the struct `cls`.
     pairs(name, auto, source, a_cls, b_cls, links): of tags whose holders are narrowed, which classes belong together by
     facts alone, and by how many pairs of files. Where all holders belong together there are no pairs.
-    near(a_id, b_id, vector_points): files with near vectors.
+    near(a_look, b_look, vector_points): looks with near vectors, of two files or of one.
     """
 
     members: DataFrame
@@ -189,7 +198,7 @@ def factorised(files: DataFrame, tags: DataFrame, th: Thresholds = Thresholds())
     many = held.groupBy("name", "auto").agg(F.count("*").alias("holders"))
     members = settled(held.join(many, ["name", "auto"]))
     looked = files.join(members.where("seen").select("file_id").distinct(), "file_id", "left_semi")
-    near = settled(near_files(looked, th))
+    looks, near = near_looks(looked, th)
     narrowed = members.where((F.col("source") != "human") & ((F.col("source") == "auto") | (F.col("holders") > th.narrow_over)))
     a = narrowed.groupBy("name", "auto", "source", "holders", F.col("cls").alias("a_cls")).agg(F.count("*").alias("a_n"))
     b = members.groupBy("name", "auto", F.col("cls").alias("b_cls")).agg(F.count("*").alias("b_n"))
@@ -198,7 +207,7 @@ def factorised(files: DataFrame, tags: DataFrame, th: Thresholds = Thresholds())
     # Classes that have both in common meet by the family.
     met = met.where((F.col("by.k") == "family") | ~_same("family")).select("*", *(F.col(f"{p}_cls.{f}").alias(f"{p}_{f}") for p in "ab" for f in _CLASS), *(F.lit(None).cast("long").alias(f"{p}_t") for p in "ab"))
     pairs = met.where(_stays(th, F.lit(False))).select("name", "auto", "source", "a_cls", "b_cls", (F.col("a_n") * F.col("b_n")).alias("links"))
-    return Factors(members.drop("seen"), settled(pairs), near, th)
+    return Factors(settled(members.drop("seen").join(looks, "file_id", "left")), settled(pairs), near, th)
 
 
 def _same(fact: str) -> Column:
@@ -210,19 +219,19 @@ def _pairs_of(f: Factors, anchors: DataFrame) -> DataFrame:
     themselves included, once each."""
     c, on = F.col, ["name", "auto"]
     a = f.members.join(anchors.select("file_id", "name").distinct(), ["file_id", "name"], "left_semi")
-    a = a.select(c("file_id").alias("a_id"), "name", "auto", "source", "holders", c("t").alias("a_t"), c("cls").alias("a_cls"))
-    b = f.members.select(c("file_id").alias("b_id"), *on, c("t").alias("b_t"), c("cls").alias("b_cls"))
+    a = a.select(c("file_id").alias("a_id"), "name", "auto", "source", "holders", c("t").alias("a_t"), c("cls").alias("a_cls"), c("look").alias("a_look"))
+    b = f.members.select(c("file_id").alias("b_id"), *on, c("t").alias("b_t"), c("cls").alias("b_cls"), c("look").alias("b_look"))
     narrowed = (c("source") != "human") & ((c("source") == "auto") | (c("holders") > f.th.narrow_over))
     whole = a.where(~narrowed).join(b, on)
     few = a.where(narrowed)
     by_facts = few.join(f.pairs.select(*on, "source", "a_cls", "b_cls"), [*on, "source", "a_cls"]).join(b, [*on, "b_cls"])
-    itself = few.select("*", c("a_id").alias("b_id"), c("a_t").alias("b_t"), c("a_cls").alias("b_cls"))
-    by_looks = few.join(f.near.select("a_id", "b_id"), "a_id").join(b, ["b_id", *on])
+    itself = few.select("*", c("a_id").alias("b_id"), c("a_t").alias("b_t"), c("a_cls").alias("b_cls"), c("a_look").alias("b_look"))
+    by_looks = few.join(f.near.select("a_look", "b_look"), "a_look").join(b, ["b_look", *on]).where("a_id <> b_id")
     found = whole
     for part in (by_facts.where("a_id <> b_id"), itself, by_looks):
         found = found.unionByName(part.select(*whole.columns))
     found = found.select("*", *(c(f"{p}_cls.{x}").alias(f"{p}_{x}") for p in "ab" for x in _CLASS)).drop("a_cls", "b_cls").distinct()
-    found = found.join(f.near, ["a_id", "b_id"], "left").fillna(0.0, ["vector_points"])
+    found = found.join(f.near, ["a_look", "b_look"], "left").fillna(0.0, ["vector_points"])
     return found.where((c("a_id") == c("b_id")) | _stays(f.th, c("vector_points") > 0))
 
 
@@ -246,9 +255,9 @@ def sizes(f: Factors) -> DataFrame:
     linked = linked.groupBy(*on, "source", "a_cls").agg(F.sum(c("links") / c("a_n")).cast("long").alias("by_facts"), F.max(c("a_cls") == c("b_cls")).alias("own"))
     a = f.members.withColumnRenamed("cls", "a_cls").join(linked, [*on, "source", "a_cls"], "left")
     narrowed = (c("source") != "human") & ((c("source") == "auto") | (c("holders") > f.th.narrow_over))
-    few = a.where(narrowed).select(c("file_id").alias("a_id"), *on, "source", "holders", c("t").alias("a_t"), "a_cls")
-    b = f.members.select(c("file_id").alias("b_id"), *on, c("t").alias("b_t"), c("cls").alias("b_cls"))
-    looks = few.join(f.near.select("a_id", "b_id"), "a_id").join(b, ["b_id", *on]).join(f.pairs.select(*on, "source", "a_cls", "b_cls"), [*on, "source", "a_cls", "b_cls"], "left_anti")
+    few = a.where(narrowed).select(c("file_id").alias("a_id"), *on, "source", "holders", c("t").alias("a_t"), "a_cls", c("look").alias("a_look"))
+    b = f.members.select(c("file_id").alias("b_id"), *on, c("t").alias("b_t"), c("cls").alias("b_cls"), c("look").alias("b_look"))
+    looks = few.join(f.near.select("a_look", "b_look"), "a_look").join(b, ["b_look", *on]).where("a_id <> b_id").join(f.pairs.select(*on, "source", "a_cls", "b_cls"), [*on, "source", "a_cls", "b_cls"], "left_anti")
     looks = looks.select("*", *(c(f"{p}_cls.{x}").alias(f"{p}_{x}") for p in "ab" for x in _CLASS)).where(_stays(f.th, F.lit(True)))
     looks = looks.groupBy(c("a_id").alias("file_id"), *on, "source").agg(F.count("*").alias("by_looks"))
     a = a.join(looks, ["file_id", *on, "source"], "left").fillna(0, ["by_facts", "by_looks"]).fillna(False, ["own"])

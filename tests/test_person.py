@@ -111,3 +111,11 @@ def test_empty(spark):
     files, tags = (spark.createDataFrame([], FILES), spark.createDataFrame([], "file_id long, name string, source string"))
     f = person.factorised(files, tags)
     assert person.expand(f).collect() == [] and person.sizes(f).collect() == [] and person.stored(f).collect() == []
+
+
+def test_near_vectors_are_kept_by_look_and_not_by_pairs_of_files(spark):
+    """A thousand files with two near vectors are two looks, whose pairs are four."""
+    rows = [(i, "image", "active", f"/{i}", f"{i}x.jpg", T0, 1920, 1080, None, "image_visual", "m", [0.1, 0.1 + i % 2 / 100], None, None, None, None) for i in range(1000)]
+    files = spark.createDataFrame(rows, FILES)
+    f = person.factorised(files, files.select("file_id", F.lit("Model").alias("name"), F.lit("ai").alias("source")))
+    assert f.near.count() == 4 and {r["n"] for r in person.sizes(f).collect()} == {1000}
