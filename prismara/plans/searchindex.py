@@ -119,6 +119,20 @@ def _named(t: Tables) -> DataFrame:
     return t["files"].select("id", "file_name", "abs_path").join(texts, "id", "left").withColumnRenamed("id", "file_id")
 
 
+def grams_of(part: str) -> list[int]:
+    """The trigrams that what holds a part must have; none if it has no three plain characters in a row."""
+    return sorted({int(x) for run in search.literals(part) for x in trigrams_of(run)})
+
+
+def _holds(part: str) -> Column:
+    return reduce(Column.__or__, (search.contains(F.col(c), part) for c in FIELDS))
+
+
+def looked_at(t: Tables, part: str) -> DataFrame:
+    """(file_id), once each, of files whose name, path or text holds a part, by looking at all; needs no index."""
+    return _named(t).where(_holds(part)).select("file_id").distinct()
+
+
 @dataclass
 class SearchIndex:
     """An index that was built at a path."""
@@ -194,11 +208,9 @@ class SearchIndex:
         Candidates of each field have the part's rarest trigrams; they are then looked at. A part without three plain
         characters in a row can't be narrowed, and all files are looked at.
         """
-        test = reduce(Column.__or__, (search.contains(F.col(c), part) for c in FIELDS))
-        grams = sorted({int(x) for run in search.literals(part) for x in trigrams_of(run)})
-        rows = _named(t)
+        grams = grams_of(part)
         if not grams:
-            return rows.where(test).select("file_id").distinct()
+            return looked_at(t, part)
         files = self._counts("trigrams", TRIGRAMS, [(f, g) for f in range(len(FIELDS)) for g in grams])
         found = []
         for f in range(len(FIELDS)):
@@ -211,7 +223,7 @@ class SearchIndex:
         ids = reduce(DataFrame.union, found).distinct()
         texts = t["search_documents"].join(ids, "file_id", "left_semi").select(F.col("file_id").alias("id"), "document_text")
         rows = t["files"].select("id", "file_name", "abs_path").join(ids.withColumnRenamed("file_id", "id"), "id", "left_semi").join(texts, "id", "left")
-        return rows.where(test).select(F.col("id").alias("file_id")).distinct()
+        return rows.where(_holds(part)).select(F.col("id").alias("file_id")).distinct()
 
     def matching(self, t: Tables, query: str) -> DataFrame:
         """(file_id), once each, of what the list's search finds: by words, or by any of the three substrings."""

@@ -114,3 +114,16 @@ def test_empty_library(spark, tmp_path):
     t = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
     index = searchindex.build(t, str(tmp_path / "none"))
     assert index.search("a").collect() == [] and index.search("-a").collect() == [] and index.containing(t, "abc").collect() == []
+
+
+def test_no_index_is_built_for_what_it_cannot_narrow(library, monkeypatch):
+    from prismara import queries
+
+    def fails(*_, **__):
+        raise AssertionError("built")
+
+    monkeypatch.setattr(searchindex, "build", fails)
+    t, rows, paths = library
+    got = sorted(r["id"] for r in queries.search_wildcards(t).collect())
+    shape = re.compile("s.t.*1..\\.m", re.S | re.I)
+    assert got == sorted(i for i, (name, path) in paths.items() if any(shape.search(x) for x in (name, path, rows.get(i) or "")))
