@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import search
 from ..sources.catalog import Tables
 
-#: Buckets of tokens or trigrams, and rows of an index that a bucket should have, about: beyond that it is split by file.
-BUCKETS, ROWS = 64, 1 << 24
+#: Buckets of tokens or trigrams, rows of a bucket's file at most, and characters of the texts that one task indexes, about.
+BUCKETS, ROWS, CHARS = 16, 1 << 24, 1 << 24
 #: The rarest trigrams of a search that candidates must have.
 RAREST = 4
 #: The columns that substrings are looked for in.
 FIELDS = ("file_name", "abs_path", "document_text")
-POSTINGS, TRIGRAMS = "token string, file_id long, positions array<int>", "field int, trigram long, file_id long"
+POSTINGS, TRIGRAMS = "token string, file_id long, positions array<int>", "field int, trigram long, files array<long>"
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,66 +50,68 @@ def trigrams_of(text: str) -> np.ndarray:
     return np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:]) if len(x) > 2 else np.zeros(0, np.int64)
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file_id, fields in lower case) to a row for each field, trigram and file."""
-    for batch in batches:
-        for field in range(len(FIELDS)):
-            found, files, held = [], [], 0
-            for file_id, text in zip(batch.column(0).to_pylist(), batch.column(1 + field).to_pylist(), strict=True):
-                found.append(trigrams_of(text or ""))
-                files.append((file_id, len(found[-1])))
-                held += len(found[-1])
-                if held >= 1 << 20:
+def _trigrams(first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(file_id, fields in lower case, from the first one on) to rows for each field and trigram, with a run of files each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for field in range(first, first + batch.num_columns - 1):
+                found, files, held = [], [], 0
+                for file_id, text in zip(batch.column(0).to_pylist(), batch.column(1 + field - first).to_pylist(), strict=True):
+                    found.append(trigrams_of(text or ""))
+                    files.append((file_id, len(found[-1])))
+                    held += len(found[-1])
+                    if held >= 1 << 20:
+                        yield _trigram_batch(field, found, files)
+                        found, files, held = [], [], 0
+                if held:
                     yield _trigram_batch(field, found, files)
-                    found, files, held = [], [], 0
-            if found:
-                yield _trigram_batch(field, found, files)
+
+    return rows
 
 
 def _trigram_batch(field: int, found: list, files: list) -> pa.RecordBatch:
     keys = np.concatenate(found)
     ids = np.repeat(np.array([i for i, _ in files], np.int64), [n for _, n in files])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), field, np.int32)), pa.array(keys), pa.array(ids)], ["field", "trigram", "file_id"])
+    order = np.argsort(keys, kind="stable")
+    each, starts = np.unique(keys[order], return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array(ids[order]))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(each), field, np.int32)), pa.array(each), lists], ["field", "trigram", "files"])
 
 
 def _bucket(*key: str | Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
 
 
-def _save(rows: DataFrame, key: list[str], path: str, count: int) -> None:
-    """Rows by bucket of their key, sorted by it. A bucket's rows are dealt to as many files as their number asks for, by
-    file id, so the postings of a word that most texts have are no single task's work."""
-    spread = max(1, -(-count // (BUCKETS * ROWS)))
-    dealt = rows.withColumn("bucket", _bucket(*key)).withColumn("_part", F.pmod(F.xxhash64("file_id"), F.lit(spread)))
-    dealt = dealt.repartition(BUCKETS * spread, "bucket", "_part").drop("_part").sortWithinPartitions("bucket", *key, "file_id")
-    dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+def _dealt(texts: DataFrame, *columns: str) -> DataFrame:
+    """(file_id, columns in lower case), in tasks of about CHARS characters."""
+    texts = texts.select("file_id", *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in columns))
+    size = texts.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0).cast("long"))).alias("n")).first()["n"] or 0
+    return texts.repartition(max(1, -(-size // CHARS)), "file_id")
 
 
-def _counted(spark: SparkSession, path: str, schema: str, key: list[str]) -> None:
-    """Beside an index, how many rows each key has: a small table by which the rarest are known."""
-    rows = spark.read.schema(f"{schema}, bucket int").parquet(path)
-    counts = rows.groupBy("bucket", *key).agg(F.count("*").alias("files")).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", *key)
-    counts.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}.counts")
+def _save(rows: DataFrame, key: list[str], path: str) -> None:
+    """Each task's rows by bucket of their key, sorted by it. An index is parted by texts, so its rows aren't shuffled, and a
+    word that most texts have is a little of every task's work."""
+    dealt = rows.withColumn("bucket", _bucket(*key)).sortWithinPartitions("bucket", *key)
+    dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").option("maxRecordsPerFile", ROWS).parquet(path)
 
 
 def build(t: Tables, path: str, postings: bool = True, trigrams: bool = True) -> SearchIndex:
     """Writes the index of all files, texts and names under a folder that executors share.
 
-    Texts are read once for each part. Null texts are as empty; a file without a search document has names only; a null
-    id is indexed like others and found as null.
+    Texts are read twice for each part, once for their size. Null texts are as empty; a file without a search document has
+    names only; a null id is indexed like others and found as null.
     """
     spark = t["files"].sparkSession
-    texts = t["search_documents"].select("file_id", F.lower(F.coalesce("document_text", F.lit(""))).alias("document_text"))
+    texts = t["search_documents"].select("file_id", "document_text")
     if postings:
-        size = texts.agg(F.sum(F.length("document_text")).alias("n")).first()["n"] or 0
-        _save(texts.mapInArrow(_postings, POSTINGS), ["token"], f"{path}/postings", size // 8)
-        _counted(spark, f"{path}/postings", POSTINGS, ["token"])
+        _save(_dealt(texts, "document_text").mapInArrow(_postings, POSTINGS), ["token"], f"{path}/postings")
         texts.select("file_id").write.mode("overwrite").parquet(f"{path}/documents")
     if trigrams:
-        rows = _named(t).select("file_id", *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in FIELDS))
-        size = rows.agg(F.sum(sum((F.length(c) for c in FIELDS), F.lit(0))).alias("n")).first()["n"] or 0
-        _save(rows.mapInArrow(_trigrams, TRIGRAMS), ["field", "trigram"], f"{path}/trigrams", size)
-        _counted(spark, f"{path}/trigrams", TRIGRAMS, ["field", "trigram"])
+        names = _dealt(t["files"].select(F.col("id").alias("file_id"), *FIELDS[:2]), *FIELDS[:2]).mapInArrow(_trigrams(0), TRIGRAMS)
+        rows = names.union(_dealt(texts.where("file_id IS NOT NULL"), FIELDS[2]).mapInArrow(_trigrams(2), TRIGRAMS))
+        _save(rows, ["field", "trigram"], f"{path}/trigrams")
     return SearchIndex(spark, path)
 
 
@@ -150,11 +152,11 @@ class SearchIndex:
             test = F.col(columns[0]).isin(*(k[0] for k in keys))
         return df.where(F.col("bucket").isin(*buckets)).where(test).drop("bucket")
 
-    def _counts(self, name: str, schema: str, keys: list[tuple]) -> dict[tuple, int]:
-        """How many files each key has; a key that isn't indexed isn't there."""
-        kinds = schema.split(", ")[: len(keys[0])]
-        rows = self._rows(f"{name}.counts", ", ".join([*kinds, "files long"]), keys).collect()  # a row for each word of a query
-        return {tuple(r[: len(kinds)]): r["files"] for r in rows}
+    def _counts(self, name: str, schema: str, keys: list[tuple], of: Column) -> dict[tuple, int]:
+        """How many files each key has, by the sum of what its rows have; a key that isn't indexed isn't there."""
+        kinds = [x.split()[0] for x in schema.split(", ")][: len(keys[0])]
+        rows = self._rows(name, schema, keys).groupBy(*kinds).agg(F.sum(of).alias("n")).collect()  # a row for each word of a query
+        return {tuple(r[: len(kinds)]): r["n"] for r in rows}
 
     def search(self, query: str) -> DataFrame:
         """(file_id), once each, of the documents that answer a web-style query; see functions.search.parse.
@@ -168,7 +170,7 @@ class SearchIndex:
         none = self.spark.createDataFrame([], "file_id long")
         if not words:
             return none
-        files = self._counts("postings", POSTINGS, words)
+        files = self._counts("postings", POSTINGS, words, F.lit(1))
         found = [self._part(part, files) for part in parts]
         return reduce(DataFrame.union, [x for x in found if x is not None] or [none]).distinct()
 
@@ -211,19 +213,21 @@ class SearchIndex:
         grams = grams_of(part)
         if not grams:
             return looked_at(t, part)
-        files = self._counts("trigrams", TRIGRAMS, [(f, g) for f in range(len(FIELDS)) for g in grams])
+        files = self._counts("trigrams", TRIGRAMS, [(f, g) for f in range(len(FIELDS)) for g in grams], F.size("files"))
         found = []
         for f in range(len(FIELDS)):
             if all((f, g) in files for g in grams):
                 rarest = sorted(grams, key=lambda g: files[f, g])[:RAREST]
-                own = self._rows("trigrams", TRIGRAMS, [(f, g) for g in rarest])
+                own = self._rows("trigrams", TRIGRAMS, [(f, g) for g in rarest]).select(F.explode("files").alias("file_id"))
                 found.append(own.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("file_id") if len(rarest) > 1 else own.select("file_id"))
         if not found:
             return self.spark.createDataFrame([], "file_id long")
         ids = reduce(DataFrame.union, found).distinct()
-        texts = t["search_documents"].join(ids, "file_id", "left_semi").select(F.col("file_id").alias("id"), "document_text")
-        rows = t["files"].select("id", "file_name", "abs_path").join(ids.withColumnRenamed("file_id", "id"), "id", "left_semi").join(texts, "id", "left")
-        return rows.where(_holds(part)).select(F.col("id").alias("file_id")).distinct()
+        # Texts are looked at by themselves, so they go no further.
+        of = t["files"].select(F.col("id").alias("file_id"), *FIELDS[:2]).join(ids, "file_id", "left_semi")
+        texts = t["search_documents"].select("file_id", FIELDS[2]).join(ids, "file_id", "left_semi").where(search.contains(F.col(FIELDS[2]), part))
+        hits = of.where(reduce(Column.__or__, (search.contains(F.col(c), part) for c in FIELDS[:2]))).select("file_id")
+        return hits.union(of.select("file_id").join(texts, "file_id", "left_semi")).distinct()
 
     def matching(self, t: Tables, query: str) -> DataFrame:
         """(file_id), once each, of what the list's search finds: by words, or by any of the three substrings."""

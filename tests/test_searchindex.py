@@ -127,3 +127,16 @@ def test_no_index_is_built_for_what_it_cannot_narrow(library, monkeypatch):
     got = sorted(r["id"] for r in queries.search_wildcards(t).collect())
     shape = re.compile("s.t.*1..\\.m", re.S | re.I)
     assert got == sorted(i for i, (name, path) in paths.items() if any(shape.search(x) for x in (name, path, rows.get(i) or "")))
+
+
+def test_an_index_is_written_without_a_shuffle_of_its_rows(library, monkeypatch, tmp_path):
+    """Texts are dealt, and what each task finds is written by it; trigrams are runs of files."""
+    plans = []
+    save = searchindex._save
+    monkeypatch.setattr(searchindex, "_save", lambda rows, *rest: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), save(rows, *rest)))
+    own = searchindex.build(library[0], str(tmp_path / "index"))
+    assert len(plans) == 2
+    for plan in plans:
+        assert "Exchange" not in plan.split("MapInArrow")[0] and "Exchange" in plan.split("MapInArrow")[-1]
+    rows = own.spark.read.parquet(f"{own.path}/trigrams").agg(F.count("*"), F.sum(F.size("files"))).first()
+    assert rows[0] * 3 < rows[1]
