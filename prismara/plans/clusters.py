@@ -41,11 +41,11 @@ def list_clusters(t: Tables, cluster_type: str = "", status: str = "", limit: in
     of = t["clusters"]
     of = of.where(F.col("cluster_type") == cluster_type) if cluster_type else of
     of = of.where(F.col("status") == status) if status else of
-    members = t["cluster_members"].join(visual_evidence(t), "file_id", "left")
-    counts = members.groupBy(F.col("cluster_id").alias("id")).agg(
-        F.count("*").alias("members"), F.count_if(F.col("score") >= 0.80).alias("strong_members"), F.max("score").alias("top_score"),
-        F.count_distinct(F.when(F.col("person"), F.col("file_id"))).alias("person_members"),
-        F.count_distinct(F.when(F.col("generic"), F.col("file_id"))).alias("generic_members"),
+    # A file's rows in a cluster come together first, so distinct files are counted as rows and no row is copied for them.
+    each = t["cluster_members"].groupBy("cluster_id", "file_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0.80).alias("strong"), F.max("score").alias("top"))
+    counts = each.join(visual_evidence(t).where("file_id IS NOT NULL"), "file_id", "left").groupBy(F.col("cluster_id").alias("id")).agg(
+        F.sum("n").alias("members"), F.sum("strong").alias("strong_members"), F.max("top").alias("top_score"),
+        F.count_if("person").alias("person_members"), F.count_if("generic").alias("generic_members"),
     )
     df = of.join(counts, "id", "left").fillna(0, ["members", "strong_members", "person_members", "generic_members"])
     df = df.withColumn("top_evidence", F.when(F.col("person_members") > 0, "person_visual").when(F.col("generic_members") > 0, "generic_visual"))

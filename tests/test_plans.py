@@ -313,3 +313,24 @@ def test_videos_with_near_frames_are_spelled_out_last(spark):
     rows = [{"file_id": i, "frame_looks": look([i % 2 / 5, 0.5], [0.5, 0.5]), "media_type": "video", "duration_ms": 60_000} for i in range(60)]
     got = content.frame_vector_pairs(wide(spark, *rows))
     assert after_joins(got) == 0 and got.where("shared = 2 AND a_id <> b_id").count() == got.count() == 60 * 29
+
+
+def test_cluster_list_counts_files_once_without_copies_of_rows(spark):
+    rows = [(1, 7, 0.9, "cover"), (1, 7, 0.5, "member"), (1, 8, 0.8, "member"), (1, None, None, "member"), (2, 9, 0.1, "cover")]
+    t = tables(spark, clusters=[(i, "same_person", f"c{i}", 0.5, "candidate", 7, T0) for i in (1, 2, 3)])
+    t["cluster_members"] = spark.createDataFrame(rows, "cluster_id long, file_id long, score double, role string")
+    t["embeddings"] = spark.createDataFrame([(1, 7, None, "person_visual"), (2, 7, None, "image_visual"), (3, 8, None, "image_visual"), (4, None, None, "person_visual")], "id long, file_id long, frame_id long, embedding_type string")
+    df = clusters.list_clusters(t, limit=None).select("id", "members", "strong_members", "top_score", "person_members", "generic_members", "top_evidence")
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 4, 2, 0.9, 1, 2, "person_visual"), (2, 1, 0, 0.1, 0, 0, None), (3, 0, 0, None, 0, 0, None)]
+    assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_difference_hash_computes_its_samples_once(spark):
+    from prismara.functions import hashing
+
+    gray = F.transform("v", lambda x: F.floor(x * 127).cast("int"))
+    df = spark.createDataFrame([([float(i * 37 % 64) for i in range(64)],)], "v array<double>").select(hashing.difference_hash(gray, F.lit(8), F.lit(8)).alias("h"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("127.0") == 1
+    grid = [i * 37 % 64 for i in range(64)]
+    bits = [grid[i // 8 * 8 + i % 8 * 7 // 8] > grid[i // 8 * 8 + (i % 8 + 1) * 7 // 8] for i in range(64)]
+    assert int(df.first()["h"], 16) == sum(b << i for i, b in enumerate(bits))
