@@ -334,3 +334,14 @@ def test_difference_hash_computes_its_samples_once(spark):
     grid = [i * 37 % 64 for i in range(64)]
     bits = [grid[i // 8 * 8 + i % 8 * 7 // 8] > grid[i // 8 * 8 + (i % 8 + 1) * 7 // 8] for i in range(64)]
     assert int(df.first()["h"], 16) == sum(b << i for i, b in enumerate(bits))
+
+
+def test_nearest_images_are_found_by_class(spark):
+    """Each of many with one vector has the first others by id, and no window goes over pairs of images."""
+    same = {"kind": "image_visual", "model": "m"}
+    df = content.vector_pairs(wide(spark, *({"file_id": i, "vector": [0.5, 0.5], **same} for i in range(40)), {"file_id": 90, "vector": [0.5, 0.52], **same}))
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["a_id"], set()).add(r["b_id"])
+    assert got == {i: set([j for j in range(40) if j != i][:24]) for i in [*range(40), 90]}
+    assert "windowspecdefinition(a_id" not in df._jdf.queryExecution().optimizedPlan().toString()
