@@ -217,22 +217,26 @@ def _cell(table: pa.Table, key: int, similarity: tuple[int, int]) -> tuple[np.nd
 def _candidates(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of unlike roots that share a key of rows(key, fp, n, root) and that their prefixes don't rule out.
 
-    Sets of a key that FEW have or less meet by a join, in whose condition all tests are; those of other keys are held against
-    one another in tasks, BLOCK and BLOCK of them at a time. What moves is each set's name, size and open keys, LISTED of
-    them at most; a set with more is compared as if it shared what isn't listed.
+    Sets of a key that FEW have or less meet by a join, and of two such sets the keys that they share are counted: with those of
+    the keys that more have, as many as the one that has fewer of these, that must do for the prefixes (see _possible). So
+    no list of keys goes through this join. Sets of other keys are held against one another in tasks, BLOCK and BLOCK of them
+    at a time, with each set's name, size and open keys, LISTED of them at most; a set with more is compared as if it
+    shared what isn't listed.
     """
-    own = rows.groupBy("fp").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    own = own.select("fp", F.slice("keys", 1, LISTED).alias("keys"), F.greatest(F.size("keys") - LISTED, F.lit(0)).cast("long").alias("more"))
-    dealt = rows.join(rows.groupBy("key").agg(F.count("*").alias("many")), "key").join(own, "fp")
-    few = dealt.where(F.col("many") <= FEW)
-    one, two = (few.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("fp", "root", "n", "keys", "more"))) for x in "ab")
+    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("many")), "key")
     c, (over, under) = F.col, similarity
-    shared, after = F.array_intersect("a_keys", "b_keys"), F.expr(f"(greatest(a_n, b_n) * {over} + {under - 1}) div {under} - 1")
+    own = counted.groupBy("fp").agg(F.count_if(c("many") <= FEW).alias("few"), F.count_if(c("many") > FEW).alias("hot"))
+    few = counted.where(c("many") <= FEW).join(own, "fp")
+    one, two = (few.select(c("key").alias(f"{x}_key"), *(c(y).alias(f"{x}_{y}") for y in ("fp", "root", "n", "few", "hot"))) for x in "ab")
+    after = F.expr(f"(greatest(a_n, b_n) * {over} + {under - 1}) div {under} - 1")
+    least = F.expr(f"((a_n + b_n) * {over} + {over + under - 1}) div {over + under}") - after - F.least("a_hot", "b_hot")
     test = (c("a_fp") < c("b_fp")) & (c("a_root") != c("b_root")) & (F.least("a_n", "b_n") * under >= F.greatest("a_n", "b_n") * over)
-    test &= (F.size(shared) + c("a_more") + c("b_more") + after) * (over + under) >= (c("a_n") + c("b_n")) * over
-    two = two.withColumnRenamed("key", "b_key")
-    met = one.join(two, (c("key") == c("b_key")) & test & (F.coalesce(F.array_min(shared), c("key")) == c("key"))).select(c("a_fp").alias("a"), c("b_fp").alias("b"))
-    dealt = dealt.where(c("many") > FEW).withColumn("blocks", F.ceil(c("many") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("fp"), c("blocks")).cast("int"))
+    met = one.join(two, (c("a_key") == c("b_key")) & test & (least <= F.least("a_few", "b_few")))
+    met = met.groupBy(c("a_fp").alias("a"), c("b_fp").alias("b"), least.alias("least")).agg(F.count("*").alias("both")).where(c("both") >= c("least")).select("a", "b")
+
+    open_ = rows.groupBy("fp").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    open_ = open_.select("fp", F.slice("keys", 1, LISTED).alias("keys"), F.greatest(F.size("keys") - LISTED, F.lit(0)).cast("long").alias("more"))
+    dealt = counted.where(c("many") > FEW).join(open_, "fp").withColumn("blocks", F.ceil(c("many") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("fp"), c("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
     dealt = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "fp", "n", "root", "keys", "more")
 

@@ -54,3 +54,24 @@ def test_pairs_do_not_depend_on_frequent_shingles_or_blocks(spark, monkeypatch,
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in overlap.deduplicate(df).collect()) == kept_of(rows)
     assert overlap.deduplicate(df.where("false")).collect() == []
+
+
+def written(spark):
+    """Bytes that all stages have shuffled so far."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_candidates_meet_without_their_lists_of_keys(spark):
+    rng = random.Random(4)
+    rows = [(rng.getrandbits(62), 2 * i + j, 1000, 2 * i + j) for i in range(100) for _ in range(200) for j in range(2)]
+    rows = [(rows[k - k % 2][0], *r[1:]) for k, r in enumerate(rows)]  # two sets have each key
+    rows = spark.createDataFrame(rows, "key long, fp long, n long, root long")
+    before, threshold = written(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of some size have it
+    try:
+        assert sorted(map(tuple, overlap._candidates(rows, (4, 5)).collect())) == [(2 * i, 2 * i + 1) for i in range(100)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert written(spark) - before < 10_000_000
