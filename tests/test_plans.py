@@ -1,3 +1,4 @@
+import re
 import struct
 import zlib
 from datetime import datetime, timedelta
@@ -345,3 +346,10 @@ def test_nearest_images_are_found_by_class(spark):
         got.setdefault(r["a_id"], set()).add(r["b_id"])
     assert got == {i: set([j for j in range(40) if j != i][:24]) for i in [*range(40), 90]}
     assert "windowspecdefinition(a_id" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_are_sorted_by_file_in_a_stage_of_their_own(spark):
+    from prismara.queries import QUERIES
+
+    plan = QUERIES["tag_summary_top3"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit \[file_id.*Partial\n.*Sort.*\n.*Exchange hashpartitioning\(file_id", plan)
