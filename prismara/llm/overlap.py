@@ -250,8 +250,8 @@ def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataF
     """Links (a, b) between sets that are as similar, which connect all such pairs among the rows (key, fp, n), settled;
     first: pairs (a, b) to begin with, those of SimHash; sets gives (fp, hashes) for a column fp.
 
-    After these, the sets of a key that more than STARS have meet one of them, which a hash picks anew for each key: so a
-    large group of near copies is connected by about as many pairs as it has rows. Of the sets that share a key and aren't connected yet,
+    After these, the sets of a key that more than STARS have meet one of them, the least by a hash of its name: near copies
+    that share many keys so meet the same ones by most of them, and a large group makes few pairs for each of its rows. Of the sets that share a key and aren't connected yet,
     those pairs are verified that their prefixes don't rule out (see _candidates).
     """
     # Tables and not checkpoints, which hand on estimates of size that are multiplied in every join.
@@ -279,7 +279,7 @@ def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataF
     tried = table(first, "first")
     sure = near(tried)
     left = open_keys(sure)
-    middle = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "fp").alias("h"), F.col("fp").alias("c"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("o"), F.count("*").alias("many")).where(F.col("many") > STARS).select("key", "o.c", "o.m", "o.r")
+    middle = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("c"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("o"), F.count("*").alias("many")).where(F.col("many") > STARS).select("key", "o.c", "o.m", "o.r")
     stars = left.join(middle, "key").where((F.col("root") != F.col("r")) & fits("n", "m")).select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b"))
     stars = table(stars.distinct().join(tried, ["a", "b"], "left_anti"), "stars")
     sure = sure.union(near(stars))
