@@ -293,6 +293,8 @@ def without_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of, key, kept_ = unused(df, "of", "key", "kept")
     docs, profile = _profiled(df, doc_id, text, window)
     found, marks = _search(docs, profile, window)
+    done(profile)
+    marks = shared_table(marks, "marks")  # so that what segments were dealt by goes before whole texts are dealt
     removed = _removed(found.join(marks, "key"), window, True).select(F.col("key").alias(key), F.col("kept").alias(kept_))
     out = df.withColumn(of, _key(text)).join(removed, F.col(of) == F.col(key), "left")
     return out.withColumn(text, F.coalesce(kept_, text)).select(*df.columns)

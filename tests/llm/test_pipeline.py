@@ -3,8 +3,10 @@ import math
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 import tiktoken  # noqa: F401  the library that the last stage is held against, by test_tokens
 from prismara.llm import langid, mixing, substring
+from prismara.llm._shared import cut, shared_table
 from pyspark.sql import functions as F
 
 from .test_overlap import near, shingles
@@ -75,3 +77,19 @@ def test_all_eleven_are_registered():
 
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names and [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10
+
+
+def shuffle_files(spark):
+    """How many files of shuffles the session's local folders hold."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+@pytest.mark.parametrize("settle", [cut, lambda df: shared_table(df, "test")])
+def test_what_is_settled_leaves_no_shuffle_files(spark, settle):
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    before, setting = shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    got = settle(df)
+    assert shuffle_files(spark) <= before
+    assert got.count() == 10 and df.count() == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting

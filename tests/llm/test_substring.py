@@ -42,6 +42,11 @@ def test_without_repeated_keeps_rows_and_columns(docs, rows):
     assert sorted((repr(r["doc_id"]), repr(r["text"])) for r in got.collect()) == want
 
 
+def test_segments_and_whole_texts_are_dealt_in_jobs_of_their_own(docs):
+    plan = substring.without_repeated(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cid" not in plan and "route" not in plan
+
+
 def test_empty_table_and_window_bounds(empty):
     assert substring.remove_repeated(empty).collect() == []
     assert substring.without_repeated(empty).collect() == []
