@@ -38,3 +38,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         left, turn = cut(ends.distinct()), turn + 1
     return nodes
+
+
+def extended(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes(node, root), as connected_components gives them, when edges(a, b) are added: components are found among
+    roots and new nodes alone, so earlier edges aren't walked again."""
+    ends = edges.select("a", "b")
+    for x in "ab":
+        known = nodes.select(F.col("node").alias(x), F.col("root").alias("to"))
+        ends = ends.join(known, x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
+    roots = connected_components(ends).select(F.col("node").alias("r"), F.col("root").alias("to"))
+    fresh = roots.join(nodes.select(F.col("node").alias("r")), "r", "left_anti").select(F.col("r").alias("node"), F.col("r").alias("root"))
+    both = nodes.union(fresh)
+    return cut(both.join(roots, both["root"] == roots["r"], "left").select("node", F.coalesce("to", "root").alias("root")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from ._shared import _BASE, Words, chunks, cut, done, mix, ragged, shared_table
-from .components import connected_components
+from .components import connected_components, extended
 
 #: How many frequent shingles are put last, from one document in how many they are counted, and how often they occur there at least.
 FREQUENT, ONE_IN, OFTEN = 200_000, 16, 3
@@ -246,13 +246,14 @@ def _candidates(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return met.union(dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")).distinct()
 
 
-def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between sets that are as similar, which connect all such pairs among the rows (key, fp, n), settled;
+def components(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: tuple[int, int]) -> DataFrame:
+    """(node, root) of the sets that links between as similar ones connect, among the rows (key, fp, n), settled;
     first: pairs (a, b) to begin with, those of SimHash; sets gives (fp, hashes) for a column fp.
 
     After these, the sets of a key that more than STARS have meet one of them, the least by a hash of its name: near copies
     that share many keys so meet the same ones by most of them, and a large group makes few pairs for each of its rows. Of the sets that share a key and aren't connected yet,
-    those pairs are verified that their prefixes don't rule out (see _candidates).
+    those pairs are verified that their prefixes don't rule out (see _candidates; these aren't held against the prefixes again).
+    Links found later only join components: the links before them aren't walked again.
     """
     # Tables and not checkpoints, which hand on estimates of size that are multiplied in every join.
     firsts = shared_table(shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys")), "firsts")
@@ -266,28 +267,26 @@ def links(shared: DataFrame, first: DataFrame, sets: Callable[[DataFrame], DataF
         return F.least(a, b) * similarity[1] >= F.greatest(a, b) * similarity[0]
 
     def near(pairs: DataFrame) -> DataFrame:
-        pairs = table(_possible(pairs, firsts, similarity), "pairs")
         return table(_verified(pairs, cut(sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())), similarity), "links")
 
-    def open_keys(sure: DataFrame) -> DataFrame:
+    def open_keys(nodes: DataFrame) -> DataFrame:
         """(key, fp, n, root) of the keys whose sets aren't all connected."""
-        nodes = connected_components(sure)
         placed = table(shared.join(nodes, shared["fp"] == nodes["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "placed")
         parted = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         return placed.join(parted, "key", "left_semi")
 
     tried = table(first, "first")
-    sure = near(tried)
-    left = open_keys(sure)
+    nodes = connected_components(near(table(_possible(tried, firsts, similarity), "pairs")))
+    left = open_keys(nodes)
     middle = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("c"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("o"), F.count("*").alias("many")).where(F.col("many") > STARS).select("key", "o.c", "o.m", "o.r")
     stars = left.join(middle, "key").where((F.col("root") != F.col("r")) & fits("n", "m")).select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b"))
     stars = table(stars.distinct().join(tried, ["a", "b"], "left_anti"), "stars")
-    sure = sure.union(near(stars))
-    left = table(open_keys(sure).select("key", "fp", "n", "root"), "open")
+    nodes = extended(nodes, near(table(_possible(stars, firsts, similarity), "pairs")))
+    left = table(open_keys(nodes).select("key", "fp", "n", "root"), "open")
     more = table(_candidates(left, similarity).join(tried.union(stars), ["a", "b"], "left_anti"), "more")
-    out = cut(sure.union(near(more)))
+    nodes = extended(nodes, near(more))
     done(*made)
-    return out
+    return nodes
 
 
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: tuple[int, int] = (4, 5), limit: int = 4, parts: int = 6) -> DataFrame:
@@ -314,7 +313,7 @@ def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
         wanted = each.join(of, "fp", "left_semi").select("m.k1", "m.k2")
         return _sets(texts.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), shingle)
 
-    nodes = connected_components(links(shared, simhash_pairs(each.select("fp", "sh"), limit, parts), sets, similarity))
+    nodes = components(shared, simhash_pairs(each.select("fp", "sh"), limit, parts), sets, similarity)
     named = each.join(nodes, each["fp"] == nodes["node"], "left").select("m", F.coalesce("root", "fp").alias("root"))
     stays = cut(named.groupBy("root").agg(F.min("m").alias("m")).select("m.k1", "m.k2"))
     done(each, shared)

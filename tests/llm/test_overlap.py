@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from prismara.llm import overlap
+from prismara.llm import components, overlap
 
 from .conftest import words
 from .test_simhash import WORD, grouped
@@ -75,3 +75,26 @@ def test_candidates_meet_without_their_lists_of_keys(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert written(spark) - before < 10_000_000
+
+
+def test_later_links_are_found_among_roots_alone(spark, monkeypatch):
+    rng = random.Random(6)
+    first = [(i, rng.randrange(i // 50 * 50, i + 1)) for i in range(500)]  # ten trees of fifty, but for loops
+    later = [(49, 51), (3, 120), (130, 1000), (1000, 1001), (2000, 2001), (7, 8)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    nodes, walked, found = components.connected_components(table(first)), [], components.connected_components
+    monkeypatch.setattr(components, "connected_components", lambda edges: walked.append(edges.where("a <> b").distinct().count()) or found(edges))
+    got = {}
+    for r in components.extended(nodes, table(later)).collect():
+        assert got.setdefault(r["node"], r["root"]) == r["root"]
+    want = {r["node"]: r["root"] for r in found(table(first + later)).collect()}
+    pairs = lambda x: {frozenset(n for n in x if x[n] == r) for r in set(x.values())}
+    assert pairs(got) == pairs(want) and walked[0] <= len(later)
+
+
+def test_candidates_are_not_held_against_prefixes_again(spark, monkeypatch):
+    tested, possible = [], overlap._possible
+    monkeypatch.setattr(overlap, "_possible", lambda pairs, *more: tested.append(pairs) or possible(pairs, *more))
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in overlap.deduplicate(df).collect()) == kept_of(list(enumerate(texts())))
+    assert len(tested) == 2
