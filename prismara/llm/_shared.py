@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import checkpoint_dir
+from ..operators.lineage import checkpoint_dir, sized
 
 #: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df by way of a checkpoint in the shared folder, so that no executor's loss undoes it."""
     checkpoint_dir(df.sparkSession)
     with _swept(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)  # a plan of its own: df's was made with the setting as it was then
+        return sized(df.select("*").checkpoint(eager=True))  # a plan of its own: df's was made with the setting as it was then
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:

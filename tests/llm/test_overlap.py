@@ -98,3 +98,13 @@ def test_candidates_are_not_held_against_prefixes_again(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in overlap.deduplicate(df).collect()) == kept_of(list(enumerate(texts())))
     assert len(tested) == 2
+
+
+def test_rounds_do_not_multiply_estimates_of_size(spark):
+    """Sizes that grew with each round had hundreds of thousands of digits, which the driver spent its memory on."""
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    nodes = components.connected_components(df([(i, i + 1) for i in range(100)]))
+    nodes = components.extended(nodes, df([(i, i + 1000) for i in range(0, 100, 5)]))
+    assert {r["root"] for r in nodes.collect()} == {nodes.first()["root"]} and nodes.count() == 121
+    size = nodes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert 121 * 16 <= size < 121 * 1000
