@@ -72,10 +72,11 @@ def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(x, shingle)).view(np.int64))], ["key"])
 
     part = texts.where(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == 0).select("text").mapInArrow(run, "key long")
-    found = part.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    # Settled first: of rows that are collected in an order, the driver would get as many from each partition.
+    found = cut(part.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(FREQUENT)).toArrow()
     out = np.zeros(len(found), [("key", np.uint64), ("n", np.int64)])
-    out["key"] = np.array([r["key"] for r in found], np.int64).view(np.uint64)
-    out["n"] = [r["n"] for r in found]
+    out["key"] = found.column("key").to_numpy().view(np.uint64)
+    out["n"] = found.column("n").to_numpy()
     return np.sort(out, order="key")
 
 

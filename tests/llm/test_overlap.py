@@ -56,11 +56,11 @@ def test_pairs_do_not_depend_on_frequent_shingles_or_blocks(spark, monkeypatch,
     assert overlap.deduplicate(df.where("false")).collect() == []
 
 
-def written(spark):
+def written(spark, what="shuffleWriteBytes"):
     """Bytes that all stages have shuffled so far."""
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
 
 def test_candidates_meet_without_their_lists_of_keys(spark):
@@ -108,3 +108,14 @@ def test_rounds_do_not_multiply_estimates_of_size(spark):
     assert {r["root"] for r in nodes.collect()} == {nodes.first()["root"]} and nodes.count() == 121
     size = nodes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     assert 121 * 16 <= size < 121 * 1000
+
+
+def test_only_the_most_frequent_shingles_come_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "ONE_IN", 1)
+    monkeypatch.setattr(overlap, "FREQUENT", 2000)
+    rows = [(" ".join(f"w{j}" for j in range(i % 7, 8000)) + f" {i}",) for i in range(12)]
+    df = spark.createDataFrame(rows, "text string").repartition(4)
+    before = written(spark, "resultSize")
+    frequent = overlap._frequent(df, 5)
+    assert len(frequent) == 2000 and (frequent["n"] == 12).all() and (frequent["key"][1:] > frequent["key"][:-1]).all()
+    assert written(spark, "resultSize") - before < 200_000  # 2,000 rows of two numbers, and not as many of each partition
