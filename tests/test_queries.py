@@ -29,6 +29,17 @@ def test_tags_come_from_the_whole_text(spark):
     assert got == {i: tags_of(x) for i, x in enumerate(texts)}
 
 
+def test_distances_are_rounded_for_pairs_of_distinct_vectors(spark):
+    """Once for each pair of distinct vectors, and not for each pair of rows that leaves the last join."""
+    vectors = [[0.1, 0.1]] * 3 + [[0.1, 0.1234567]] * 2 + [[0.9, 0.9]]
+    rows = [(i, "image_visual", "m", v) for i, v in enumerate(vectors)]
+    t = {"embeddings": spark.createDataFrame(rows, "id long, embedding_type string, model_name string, vector array<double>")}
+    got = queries.embedding_range_pairs(t)
+    assert "round(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    near = {(a, b): 0.0 if (a < 3) == (b < 3) else 0.023457 for a in range(5) for b in range(5) if a != b}
+    assert {(r["a_id"], r["b_id"]): r["distance"] for r in got.collect()} == near
+
+
 def test_person_clusters_count_near_vectors(spark):
     rows = {
         "files": [(i, 1, f"/{p}/{n}", f"/{p}", n, ".jpg", "image", 5, T0 + timedelta(days=30 * i), None, None, "active", T0) for i, p, n in ((1, "p", "ann.jpg"), (2, "q", "bob.jpg"), (3, "r", "cid.jpg"))],
