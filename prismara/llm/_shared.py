@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import checkpoint_dir, sized
+from ..operators.lineage import checkpoint_dir, sized, swept
 
 #: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -24,26 +23,10 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SEPARATORS)] = False
 
 
-@contextmanager
-def _swept(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is planned and run within go as soon as it has run, and not when the driver happens to
-    collect its garbage. For what is written and then read from there, as no plan runs twice."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df by way of a checkpoint in the shared folder, so that no executor's loss undoes it."""
     checkpoint_dir(df.sparkSession)
-    with _swept(df.sparkSession):
+    with swept(df.sparkSession):
         return sized(df.select("*").checkpoint(eager=True))  # a plan of its own: df's was made with the setting as it was then
 
 
@@ -53,7 +36,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/prismara-{name}-{uuid.uuid4().hex}"
     where, system = _place(df, path)
     system.deleteOnExit(where)
-    with _swept(spark):
+    with swept(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path

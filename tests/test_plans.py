@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismara.functions import labels
+from prismara.operators.lineage import settled
 from prismara.operators.nearest import within
 from prismara.plans import clusters, content, files, ingest, library, person, series
 from prismara.schema import TABLES, violations
@@ -354,3 +355,15 @@ def test_tags_are_sorted_by_file_in_a_stage_of_their_own(spark):
     plan = QUERIES["tag_summary_top3"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.rindex("WindowGroupLimit [file_id") :]
     assert re.search("Exchange|Join|HashAggregate", below)[0] == "Exchange"
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    """They are read from the checkpoint; a chain of them would keep every shuffle until the driver collects its garbage."""
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, df = files(), spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count()
+    first = settled(df)
+    second = settled(first.join(df, "k").repartition(3))
+    assert not files() - before and second.count() == 7
